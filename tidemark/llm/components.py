@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 MAX_ROUNDS = 60
 
 
@@ -13,39 +15,29 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     root is the smallest node reachable.
 
     Every round rewires the links (each node's larger neighbours, then its smaller ones,
-    to the least neighbour) and writes them to the checkpoint folder; it ends when a
+    to the least neighbour) and writes them to the shared folder; it ends when a
     round changes nothing. Rows stay below the number of links; a node with very many
     links is joined, not gathered, so adaptive execution can split it. Links with null
     and loops are left out.
     """
-    edges = (
+    edges = materialise(
         links.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .filter("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-        .checkpoint()
+        .distinct(),
+        "links",
     )
     before = None
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct().checkpoint()
-        m = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        small = (
-            large.join(m, "u")
-            .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .filter("u <> v")
-            .distinct()
-            .checkpoint()
-        )
-        now = small.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")
-        ).first()
-        edges = small
-        if tuple(now) == before:
+        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star")
+        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(larger.distinct(), "links")
+        m = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        small = large.join(m, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = materialise(small.filter("u <> v").distinct(), "links")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if tuple(now) == before or not now[0]:
             break
         before = tuple(now)
     else:
