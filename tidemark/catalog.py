@@ -373,7 +373,7 @@ _LISTINGS = f"""l AS (SELECT event_id AS seq, lpad(CAST(event_id AS VARCHAR), 10
       FROM l a JOIN tp ON a.title = lt JOIN l b ON b.title = rt AND a.id < b.id AND abs(epoch_us(a.starts_at) - epoch_us(b.starts_at)) <= 7200000000),
     m AS (SELECT *, greatest(0.0, least(1.0, 1 - (minutes - 30) / 90.0)) AS time FROM c),
     s AS (SELECT *, similarity < 0.55 OR time <= 0 OR coalesce(geo <= 0, false) AS veto,
-      CASE WHEN geo IS NULL THEN 0.6 * similarity + 0.4 * time ELSE 0.5 * similarity + 0.2 * time + 0.3 * geo END AS score FROM m),
+      CASE WHEN geo IS NULL THEN 0.6 * similarity + 0.25 * time ELSE 0.5 * similarity + 0.2 * time + 0.3 * geo END AS score FROM m),
     v AS (SELECT left_id, right_id, similarity, same_print, minutes, CASE WHEN same_url THEN 1.0 WHEN veto THEN 0.0 ELSE score END AS confidence,
       CASE WHEN same_url THEN 'same' WHEN veto THEN 'different' WHEN score >= 0.8 THEN 'same' WHEN score >= 0.62 THEN 'review' ELSE 'different' END AS verdict FROM s)"""
 
@@ -387,11 +387,11 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("minutes", minutes).withColumn("m", found)
 
 
-@query(f"WITH {_LISTINGS} SELECT left_id, right_id, round(similarity, 6) AS title, round(minutes, 6) AS minutes, round(confidence, 6) AS confidence, verdict FROM v")
+@query(f"WITH {_LISTINGS} SELECT left_id, right_id, round(similarity, 6) AS title, CAST(round(minutes * 6e7) AS BIGINT) AS micros, round(confidence, 6) AS confidence, verdict FROM v")
 def match_pairs(spark, sf_dir):
     return _matched(spark, sf_dir).select(
         F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), F.round("similarity", 6).alias("title"),
-        F.round("minutes", 6).alias("minutes"), F.round("m.confidence", 6).alias("confidence"), F.col("m.verdict").alias("verdict"),
+        F.round(F.col("minutes") * 6e7).cast("long").alias("micros"), F.round("m.confidence", 6).alias("confidence"), F.col("m.verdict").alias("verdict"),
     )
 
 

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.geo import nearest_city
@@ -18,12 +19,16 @@ from ..operators.resolve import resolve
 from ..storage import materialise
 
 TABLES = {
-    "events": schemas.EVENT, "venues": schemas.VENUE, "source_records": schemas.SOURCE_RECORD,
-    "event_links": schemas.EVENT_LINK, "merge_reviews": schemas.MERGE_REVIEW, "ingest_runs": schemas.INGEST_RUN,
+    "events": "EVENT", "venues": "VENUE", "source_records": "SOURCE_RECORD", "event_links": "EVENT_LINK",
+    "merge_reviews": "MERGE_REVIEW", "ingest_runs": "INGEST_RUN",
 }
 STALE_HOURS = 6
 
 
+def table_schema(table: str) -> StructType:
+    return getattr(schemas, TABLES[table])
+
+
 @dataclass
 class Store:
     """Tables as folders of Parquet, one version each run: a run writes new folders and then
@@ -48,13 +53,13 @@ class Store:
     def read(self, table: str) -> DataFrame:
         version = self.version()
         if not version:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/v{version}/{table}")
+            return self.spark.createDataFrame([], table_schema(table))
+        return self.spark.read.schema(table_schema(table)).parquet(f"{self.path}/v{version}/{table}")
 
     def write(self, tables: dict[str, DataFrame]) -> None:
         version = self.version() + 1
-        for name, schema in TABLES.items():
-            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+        for name in TABLES:
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(name)]
             tables[name].select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
         jvm, fs = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{version}")).close()

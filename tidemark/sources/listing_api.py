@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.coerce import least_positive, number, present, truthy, widest
 from ..functions.geo import nearest_city, point
 from ..functions.localtime import parse_instant, parse_local
 from ..functions.text import join_present, summary_text
-from ..schemas import API_A_EVENT, API_A_PAGE, API_B_EVENT, API_B_PAGE, LISTING
 
 
 def events_a(pages: DataFrame) -> DataFrame:
     """Pages (page: JSON text) of the first API to (raw, seq); a page of another shape has none."""
-    found = pages.select(F.from_json("page", API_A_PAGE).alias("p")).select(F.explode("p.events").alias("raw"))
+    found = pages.select(F.from_json("page", schemas.API_A_PAGE).alias("p")).select(F.explode("p.events").alias("raw"))
     return found.withColumn("seq", F.monotonically_increasing_id())
 
 
 def events_b(pages: DataFrame) -> DataFrame:
-    found = pages.select(F.from_json("page", API_B_PAGE).alias("p")).select(F.explode("p._embedded.events").alias("raw"))
+    found = pages.select(F.from_json("page", schemas.API_B_PAGE).alias("p")).select(F.explode("p._embedded.events").alias("raw"))
     return found.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -32,13 +32,13 @@ def _bad_number(text: Column) -> Column:
 
 
 def _as_listing(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LISTING])
 
 
 def normalize_a(events: DataFrame, slug: str = "listing_a", url_base: str = "https://listing-a.example/event/") -> DataFrame:
     """Listings of the first API: times without an offset are local, the cover is the widest
     form of the primary image. Without a title, a start or an id there is no listing."""
-    e = events.select("raw", "seq", F.from_json("raw", API_A_EVENT).alias("e")).select("raw", "seq", "e.*")
+    e = events.select("raw", "seq", F.from_json("raw", schemas.API_A_EVENT).alias("e")).select("raw", "seq", "e.*")
     images = F.col("images.images")
     primary = F.coalesce(F.try_element_at(F.filter(images, lambda i: truthy(i["is_primary"])), F.lit(1)), F.try_element_at(images, F.lit(1)))
     # a point with one coordinate null reads the other as given and the null as 0
@@ -75,7 +75,7 @@ def normalize_b(events: DataFrame, slug: str = "listing_b", url_base: str = "htt
     """Listings of the second API: an instant if given (a broken one is no listing), else local
     date and time; cancelled ones are left out, postponed ones are least popular; (0, 0) is no
     point."""
-    e = events.select("raw", "seq", F.from_json("raw", API_B_EVENT).alias("e")).select("raw", "seq", "e.*")
+    e = events.select("raw", "seq", F.from_json("raw", schemas.API_B_EVENT).alias("e")).select("raw", "seq", "e.*")
     start = F.col("dates.start")
     wall = F.when(start["localTime"].isNotNull(), F.concat_ws(" ", start["localDate"], start["localTime"])).otherwise(start["localDate"])
     instant = F.when(F.coalesce(start["dateTime"], F.lit("")) != "", parse_instant(start["dateTime"])).otherwise(parse_local(wall))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.coerce import least_positive, variant_number, variant_text
 from ..functions.geo import nearest_city, point
 from ..functions.localtime import parse_instant
 from ..functions.text import WS, infer_category, join_present, trim_ws
-from ..schemas import LISTING
 
 SCRIPT = "(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
 DEPTH = 6
@@ -94,7 +94,7 @@ def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str |
         F.to_json(v).alias("raw"),
         F.monotonically_increasing_id().alias("seq"),
     )
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LISTING])
 
 
 def normalize_pages(pages: DataFrame, slug: str = "markup", default_city: str | None = None) -> DataFrame:
