@@ -1,0 +1,117 @@
+import hashlib
+
+import numpy as np
+import pytest
+
+from tidemark.llm import digest, html_extract
+
+
+# --- pages
+@pytest.mark.parametrize("html,lines,content", [
+    ("", [], False),
+    ("<p>one<p>two", ["one", "two"], False),
+    ("<nav>menu</nav><article><header><h1>T &amp; t</h1></header><p>a<br>b</p><aside>x</aside>c</article><footer>f</footer>", ["T & t", "a b", "c"], True),
+    ("<main><div class='side-bar ad'>x</div><p>k&nbsp; l\n m</p></main><div>out</div>", ["k l m"], True),
+    ("<article>a<script>if (a<b) '</article>'</script><style>p{}</style>b<!-- <p>c</p> --></article>", ["a b"], True),
+    ("<article><ul><li>1<li>2</ul><section class=comments><p>reader</p></section>3</article>", ["1", "2", "3"], True),
+    ("<div id=cookie-notice>no</div><div hidden>no</div><form>no</form>yes 1 < 2<foot", ["yes 1 < 2"], False),
+    ('<p title="a > b">t</p></div></p>end', ["t", "end"], False),
+])
+def test_lines(html, lines, content):
+    assert html_extract.lines_of(html) == (lines, content)
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 9))] for _ in "ab")
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        found = sorted(html_extract.common_lines(a, b))
+        rest = iter(b)
+        assert len(found) == best[-1, -1] and all(a[i] in rest for i in found)
+
+
+def test_pages(spark):
+    top, end = "<div>Site name</div>", "<div>Imprint</div>"
+    rows = [
+        (1, "http://h.example/a/1", f"{top}<p>first</p>{end}"), (2, "http://h.example/a/2?x=1", f"{top}<p>second</p><p>more</p>{end}"),
+        (3, "http://other.example/a/1", f"{top}<p>third</p>{end}"), (4, None, None), (5, "::bad::", "<article>x</article>"), (6, "http://h.example/b", "<article>Site name</article>"),
+        (None, "http://z.example/", "<p>é&eacute;</p>"), (1, "http://h.example/a/1", f"{top}<p>first</p>{end}"),
+    ]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, host string, text int")
+    got = {(r.page_id, r.url): r for r in html_extract.extract(df).collect()}
+    assert got[2, rows[1][1]].text == "second\nmore" and got[3, rows[2][1]].text == "Site name\nthird\nImprint"
+    assert got[4, None].text == "" and got[5, "::bad::"].text == "x" and got[6, rows[5][1]].text == "Site name"
+    assert (got[None, rows[6][1]].text, got[None, rows[6][1]].n_chars) == ("éé", 2)
+    assert html_extract.extract(df).count() == 8 and html_extract.extract(df.limit(0)).count() == 0
+
+
+# --- digests
+def brute_features(text, rank):
+    from xxhash import xxh64_intdigest
+
+    if len(text) < 64:
+        return [xxh64_intdigest(text)] if text else []
+    ranks = [rank[int(digest.entropy_classes(np.frombuffer(text[i : i + 64], np.uint8))[0])] for i in range(len(text) - 63)]
+    if len(ranks) < 64:
+        return [xxh64_intdigest(text[(p := ranks.index(min(ranks))) : p + 64])]
+    times = {}
+    for g in range(len(ranks) - 63):
+        p = min(range(g, g + 64), key=lambda i: (ranks[i], i))
+        times[p] = times.get(p, 0) + 1
+    return [xxh64_intdigest(text[p : p + 64]) for p in sorted(times) if times[p] >= 16]
+
+
+def test_entropy_and_features():
+    rng = np.random.default_rng(4)
+    rank = rng.permutation(1001).astype(np.int32)
+    texts = [bytes(rng.integers(97, 97 + k, n).astype(np.uint8)) for k, n in ((3, 300), (20, 64), (5, 126), (9, 127), (2, 10), (26, 700))] + [b"", b"z" * 400]
+    for t in texts:
+        counts = [np.bincount(np.frombuffer(t[i : i + 64], np.uint8)) for i in range(len(t) - 63)]
+        bits = [6 - sum(c * np.log2(c) for c in x if c) / 64 for x in counts]
+        assert np.allclose(digest.entropy_classes(np.frombuffer(t, np.uint8)), np.array(bits) / 6 * 1000, atol=1.5)
+    assert digest.features(texts, rank) == [brute_features(t, rank) for t in texts]
+    assert digest.features(texts[::-1], rank)[::-1] == digest.features(texts, rank)
+
+
+def test_likeness():
+    rank = np.arange(1001, dtype=np.int32)
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(32, 127, 60_000).astype(np.uint8))
+    a, b, c, none = digest.digests_of([long, long[:30_000] + bytes(rng.integers(32, 127, 30_000).astype(np.uint8)), bytes(rng.integers(32, 127, 9000).astype(np.uint8)), b""], rank)
+    assert len(a) > 2 and digest.likeness(a, a) == 1 and digest.likeness(none, none) == 1 and digest.likeness(a, none) == 0
+    assert 0.3 < digest.likeness(a, b) < 0.9 and digest.likeness(a, c) < 0.2 and digest.likeness(b, a) == digest.likeness(a, b)
+
+
+def check_edits(docs, parts):
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, r[1] or "")))
+    want = []
+    for (i, t), (_, following) in zip(rows, [*rows[1:], *rows[:1]]):
+        edited = digest.edited_text(t or "", following or "")
+        want.append((str(i), len(t or ""), hashlib.sha256(edited.encode()).hexdigest()))
+    got = digest.edit_digests(docs, parts).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    return got
+
+
+def test_edits_follow_the_ids_whatever_the_parts(odd_docs, some_docs, no_docs):
+    seen = set()
+    for parts in (1, 3, 8):
+        got = check_edits(some_docs, parts)
+        seen.add(hashlib.sha256(repr(sorted(map(tuple, got))).encode()).hexdigest())
+        check_edits(odd_docs, parts)
+    assert len(seen) == 1
+    assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.3
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.fingerprint, r)
+    assert digest.edit_digests(no_docs, 4).count() == 0
+    same = digest.digests(odd_docs, digest.class_ranks(odd_docs)).collect()
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    prints = {}
+    for r in same:
+        if r.doc_id not in (None, 30):
+            assert prints.setdefault(texts[r.doc_id] or "", r.fingerprint) == r.fingerprint

@@ -43,7 +43,8 @@ def words_of(text: Column) -> Column:
 
 def _pair_hashes(words: Column) -> Column:
     """The rolling hashes of two words; none for a text of fewer."""
-    return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
 def template_places(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:

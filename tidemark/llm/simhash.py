@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ..operators.components import connected_components
 from .common import materialise, small_batches, texts_of
-from .components import connected_components
 
 SEED = 42
 CHUNK = 1 << 15
