@@ -104,14 +104,8 @@ def digests_of(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """From 0 to 1: for each filter of the shorter digest the best overlap with a filter of
-    the other, beyond what chance gives, in parts of what is possible; then the mean. Two
-    digests without a feature are alike (1), one without is unlike any other (0)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    if len(a) > len(b):
-        a, b = b, a
+def _best_overlaps(a: np.ndarray, b: np.ndarray) -> float:
+    """The mean over the filters of ``a`` of the best overlap with one of ``b``."""
     ones_a, ones_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
     total = 0.0
     for x, n in zip(a, ones_a):
@@ -121,6 +115,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, max(0.0, total / len(a)))
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """From 0 to 1: for each filter of the shorter digest the best overlap with a filter of
+    the other, beyond what chance gives, in parts of what is possible; then the mean (of both
+    directions for digests of one length). Two digests without a feature are alike (1), one
+    without is unlike any other (0)."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) == len(b) > 1:
+        return (_best_overlaps(a, b) + _best_overlaps(b, a)) / 2
+    return _best_overlaps(a, b) if len(a) <= len(b) else _best_overlaps(b, a)
+
+
 def class_ranks(docs: DataFrame, text_col: str = "text") -> list[int]:
     """The rank of each entropy class by the number of windows in all texts, the rarest
     first (ties: the lower class). Each task sums up its own counts: at most 1001 rows."""

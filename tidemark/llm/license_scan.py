@@ -10,6 +10,8 @@ from .common import ascii_lower, text_of
 #: All that is not in a word, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
+#: Templates of fewer pairs need all of them.
+SHORT = 8
 #: Label and phrase; a phrase counts where its words stand consecutively.
 PHRASES = (
     ("gpl", "gnu general public license"),
@@ -77,7 +79,7 @@ def scan(
     so it is broadcast) and compared word by word. Hits vote for their diagonal, the offset of
     text to template. A phrase stands where a diagonal has all its pairs. Of the longer
     templates, diagonals at most ``gap`` apart in a row are merged (words put in or left out), and a
-    span counts if ``threshold`` of the template's pairs are on it. score is the largest share found,
+    span counts if ``threshold`` of the template's pairs are on it (all, if it has fewer than SHORT). score is the largest share found,
     1 for a phrase; spans are (label, first word, share). Null is the empty text (no words,
     empty labels, score 0); rows that repeat id and text are scanned as one and each gets
     the result; a null id is a value like another. An empty table gives an empty one.
@@ -105,7 +107,7 @@ def scan(
         .groupBy(*key, "template", "label", "base", "size", "grams", "span")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min("diagonal").alias("start"))
         .withColumn("share", F.col("votes") / F.col("grams"))
-        .filter(F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= threshold))
+        .filter(F.when(F.col("base") | (F.col("grams") < SHORT), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= threshold))
     )
     named = lambda which: F.concat_ws(",", F.sort_array(F.collect_set(F.when(which, F.col("label")))))
     found = spans.groupBy(*key).agg(
