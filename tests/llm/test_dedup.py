@@ -109,3 +109,67 @@ def test_drop_exact_duplicates(odd_docs):
     got = sorted(((r.doc_id, lower(r.text)) for r in kept.collect()), key=repr)
     assert len(got) == len({t for _, t in got}) == len({lower(r.text) for r in odd_docs.collect()})
     assert (999, "one") in got and (120, "this is under the mit license.") in got
+
+
+def shingles(text, n=5):
+    words = lower(text).split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def grouped(rows, at_least):
+    """Components of the pairs whose exact Jaccard similarity is at least so much."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= at_least * len(sets[a] | sets[b]):
+            parent[root(a)] = root(b)
+    return [root(i) for i in range(len(rows))]
+
+
+def check_alike(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    component = {(str(r.doc_id)): r.component_id for r in simhash.like_groups(docs).collect()}
+    near, far = grouped(rows, 0.86), grouped(rows, 0.7)
+    by_near, by_component = {}, {}
+    for (i, _), n, f in zip(rows, near, far):
+        if i not in (None, 20, 30):  # ids with several texts
+            by_near.setdefault(n, set()).add(component[str(i)])
+            by_component.setdefault(component[str(i)], set()).add(f)
+    assert all(len(x) == 1 for x in by_near.values()) and all(len(x) == 1 for x in by_component.values())
+
+
+def test_like_texts_are_grouped_and_others_are_not(some_docs, odd_docs, no_docs, spark):
+    check_alike(some_docs)
+    check_alike(odd_docs)
+    assert simhash.like_groups(no_docs).count() == 0
+    words = [f"w{i}" for i in range(300)]
+    rows = [(7, " ".join(words)), (3, " ".join([*words[:100], "other", *words[101:]])), (5, " ".join(words[:40])), (9, " ".join(words).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.like_groups(df).collect()} == {7: 3, 3: 3, 9: 3, 5: 5}
+    assert sorted(r.doc_id for r in simhash.drop_like_texts(df).collect()) == [3, 5]
+    assert simhash.drop_like_texts(odd_docs).columns == odd_docs.columns
+
+
+def test_wide_bits_are_majorities_over_distinct_shingles():
+    text = ("a b c d e f g h " * 3).encode()
+    got, n = simhash.wide_fingerprint(text)
+    hashes = {xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(text.decode())}
+    mask, want = (1 << 64) - 1, []
+    for k in range(1, simhash.WIDE + 1):
+        ones = [0] * 64
+        for h in hashes:
+            z = (h + k * 0x9E3779B97F4A7C15) & mask
+            z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+            z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+            z ^= z >> 31
+            for j, b in enumerate(z.to_bytes(8, "little")):
+                for i in range(8):
+                    ones[8 * j + i] += b >> (7 - i) & 1
+        want += [2 * o > len(hashes) for o in ones]
+    assert n == len(hashes) and [bool(int.from_bytes(got, "big") >> (64 * simhash.WIDE - 1 - i) & 1) for i in range(64 * simhash.WIDE)] == want
