@@ -133,14 +133,14 @@ def _utc(x: str) -> str:
     return f"timezone('UTC', timezone('Pacific/Auckland', {x}))"
 
 
-@query(f"""SELECT o_orderkey, {_local('o_orderdate')} AS wall, CAST({_local('o_orderdate')} AS DATE) AS day,
+@query(f"""SELECT o_orderkey, {_local('o_orderdate')} AS wall, CAST(CAST({_local('o_orderdate')} AS DATE) AS VARCHAR) AS day,
     CAST(isodow({_local('o_orderdate')}) AS INTEGER) AS weekday,
     {_utc(f"CAST(CAST({_local('o_orderdate')} AS DATE) AS TIMESTAMP)")} AS day_start,
     CAST(date_diff('second', o_orderdate, {_local('o_orderdate')}) / 3600.0 AS DOUBLE) AS offset_hours FROM orders""")
 def nz_local_parts(spark, sf_dir):
     at = F.col("o_orderdate")
     return read(spark, sf_dir, "orders").select(
-        "o_orderkey", localtime.local_wall(at).alias("wall"), localtime.local_date(at).alias("day"), localtime.local_weekday(at).cast("int").alias("weekday"),
+        "o_orderkey", localtime.local_wall(at).alias("wall"), localtime.local_date(at).cast("string").alias("day"), localtime.local_weekday(at).cast("int").alias("weekday"),
         localtime.start_of_day(at).alias("day_start"), localtime.offset_hours(at).cast("double").alias("offset_hours"),
     )
 
