@@ -133,3 +133,33 @@ def scan(
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,label:string,share:double>>")).alias("spans"),
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle_sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.6, gap: int = 4) -> str:
+    """The same scan of ``documents`` (doc_id unique) in DuckDB's SQL."""
+    given = [(*p, True) for p in phrases] + [(*t, False) for t in templates]
+    values = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, {c})" for i, (a, b, c) in enumerate(given))
+    upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    words = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w != '')"
+    return f"""
+        WITH d AS (SELECT doc_id, {words.format(f"translate(coalesce(text, ''), {upper}, lower({upper}))")} AS w FROM documents),
+        t AS (SELECT template, label, base, string_split(txt, ' ') AS w FROM (VALUES {values}) v(template, label, txt, base)),
+        places AS (SELECT template, label, base, len(w) - 1 AS grams, i - 1 AS place, w[i] AS a, w[i + 1] AS b
+          FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+        pairs AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
+        hits AS (SELECT DISTINCT doc_id, template, label, base, grams, place, pos - place AS diagonal FROM pairs JOIN places USING (a, b)),
+        apart AS (SELECT *, base OR coalesce(diagonal - lag(diagonal) OVER w > {gap}, true) AS new
+          FROM (SELECT DISTINCT doc_id, template, base, diagonal FROM hits) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+        numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+        spans AS (SELECT doc_id, label, h.base AS base, grams, count(DISTINCT place) AS votes, min(h.diagonal) AS start
+          FROM hits h JOIN numbered n USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, h.base, grams, span),
+        found AS (SELECT *, votes / grams::DOUBLE AS share FROM spans
+          WHERE CASE WHEN base OR grams < {SHORT} THEN votes = grams ELSE votes / grams::DOUBLE >= {threshold} END)
+        SELECT doc_id, max(len(w)) AS n_words, count(label) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+          coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score
+        FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id"""

@@ -66,6 +66,7 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_lm_score,
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op2_license_scan": license_scan.oracle_sql(),
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
