@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import mapgrid
 from tidemark.plans import feed
-from tidemark.plans.ingest import Store, ingest, run_all, run_source
+from tidemark.plans.ingest import Store, ingest, run_all, run_source, with_last_run
 from tidemark.sources.demo import demo_events
 from tidemark.sources.listing_api import events_a, normalize_a
 from tidemark.streaming.landing_stream import ingest_stream
@@ -49,7 +49,7 @@ def test_runs_merge_retire_and_revive(spark, tmp_path):
     assert store.read("source_records").filter("gone_at IS NOT NULL").count() == 1
     ingest(store, "s", row(spark, [a, b]), NOW)
     assert "Night of jazz" in titles(store) and store.read("source_records").filter("gone_at IS NOT NULL").count() == 0
-    assert store.read("venues").count() == 1 and store.read("ingest_runs").count() == 7
+    assert store.read("venues").count() == 1 and store.runs().count() == 7
 
 
 def test_stale_listings_are_skipped_but_seen(spark, tmp_path):
@@ -73,6 +73,8 @@ def test_sources(spark, tmp_path):
 
     got = run_all(store, sources, fetch, NOW)
     assert isinstance(got["bad"], OSError) and got["good"]["created"] == 1 and "off" not in got
+    assert {(r.source_slug, r.status, r.error) for r in store.runs().collect()} == {("bad", "failed", "down"), ("good", "ok", None)}
+    assert {r.slug: r.last_run_at is not None for r in with_last_run(sources, store.runs()).collect()} == {"bad": True, "good": True, "off": False}
     with pytest.raises(OSError):
         run_all(store, sources.filter("slug = 'bad'"), fetch, NOW)
 
@@ -120,7 +122,7 @@ def test_pages_cover_the_feed(spark, tmp_path):
 
 def test_demo_feed(spark):
     rows = demo_events(spark, NOW)
-    query = feed.FeedQuery(city="auckland", date="all")
+    query = feed.FeedQuery(**feed.LANDING | {"date": "all"})
     assert rows.count() == 12 and feed.demo_feed(rows, query, NOW).count() == 7
     assert feed.demo_feed(rows, feed.FeedQuery(date="all", free=True), NOW).count() == 5
     assert feed.demo_feed(rows, feed.FeedQuery(date="all", q="100%"), NOW).count() == 0

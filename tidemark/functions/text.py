@@ -184,3 +184,8 @@ def placeholder(text: Column, kinds: int = 6) -> Column:
 def host_slug(url: Column) -> Column:
     """First label of the host, without www."""
     return F.regexp_replace(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), "^www\\.", ""), "\\..*$", "")
+
+
+def localized(title: Column, title_zh: Column, lang: str = "en") -> Column:
+    """The title in a language, the plain one where there is no translation."""
+    return F.coalesce(title_zh, title) if lang == "zh" else title

@@ -56,6 +56,10 @@ class FeedQuery:
         put("free", None if self.free is None else flag(self.free))
 
 
+#: What the first page of the site asks for.
+LANDING = {"city": "auckland", "date": "week", "limit": 60}
+
+
 @dataclass
 class Page:
     events: DataFrame

@@ -20,7 +20,7 @@ from ..storage import materialise
 
 TABLES = {
     "events": "EVENT", "venues": "VENUE", "source_records": "SOURCE_RECORD", "event_links": "EVENT_LINK",
-    "merge_reviews": "MERGE_REVIEW", "ingest_runs": "INGEST_RUN",
+    "merge_reviews": "MERGE_REVIEW",
 }
 STALE_HOURS = 6
 
@@ -64,6 +64,31 @@ class Store:
         jvm, fs = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{version}")).close()
 
+    def runs(self) -> DataFrame:
+        """The log of runs, which only grows."""
+        if not self._exists("ingest_runs"):
+            return self.spark.createDataFrame([], schemas.INGEST_RUN)
+        return self.spark.read.schema(schemas.INGEST_RUN).parquet(f"{self.path}/ingest_runs")
+
+    def add_run(self, source: str, now: datetime, stats: dict, error: str | None = None) -> None:
+        counters = ("fetched", "created", "updated", "merged", "flagged", "skipped")
+        row = self.spark.range(1).select(
+            F.lit(f"{source}-{now:%Y%m%dT%H%M%S%f}").alias("id"), F.lit(source).alias("source_slug"),
+            F.lit("failed" if error else "ok").alias("status"), *[F.lit(stats.get(k, 0)).cast("long").alias(k) for k in counters],
+            F.lit(error).cast("string").alias("error"), F.lit(now).alias("started_at"), F.lit(now).alias("finished_at"),
+        )
+        row.write.mode("append").parquet(f"{self.path}/ingest_runs")
+
+    def _exists(self, name: str) -> bool:
+        jvm, fs = self._fs()
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+
+
+def with_last_run(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sources with the end of their last run."""
+    last = runs.groupBy(F.col("source_slug").alias("slug")).agg(F.max("finished_at").alias("last_run_at"))
+    return sources.drop("last_run_at").join(last, "slug", "left")
+
 
 def prepare(listings: DataFrame, now: datetime) -> DataFrame:
     """Adds what the merge needs: whether it is stale, city, category, keys of venue and event."""
@@ -134,29 +159,27 @@ def ingest(store: Store, source: str, listings: DataFrame, now: datetime, comple
     changed = records.select(F.col("id").alias("record_id"), *([F.col("changed")] if "changed" in records.columns else [F.lit(False).alias("changed")]))
     outcomes = rows.select("seq", "record_id", "skipped").join(out.drop("id"), "seq", "left").join(changed, "record_id", "left")
     stats = report.run_stats(outcomes).first().asDict()
-    run = store.spark.range(1).select(
-        F.lit(f"{source}-{now:%Y%m%dT%H%M%S%f}").alias("id"), F.lit(source).alias("source_slug"), F.lit("ok").alias("status"),
-        *[F.lit(v).alias(k) for k, v in stats.items()], F.lit(None).cast("string").alias("error"), at.alias("started_at"), at.alias("finished_at"),
-    )
-    store.write(
-        {"events": events, "venues": venues, "source_records": records, "event_links": links, "merge_reviews": reviews,
-         "ingest_runs": old["ingest_runs"].unionByName(run)}
-    )
+    store.write({"events": events, "venues": venues, "source_records": records, "event_links": links, "merge_reviews": reviews})
+    store.add_run(source, now, stats)
     return stats
 
 
 def run_source(store: Store, sources: DataFrame, slug: str, fetch: Callable[[dict], DataFrame], now: datetime, limit: int | None = None) -> dict:
     """One run: an unknown source is an error, a disabled one does nothing, a limited run never
-    retires what it did not see."""
+    retires what it did not see. A failure is logged and raised again."""
     found = sources.filter(F.col("slug") == slug).first()
     if found is None:
         raise KeyError(f"unknown source {slug}")
     if not found["enabled"]:
         return {}
-    listings = fetch(found["config"] or {})
-    if limit is not None:
-        listings = listings.orderBy("seq").limit(limit)
-    return ingest(store, slug, listings, now, complete=limit is None)
+    try:
+        listings = fetch(found["config"] or {})
+        if limit is not None:
+            listings = listings.orderBy("seq").limit(limit)
+        return ingest(store, slug, listings, now, complete=limit is None)
+    except Exception as error:
+        store.add_run(slug, now, {}, str(error) or type(error).__name__)
+        raise
 
 
 def run_all(store: Store, sources: DataFrame, fetch: Callable[[str, dict], DataFrame], now: datetime) -> dict[str, dict | Exception]:
