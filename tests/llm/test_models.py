@@ -164,8 +164,12 @@ def test_forward_sums_all_segmentations():
     part = langid.word_scores(table, logp, [long[: langid.LONG], long])
     assert np.allclose(langid._long_score(table, langid._tilted(table, logp), long[: langid.LONG]) - langid.RATE * langid.LONG, part[0])
     assert part[1][0] < part[0][0]
-    counts = langid.expected_counts(table, logp, words, np.ones((4, 2)))
-    assert np.allclose((counts * [len(p) for p in table.pieces]).sum(axis=1), sum(map(len, words)))
+    lang, weight = np.array([0, 1, 0, 1]), np.array([1.0, 2.0, 1.0, 3.0])
+    counts = langid.expected_counts(table, logp, words, lang, weight)
+    assert np.allclose((counts * [len(p) for p in table.pieces]).sum(axis=1), [1 + 6, 2 * 3 + 3 * 3])
+    p = np.exp(logp[1])  # of "abc": how often is it one piece?
+    shares = {s: math.prod(p[number[x]] for x in s) for s in ((b"abc",), (b"ab", b"c"), (b"a", b"bc"), (b"a", b"b", b"c"))}
+    assert np.isclose(counts[1][number[b"abc"]], 2 * shares[b"abc",] / sum(shares.values()))
 
 
 def test_held_out_accuracy(some_docs):

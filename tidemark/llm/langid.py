@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, materialise, small_batches
 
 LONG = 96
+SLICE = 32 << 20
 SPACE = "▁"
 #: Tilt by the byte: keeps a word's probability in the range of a double; divided out again.
 RATE = 3.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def byte_pieces(model_file: str, max_bytes: int = 16) -> list[bytes]:
@@ -36,17 +38,29 @@ def byte_pieces(model_file: str, max_bytes: int = 16) -> list[bytes]:
 
 @dataclass
 class Pieces:
-    """A fixed vocabulary; ``find`` looks up substrings by a 64-bit polynomial hash and length."""
+    """A fixed vocabulary with all prefixes of its pieces, found by a 64-bit polynomial hash."""
 
     pieces: list[bytes]
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces))
-        hashes = np.array([self.hash(p) for p in self.pieces], np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        number = {p: i for i, p in enumerate(self.pieces)}
+        prefixes = sorted({p[:n] for p in self.pieces for n in range(1, len(p) + 1)})
+        hashes = np.array([self.hash(p) for p in prefixes], np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces share a hash")
+        # open addressing by the high bits, at most a quarter full
+        self.shift = np.uint64(64 - (4 * len(prefixes)).bit_length())
+        slots = 1 << (64 - int(self.shift))
+        self.key, self.piece = np.zeros(slots + 64, np.uint64), np.full(slots + 64, -2, np.int32)
+        self.steps = 1
+        for h, p in zip(hashes[:, None], prefixes):
+            at = int(self.slots(h)[0])
+            steps = 1
+            while self.piece[at] != -2:
+                at, steps = at + 1, steps + 1
+            self.key[at], self.piece[at] = h[0], number.get(p, -1)
+            self.steps = max(self.steps, steps)
 
     @staticmethod
     def hash(piece: bytes) -> int:
@@ -55,36 +69,55 @@ class Pieces:
             h = (h * int(MULTIPLIER) + b + 1) % (1 << 64)
         return h
 
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ hashes >> np.uint64(29)) * SPREAD >> self.shift).astype(np.int64)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece numbers, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+        """Piece numbers; -1 for a mere prefix of a piece, -2 for neither."""
+        at = self.slots(hashes)
+        out = np.where(self.key[at] == hashes, self.piece[at], -2)
+        left = np.flatnonzero((out == -2) & (self.piece[at] != -2))
+        for _ in range(self.steps - 1):
+            if not len(left):
+                break
+            at[left] += 1
+            hit = self.key[at[left]] == hashes[left]
+            out[left[hit]] = self.piece[at[left[hit]]]
+            left = left[~hit & (self.piece[at[left]] != -2)]
+        return out
 
 
 def _lattice(pieces: Pieces, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
     """words: uint8 [n, length], all of one length. For each end position the (start, rows,
-    piece numbers) of the pieces that end there."""
+    piece numbers) of the pieces that end there; a row is followed from a start only as long
+    as it is a prefix of some piece."""
     n, length = words.shape
     out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+    bytes_of = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1)
     for start in range(length):
-        h = np.zeros(n, np.uint64)
+        rows, h = np.arange(n), np.zeros(n, np.uint64)
         for end in range(start + 1, min(length, start + pieces.longest) + 1):
-            h = h * MULTIPLIER + words[:, end - 1].astype(np.uint64) + np.uint64(1)
+            h = h * MULTIPLIER + bytes_of[end - 1][rows]
             found = pieces.find(h)
-            rows = np.flatnonzero(found >= 0)
-            if len(rows):
-                out[end].append((start, rows, found[rows]))
+            alive = found > -2
+            if not alive.all():
+                rows, h, found = rows[alive], h[alive], found[alive]
+            if not len(rows):
+                break
+            whole = found >= 0
+            if whole.any():
+                out[end].append((start, rows[whole], found[whole]))
     return out
 
 
 def _forward(lattice: list, tilted: np.ndarray, n: int) -> np.ndarray:
     """alpha [position, word, language]: the summed probability of all segmentations of the
-    first bytes. tilted: [language, piece] probabilities, tilted by the piece's length."""
-    alpha = np.zeros((len(lattice), n, tilted.shape[0]))
+    first bytes. tilted: [piece, language] probabilities, tilted by the piece's length."""
+    alpha = np.zeros((len(lattice), n, tilted.shape[1]))
     alpha[0] = 1
     for end in range(1, len(lattice)):
         for start, rows, found in lattice[end]:
-            alpha[end, rows] += alpha[start, rows] * tilted[:, found].T
+            alpha[end, rows] += alpha[start, rows] * tilted[found]
     return alpha
 
 
@@ -119,6 +152,7 @@ def _long_score(pieces: Pieces, tilted: np.ndarray, word: bytes) -> np.ndarray:
 def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndarray:
     """[word, language] natural log probabilities: each sums all segmentations of the word."""
     tilted = _tilted(pieces, logp)
+    by_piece = np.ascontiguousarray(tilted.T)
     out = np.zeros((len(words), logp.shape[0]))
     sizes = np.array([len(w) for w in words], np.int64)
     for length in np.unique(sizes):
@@ -127,42 +161,47 @@ def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndar
             continue
         for part in np.array_split(at, len(at) * int(length) // 200_000 + 1) if length <= LONG else []:
             data = np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), length)
-            alpha = _forward(_lattice(pieces, data), tilted, len(part))
+            alpha = _forward(_lattice(pieces, data), by_piece, len(part))
             out[part] = np.log(alpha[-1])
         for i in at if length > LONG else []:
             out[i] = _long_score(pieces, tilted, words[i])
     return out - RATE * sizes[:, None]
 
 
-def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[bytes], lang: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """[language, piece]: the expected uses of each piece, by forward and backward sums over
-    all segmentations. weights: [word, language] counts. Words of over LONG bytes are cut
-    into parts of LONG bytes here (for fitting alone)."""
-    tilted = _tilted(pieces, logp)
-    counts = np.zeros_like(logp)
+    all segmentations of each word in its language. Words of over LONG bytes are cut into
+    parts of LONG bytes here (for fitting alone)."""
+    tilted = _tilted(pieces, logp).ravel()
+    counts = np.zeros(logp.size)
     cut, owner = [], []
     for i, w in enumerate(words):
         for at in range(0, len(w), LONG):
             cut.append(w[at : at + LONG])
             owner.append(i)
-    weights = weights[np.array(owner, np.int64)] if owner else weights[:0]
+    base, weight = lang[owner].astype(np.int64) * logp.shape[1], weight[owner]
     sizes = np.array([len(w) for w in cut], np.int64)
     for length in np.unique(sizes):
         whole = np.flatnonzero(sizes == length)
         for part in np.array_split(whole, len(whole) * int(length) // 200_000 + 1):
             data = np.frombuffer(b"".join(cut[i] for i in part), np.uint8).reshape(len(part), length)
-            lattice = _lattice(pieces, data)
-            alpha = _forward(lattice, tilted, len(part))
+            lattice = [[(s, rows, base[part[rows]] + found) for s, rows, found in x] for x in _lattice(pieces, data)]
+            alpha = np.zeros((length + 1, len(part)))
+            alpha[0] = 1
+            for end in range(1, length + 1):
+                for start, rows, at in lattice[end]:
+                    alpha[end, rows] += alpha[start, rows] * tilted[at]
             beta = np.zeros_like(alpha)
-            beta[-1] = weights[part] / alpha[-1]
+            beta[-1] = weight[part] / alpha[-1]
+            used, places = [], []
             for end in range(length, 0, -1):
-                for start, rows, found in lattice[end]:
-                    p = tilted[:, found].T * beta[end, rows]
+                for start, rows, at in lattice[end]:
+                    p = tilted[at] * beta[end, rows]
                     beta[start, rows] += p
-                    used = p * alpha[start, rows]
-                    for k in range(len(logp)):
-                        counts[k] += np.bincount(found, used[:, k], len(pieces.pieces))
-    return counts
+                    used.append(p * alpha[start, rows])
+                    places.append(at)
+            counts += np.bincount(np.concatenate(places), np.concatenate(used), counts.size)
+    return counts.reshape(logp.shape)
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -192,31 +231,42 @@ def fit(
     lang_col: str = "lang",
 ) -> LanguageModel:
     """Piece probabilities for each language in ``docs``, by ``rounds`` of expectation
-    maximisation over all texts with a language. Only sums come to the driver: at most the
-    size of the vocabulary for each language. Null and empty texts add nothing."""
+    maximisation over all texts with a language, on the counts of their distinct words. Only
+    sums come to the driver: at most the size of the vocabulary for each language. Null and empty texts add nothing."""
     pieces = byte_pieces(model_file)
     train = docs.filter(F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     langs = sorted(r[0] for r in train.select("lang").distinct().collect())
     logp = np.full((len(langs), len(pieces)), -np.log(len(pieces)))
+    number = {x: i for i, x in enumerate(langs)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", SLICE):
+            index, words, counts = _words(batch)
+            of = np.repeat([number[x] for x in batch.column("lang").to_pylist()], counts)
+            keys, n = np.unique(index.astype(np.int64) * len(langs) + of, return_counts=True)
+            which = pa.array(keys // len(langs))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()).take(which), pa.array((keys % len(langs)).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "k", "n"]
+            )
+
+    words = train.mapInArrow(count, "word binary, k int, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
+    words = materialise(words, "language-words") if langs else words
     for _ in range(rounds if langs else 0):
 
         def run(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
             table = Pieces(pieces)
-            number = {x: i for i, x in enumerate(langs)}
             total = np.zeros_like(logp)
-            for batch in small_batches(batches, "text", 8 << 20):
-                index, words, counts = _words(batch)
-                of = np.repeat([number[x] for x in batch.column("lang").to_pylist()], counts)
-                weights = np.bincount(index * len(langs) + of, minlength=len(words) * len(langs)).reshape(-1, len(langs))
-                total += expected_counts(table, logp, words, weights.astype(float))
+            for batch in batches:
+                lang, weight = batch.column("k").to_numpy(), batch.column("n").to_numpy().astype(float)
+                total += expected_counts(table, logp, batch.column("word").to_pylist(), lang, weight)
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], ["k", "piece", "n"]
             )
 
-        sums = train.mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n"))
+        sums = words.mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n"))
         counts = np.full(logp.shape, smoothing)
         for row in sums.toLocalIterator():
             counts[row.k, row.piece] += row.n
@@ -249,7 +299,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.pieces)
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", SLICE):
             names, score = _predictions(model, pieces, batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
@@ -265,7 +315,7 @@ def drop_unknown(docs: DataFrame, model: LanguageModel, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.pieces)
-        for batch in small_batches(batches, text_col, 8 << 20):
+        for batch in small_batches(batches, text_col, SLICE):
             text = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
             yield batch.filter(pa.array([n != "und" for n in _predictions(model, pieces, text)[0]]))
 
