@@ -226,7 +226,6 @@ def fit(
     model_file: str,
     rounds: int = 2,
     smoothing: float = 0.1,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
