@@ -62,7 +62,7 @@ def write_shards(
     to any slot (``read_slots``) and go on from there. Null is the empty text; rows that
     repeat an id are written each; an empty table writes no rows.
     """
-    made = materialise(pieces(docs, vocabulary, pattern, capacity, end_id, True, id_col, text_col), "sequences")
+    made = materialise(pieces(docs, vocabulary, pattern, capacity, end_id, True, id_col, text_col), "sequences", "zstd")
     per_task = made.groupBy("slice").agg(F.count("*").alias("n"))
     counts = {r["slice"]: r["n"] for r in per_task.toLocalIterator()}  # one number for each task
     total, shift = 0, {}
