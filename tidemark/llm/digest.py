@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,13 +191,22 @@ def with_next(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cuts = range_cuts(ids.select("doc_id"), "doc_id", parts)
     low = ids.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    starts = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    number = F.coalesce(F.size(F.filter(starts, lambda c: c <= F.col("doc_id"))), F.lit(0))
+    starts = np.array(cuts, np.int64)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        """Twice the number of the range, and one more for its first id."""
+        found = np.searchsorted(starts, ids.to_numpy(), side="right")
+        at_cut = (found > 0) & (np.append(starts, 0)[found - 1] == ids.to_numpy())
+        return pd.Series(2 * found + at_cut)
+
+    number = (F.col("place") / 2).cast("int")
     first = F.col("doc_id").isNull() if low[1] else F.col("doc_id") == F.lit(low[0])
-    back = F.when(first, F.lit(len(cuts))).when(F.array_contains(starts, F.col("doc_id")), number - 1)
+    back = F.when(first, F.lit(len(cuts))).when(F.col("place") % 2 == 1, number - 1)
     copies = F.array_compact(F.array(F.struct(number.alias("part"), F.lit(0).alias("ahead")), F.when(back.isNotNull(), F.struct(back.alias("part"), F.lit(1).alias("ahead")))))
     return (
-        ids.withColumn("at", F.explode(copies))
+        ids.withColumn("place", place(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))))
+        .withColumn("at", F.explode(copies))
         .select(F.col("at.part").alias("part"), F.col("at.ahead").alias("ahead"), "doc_id", "text")
         .repartitionById(len(cuts) + 1, F.col("part"))
         .sortWithinPartitions("ahead", "doc_id", "text")
