@@ -173,3 +173,45 @@ def test_wide_bits_are_majorities_over_distinct_shingles():
                     ones[8 * j + i] += b >> (7 - i) & 1
         want += [2 * o > len(hashes) for o in ones]
     assert n == len(hashes) and [bool(int.from_bytes(got, "big") >> (64 * simhash.WIDE - 1 - i) & 1) for i in range(64 * simhash.WIDE)] == want
+
+
+def templated(rng, base, at, changes):
+    words = list(base)
+    for i in rng.choice(at, changes, replace=False):
+        words[i] = f"n{rng.integers(1 << 40)}"
+    return words
+
+
+def test_all_members_of_a_block_are_compared(spark):
+    """Forms filled in differently share many blocks with each other; copies among them are
+    found though a stranger is the first of most of their blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    form = [f"w{i}" for i in range(200)]
+    strangers = [templated(rng, form, 200, 16) for _ in range(400)]
+    pairs = [(words, templated(rng, words, 200, 3)) for words in (templated(rng, form, 200, 16) for _ in range(20))]
+    texts = [" ".join(t) for t in strangers + [t for p in pairs for t in p]]
+    rows = list(enumerate(texts))
+    assert max(len(shingles(texts[0]) & shingles(x)) / len(shingles(texts[0]) | shingles(x)) for x in texts[1:]) < 0.75
+    component = {r.doc_id: r.component_id for r in simhash.like_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [component[i] for i in range(401)] == list(range(401))
+    assert [component[400 + 2 * i + 1] for i in range(20)] == [400 + 2 * i for i in range(20)]
+
+
+def test_similarity_is_exact(spark):
+    """Sets at 0.8 itself are linked, those just below are not, short ones as long ones."""
+    base = [f"w{i}" for i in range(10)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:9], "other"]))]  # 5 of 7
+    want = {1: 1, 2: 2}
+    for k in range(40):  # 4 of 5, and 3 of 4
+        short = [f"s{k}_{i}" for i in range(9)]
+        other = [f"t{k}_{i}" for i in range(8)]
+        rows += [(100 + 2 * k, " ".join(short)), (101 + 2 * k, " ".join(short[:8])), (300 + 2 * k, " ".join(other)), (301 + 2 * k, " ".join(other[:7]))]
+        want |= {100 + 2 * k: 100 + 2 * k, 101 + 2 * k: 100 + 2 * k, 300 + 2 * k: 300 + 2 * k, 301 + 2 * k: 301 + 2 * k}
+    for k in range(20):  # 200 of 250, and 199 of 250
+        long = [f"l{k}_{i}" for i in range(254)]
+        less = [f"m{k}_{i}" for i in range(254)]
+        rows += [(500 + 2 * k, " ".join(long)), (501 + 2 * k, " ".join(long[:204])), (700 + 2 * k, " ".join(less)), (701 + 2 * k, " ".join(less[:203]))]
+        want |= {500 + 2 * k: 500 + 2 * k, 501 + 2 * k: 500 + 2 * k, 700 + 2 * k: 700 + 2 * k, 701 + 2 * k: 701 + 2 * k}
+    assert {r.doc_id: r.component_id for r in simhash.like_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
