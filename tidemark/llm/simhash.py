@@ -182,12 +182,6 @@ def _node(hashes: np.ndarray) -> int:
     return _signed(xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether two sets (sorted, distinct) have that Jaccard similarity."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common >= similarity * (len(x) + len(y) - common) - 1e-9
-
-
 def _block_keys(classes: DataFrame, bands: int) -> DataFrame:
     """``classes`` (node, root, fp, prefix) -> (k, node, root, s, t): a row for each of the first
     ``bands`` bands with 128 bits to compare, and for each hash of the prefix (with none)."""
@@ -232,34 +226,20 @@ def block_pairs(keyed: DataFrame) -> DataFrame:
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingle hashes have that Jaccard similarity. Sets are made anew
-    from ``texts``, for the nodes of pairs alone: a bit map of fixed size tells them (and a few others)."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose ``sets`` (node, set) of shingle hashes have that Jaccard similarity. Only
+    sets of nodes in pairs are dealt out: a bit map of fixed size tells them (and a few others)."""
     pairs = materialise(pairs, "like-pairs")
-    bit = F.explode(F.array("a", "b")).alias("node")
-    size = (1 << NEEDED_BITS) - 1
-    words_of = pairs.select(bit).groupBy(F.shiftright(F.col("node").bitwiseAND(F.lit(size)), 6).alias("w"))
-    found = words_of.agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m")).toArrow()
-    needed = np.zeros(1 << (NEEDED_BITS - 6), np.int64)
-    needed[found["w"].to_numpy()] = found["m"].to_numpy()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            made = [shingle_hashes(t, words) for t in texts_of(batch, "text")]
-            kept = [(i, x) for x in made if needed[((i := _node(x)) & size) >> 6] >> (i & 63) & 1]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([x.tobytes() for _, x in kept], pa.binary())], ["node", "set"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
-            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    nodes = pairs.select(bit).distinct()
-    made = texts.mapInArrow(sets, "node long, set binary").join(nodes, "node", "left_semi")
+    node, size = F.col("node"), (1 << NEEDED_BITS) - 1
+    word = F.shiftright(node.bitwiseAND(F.lit(size)), 6)
+    bits = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy(word.alias("w"))
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m"))
+    made = sets.join(F.broadcast(bits), word == F.col("w")).filter("shiftright(m, cast(node & 63 as int)) & 1 = 1")
     made = materialise(made.groupBy("node").agg(F.first("set").alias("set")), "like-sets")
     side = lambda s: made.select(F.col("node").alias(s), F.col("set").alias("s" + s))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), "like-links")
+    common = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), common.alias("common"))
+    return materialise(met.filter(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "like-links")
 
 
 def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,19 +263,20 @@ def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             sets = [shingle_hashes(t, words) for t in texts_of(batch, "text")]
             prefix = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].tobytes() if len(x) <= SHORT else b"" for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_node(x) for x in sets], pa.int64()), pa.array([wide_bits(x) for x in sets], pa.binary()), pa.array(prefix, pa.binary())],
-                ["doc_id", "node", "fp", "prefix"],
+                [batch.column("doc_id"), pa.array([_node(x) for x in sets], pa.int64()), pa.array([wide_bits(x) for x in sets], pa.binary()), pa.array(prefix, pa.binary()),
+                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                ["doc_id", "node", "fp", "prefix", "set"],
             )
 
-    texts = docs.select(F.col(text_col).alias("text"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, f"doc_id {kind}, node long, fp binary, prefix binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, f"doc_id {kind}, node long, fp binary, prefix binary, set array<bigint>")
     rows = materialise(rows, "like-rows")
+    sets = rows.select("node", "set")
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     classes = materialise(classes, "like-classes")
-    near = _verified(first_pairs(_block_keys(classes.withColumn("root", F.col("node")), STAR_BANDS)), texts, words, similarity)
+    near = _verified(first_pairs(_block_keys(classes.withColumn("root", F.col("node")), STAR_BANDS)), sets, similarity)
     roots = materialise(connected_components(near), "like-roots")
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _verified(block_pairs(_block_keys(materialise(known.select("node", "root", "fp", "prefix"), "like-known"), BANDS)), texts, words, similarity)
+    more = _verified(block_pairs(_block_keys(materialise(known.select("node", "root", "fp", "prefix"), "like-known"), BANDS)), sets, similarity)
     roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
