@@ -86,6 +86,17 @@ def test_likeness():
     assert 0.3 < digest.likeness(a, b) < 0.9 and digest.likeness(a, c) < 0.2 and digest.likeness(b, a) == digest.likeness(a, b)
 
 
+def test_texts_without_a_popular_window_have_digests():
+    rank = np.arange(1001, dtype=np.int32)
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in range(127, 142)]
+    texts += [b"a" * 400, b"b" * 127, b"x y z " * 50, b"p q r " * 50, b"0123456789abcde" * 20]
+    found = digest.digests_of([*texts, b""], rank)
+    assert all(len(x) for x in found[:-1]) and not len(found[-1])
+    assert all(digest.likeness(a, b) < 0.5 for i, a in enumerate(found) for b in found[:i])
+    assert digest.likeness(*digest.digests_of([b"a" * 400, b"a" * 500], rank)) == 1
+
+
 def check_edits(docs, parts):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, r[1] or "")))
     want = []

@@ -91,11 +91,21 @@ def features(texts: list[bytes], rank: np.ndarray) -> list[list[int]]:
     return found
 
 
+def most_popular(text: bytes, rank: np.ndarray) -> list[int]:
+    """The hashes of the windows of a text of 127 bytes or more that are the rarest of most groups."""
+    places, times = np.unique(_rarest(np.frombuffer(text, np.uint8), rank), return_counts=True)
+    return [xxh64_intdigest(text[p : p + WINDOW]) for p in places[times == times.max()].tolist()]
+
+
 def digests_of(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """uint8 [filters, 256] for each text: a filter takes up to 160 distinct features, five
-    bits each."""
+    bits each. Where no window is the rarest of 16 groups (texts of 127 to 141 bytes have fewer
+    groups, texts of a short period as many equal windows) those of most groups stand in, so
+    only the empty text has no filter."""
     out = []
-    for found in features(texts, rank):
+    for text, found in zip(texts, features(texts, rank)):
+        if text and not found:
+            found = most_popular(text, rank)
         hashes = np.array(list(dict.fromkeys(found)), np.uint64)
         which = np.arange(len(hashes)) // FULL
         bits = np.zeros((-(-len(hashes) // FULL), FILTER_BITS), np.uint8)
