@@ -1,55 +1,10 @@
 import hashlib
 
 import numpy as np
-import pytest
 
-from tidemark.llm import digest, html_extract
+from tidemark.llm import digest
 
 
-# --- pages
-@pytest.mark.parametrize("html,lines,content", [
-    ("", [], False),
-    ("<p>one<p>two", ["one", "two"], False),
-    ("<nav>menu</nav><article><header><h1>T &amp; t</h1></header><p>a<br>b</p><aside>x</aside>c</article><footer>f</footer>", ["T & t", "a b", "c"], True),
-    ("<main><div class='side-bar ad'>x</div><p>k&nbsp; l\n m</p></main><div>out</div>", ["k l m"], True),
-    ("<article>a<script>if (a<b) '</article>'</script><style>p{}</style>b<!-- <p>c</p> --></article>", ["a b"], True),
-    ("<article><ul><li>1<li>2</ul><section class=comments><p>reader</p></section>3</article>", ["1", "2", "3"], True),
-    ("<div id=cookie-notice>no</div><div hidden>no</div><form>no</form>yes 1 < 2<foot", ["yes 1 < 2"], False),
-    ('<p title="a > b">t</p></div></p>end', ["t", "end"], False),
-])
-def test_lines(html, lines, content):
-    assert html_extract.lines_of(html) == (lines, content)
-
-
-def test_common_lines_are_a_longest_common_subsequence():
-    rng = np.random.default_rng(2)
-    for _ in range(300):
-        a, b = (["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 9))] for _ in "ab")
-        best = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
-        found = sorted(html_extract.common_lines(a, b))
-        rest = iter(b)
-        assert len(found) == best[-1, -1] and all(a[i] in rest for i in found)
-
-
-def test_pages(spark):
-    top, end = "<div>Site name</div>", "<div>Imprint</div>"
-    rows = [
-        (1, "http://h.example/a/1", f"{top}<p>first</p>{end}"), (2, "http://h.example/a/2?x=1", f"{top}<p>second</p><p>more</p>{end}"),
-        (3, "http://other.example/a/1", f"{top}<p>third</p>{end}"), (4, None, None), (5, "::bad::", "<article>x</article>"), (6, "http://h.example/b", "<article>Site name</article>"),
-        (None, "http://z.example/", "<p>é&eacute;</p>"), (1, "http://h.example/a/1", f"{top}<p>first</p>{end}"),
-    ]
-    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, host string, text int")
-    got = {(r.page_id, r.url): r for r in html_extract.extract(df).collect()}
-    assert got[2, rows[1][1]].text == "second\nmore" and got[3, rows[2][1]].text == "Site name\nthird\nImprint"
-    assert got[4, None].text == "" and got[5, "::bad::"].text == "x" and got[6, rows[5][1]].text == "Site name"
-    assert (got[None, rows[6][1]].text, got[None, rows[6][1]].n_chars) == ("éé", 2)
-    assert html_extract.extract(df).count() == 8 and html_extract.extract(df.limit(0)).count() == 0
-
-
-# --- digests
 def brute_features(text, rank):
     from xxhash import xxh64_intdigest
 
