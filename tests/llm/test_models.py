@@ -138,7 +138,7 @@ def test_elias_fano():
 
 
 # --- language
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     table = langid.Pieces(sorted({bytes([b]) for b in range(256)} | {b"ab", b"bc", b"abc", b"ca"}))
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(len(table.pieces)), 2))
@@ -164,6 +164,12 @@ def test_forward_sums_all_segmentations():
     part = langid.word_scores(table, logp, [long[: langid.LONG], long])
     assert np.allclose(langid._long_score(table, langid._tilted(table, logp), long[: langid.LONG]) - langid.RATE * langid.LONG, part[0])
     assert part[1][0] < part[0][0]
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    mixed, two, three = [b"abcab" * 30, b"cabca" * 25, bytes(rng.integers(0, 256, 130).astype(np.uint8))], np.array([0, 1, 1]), np.array([1.0, 2.0, 0.5])
+    one_by_one = langid.word_scores(table, logp, mixed), langid.expected_counts(table, logp, mixed, two, three)
+    monkeypatch.setattr(langid, "LONG", 1000)
+    assert np.allclose(one_by_one[0], langid.word_scores(table, logp, mixed))
+    assert np.allclose(one_by_one[1], langid.expected_counts(table, logp, mixed, two, three))
     lang, weight = np.array([0, 1, 0, 1]), np.array([1.0, 2.0, 1.0, 3.0])
     counts = langid.expected_counts(table, logp, words, lang, weight)
     assert np.allclose((counts * [len(p) for p in table.pieces]).sum(axis=1), [1 + 6, 2 * 3 + 3 * 3])

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialise, small_batches
 
+#: Longer words are summed one by one, rescaled as they go.
 LONG = 96
-SLICE = 32 << 20
+SLICE = 8 << 20
+CHUNK = 1 << 12
 SPACE = "▁"
 #: Tilt by the byte: keeps a word's probability in the range of a double; divided out again.
 RATE = 3.0
@@ -22,17 +24,15 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def byte_pieces(model_file: str, max_bytes: int = 16) -> list[bytes]:
-    """The pieces of a sentencepiece vocabulary as bytes, every single byte among them."""
+def byte_pieces(model_file: str) -> list[bytes]:
+    """All pieces of a sentencepiece vocabulary as bytes, every single byte among them."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     found = {bytes([b]) for b in range(256)}
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            piece = sp.id_to_piece(i).lower().encode()
-            if len(piece) <= max_bytes:
-                found.add(piece)
+            found.add(sp.id_to_piece(i).lower().encode())
     return sorted(found)
 
 
@@ -125,28 +125,88 @@ def _tilted(pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return np.exp(logp + RATE * np.array([len(p) for p in pieces.pieces]))
 
 
+def _matches(pieces: Pieces, word: bytes, ends: range) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each of the ``ends``, in their order, the (start, piece number) of the pieces of one
+    long word that end there; a chunk of ends at a time."""
+    step = 1 if ends.step > 0 else -1
+    for at in range(0, len(ends), CHUNK):
+        part = ends[at : at + CHUNK]
+        low, high = min(part[0], part[-1]), max(part[0], part[-1])
+        first = max(0, low - pieces.longest)
+        data = np.frombuffer(word[first:high], np.uint8).astype(np.uint64) + np.uint64(1)
+        rows, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(high - low + 1)]
+        for size in range(1, pieces.longest + 1):
+            inside = rows + size <= len(data)
+            rows, h = rows[inside], h[inside]
+            h = h * MULTIPLIER + data[rows + size - 1]
+            piece = pieces.find(h)
+            alive = piece > -2
+            rows, h, piece = rows[alive], h[alive], piece[alive]
+            whole = piece >= 0
+            for start, p in zip((first + rows[whole]).tolist(), piece[whole].tolist()):
+                if low <= start + size:
+                    found[start + size - low].append((start, p))
+            if not len(rows):
+                break
+        for end, here in zip(range(low, high + 1)[::step], found[::step]):
+            yield end, here
+
+
 def _long_score(pieces: Pieces, tilted: np.ndarray, word: bytes) -> np.ndarray:
-    """The forward sum of one long word; rescaled as it goes, in memory of its longest piece."""
-    alpha = [np.ones(tilted.shape[0])]
-    scale = np.zeros(tilted.shape[0])
-    data = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
-    for end in range(1, len(word) + 1):
-        first = max(0, end - pieces.longest)
-        h, power, hashes = np.uint64(0), np.uint64(1), []
-        with np.errstate(over="ignore"):
-            for start in range(end - 1, first - 1, -1):
-                h = h + data[start] * power
-                power = power * MULTIPLIER
-                hashes.append(h)
-        found = pieces.find(np.array(hashes, np.uint64))
-        now = np.zeros(tilted.shape[0])
-        for back, piece in enumerate(found):
-            if piece >= 0:
-                now += alpha[-1 - back] * tilted[:, piece]
-        top = np.maximum(now, 1e-300)
-        alpha = [a / top for a in [*alpha, now][-pieces.longest :]]
-        scale += np.log(top)
-    return scale + np.log(alpha[-1])
+    """The forward sums of one long word in each language; rescaled as they go, in memory of
+    a chunk."""
+    out = []
+    for row in tilted.tolist():
+        alpha, scale, keep = [1.0], 0.0, pieces.longest + 1
+        for end, here in _matches(pieces, word, range(1, len(word) + 1)):
+            base = end - len(alpha)
+            now = sum(alpha[start - base] * row[p] for start, p in here)
+            alpha.append(now)
+            if len(alpha) > 4 * keep or not 1e-200 < now < 1e200:
+                alpha = [a / now for a in alpha[-keep:]]
+                scale += float(np.log(now))
+        out.append(scale + float(np.log(alpha[-1])))
+    return np.array(out)
+
+
+def _long_counts(pieces: Pieces, row: list[float], word: bytes, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(piece numbers, expected uses) of one long word in its language: forward and backward
+    sums over all segmentations, each value beside the logarithm of what it was divided by."""
+    size, keep = len(word), pieces.longest + 1
+
+    def sums(ends: range) -> tuple[np.ndarray, np.ndarray]:
+        """From the front (at the ends of pieces) or from the back (at their starts)."""
+        back = ends.step < 0
+        value, log = [0.0] * (size + 1), np.zeros(size + 1)
+        value[size if back else 0] = 1.0
+        scale = 0.0
+        for end, here in _matches(pieces, word, ends):
+            if back:
+                for start, p in here:
+                    value[start] += value[end] * row[p]
+                done, around = end - 1, range(max(0, end - keep), end)
+            else:
+                value[end] = sum(value[start] * row[p] for start, p in here)
+                done, around = end, range(max(0, end - keep), end + 1)
+            top = value[done]
+            log[done] = scale
+            if not 1e-100 < top < 1e100:
+                for i in around:
+                    value[i] /= top
+                    log[i] = scale + np.log(top)
+                scale += float(np.log(top))
+        return np.array(value), log
+
+    alpha, alog = sums(range(1, size + 1))
+    beta, blog = sums(range(size, 0, -1))
+    with np.errstate(divide="ignore"):
+        a, b, r = np.log(alpha) + alog, np.log(beta) + blog, np.log(row)
+    uses: dict[int, float] = {}
+    for end, here in _matches(pieces, word, range(1, size + 1)):
+        for start, p in here:
+            uses[p] = uses.get(p, 0.0) + float(np.exp(a[start] + r[p] + b[end] - a[size]))
+    return np.fromiter(uses, np.int64, len(uses)), weight * np.fromiter(uses.values(), float, len(uses))
 
 
 def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -170,21 +230,19 @@ def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndar
 
 def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[bytes], lang: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """[language, piece]: the expected uses of each piece, by forward and backward sums over
-    all segmentations of each word in its language. Words of over LONG bytes are cut into
-    parts of LONG bytes here (for fitting alone)."""
-    tilted = _tilted(pieces, logp).ravel()
+    all segmentations of each whole word in its language."""
+    tilted = _tilted(pieces, logp)
     counts = np.zeros(logp.size)
-    cut, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, len(w), LONG):
-            cut.append(w[at : at + LONG])
-            owner.append(i)
-    base, weight = lang[owner].astype(np.int64) * logp.shape[1], weight[owner]
-    sizes = np.array([len(w) for w in cut], np.int64)
-    for length in np.unique(sizes):
+    base = lang.astype(np.int64) * logp.shape[1]
+    sizes = np.array([len(w) for w in words], np.int64)
+    for i in np.flatnonzero(sizes > LONG):
+        found, n = _long_counts(pieces, tilted[lang[i]].tolist(), words[i], weight[i])
+        counts[base[i] + found] += n
+    tilted = tilted.ravel()
+    for length in np.unique(sizes[(sizes > 0) & (sizes <= LONG)]):
         whole = np.flatnonzero(sizes == length)
         for part in np.array_split(whole, len(whole) * int(length) // 200_000 + 1):
-            data = np.frombuffer(b"".join(cut[i] for i in part), np.uint8).reshape(len(part), length)
+            data = np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), length)
             lattice = [[(s, rows, base[part[rows]] + found) for s, rows, found in x] for x in _lattice(pieces, data)]
             alpha = np.zeros((length + 1, len(part)))
             alpha[0] = 1
