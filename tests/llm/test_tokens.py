@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import json
+import struct
 import zlib
 from itertools import product
 
@@ -133,23 +135,61 @@ def test_permutation():
     assert token_output.permute(np.arange(100), 100, 1).tolist() != token_output.permute(np.arange(100), 100, 2).tolist()
 
 
+def shard_file(path, shard):
+    (file,) = (path / "shards" / f"shard={shard}").glob("part-*")
+    return file
+
+
 def test_shards(spark, odd_docs, no_docs, tmp_path):
-    path = str(tmp_path / "shards")
-    total = token_output.write_shards(odd_docs, path, JSON, P.PATTERN, shard_rows=4)
-    rows = token_output.read_slots(spark, path).withColumn("file", F.input_file_name()).collect()
-    assert sorted(r.slot for r in rows) == list(range(total)) and all(r.shard == r.slot // 4 for r in rows)
-    assert all(len({r.file for r in rows if r.shard == s}) == 1 for s in {r.shard for r in rows}) and {len(r.tokens) for r in rows} == {2048}
-    found = {}
-    for r in rows:
-        ids = np.frombuffer(r.tokens, "<u2")
-        assert not ids[r.length :].any()
-        row = (str(r.doc_id), r.piece, zlib.crc32(ids[: r.length].astype("<u4").tobytes()))
-        found[row] = found.get(row, 0) + 1
+    path = tmp_path / "shards"
+    total = token_output.write_shards(odd_docs, str(path), JSON, P.PATTERN, shard_rows=4)
+    m = token_output.read_manifest(spark, str(path))
+    assert m["sequences"] == total and m["stride"] == 12 + 2048 + 1 and m["id_bytes"] == 2
+    found, index = {}, spark.read.parquet(str(path / "index")).collect()
+    filled = 0
+    for s in range(total):  # by seeking alone
+        with open(shard_file(path, s // 4), "rb") as f:
+            f.seek(s % 4 * m["stride"])
+            record = f.read(m["stride"])
+        slot, used = struct.unpack_from("<qi", record)
+        ids = np.frombuffer(record[12:-1], "<u2")
+        assert slot == s and not ids[used:].any() and len(record) == m["stride"]
+        filled += used
+        at = 0
+        for r in sorted((r for r in index if r.slot == s), key=lambda r: r.offset):
+            assert r.offset == at
+            row = (str(r.doc_id), r.piece, zlib.crc32(ids[at : at + r.length].astype("<u4").tobytes()))
+            found[row] = found.get(row, 0) + 1
+            at += r.length
+        assert at == used
     want = {}
     for (i, k, _, _, crc), n in brute_pieces(odd_docs).items():
         want[i, k, crc] = want.get((i, k, crc), 0) + n
-    assert found == want
-    assert [r.slot for r in token_output.read_slots(spark, path, 5, 3).orderBy("slot").collect()] == [5, 6, 7]
+    assert found == want and filled > 0.9 * 1024 * (total - 1)
+    all_rows = {r.slot: (r.length, bytes(r.tokens)) for r in token_output.read_slots(spark, str(path)).collect()}
+    assert sorted(all_rows) == list(range(total)) and all(len(t) == 2 * n for n, t in all_rows.values())
+    for first, count in ((0, 1), (3, 3), (5, None), (total, 4), (0, 0)):
+        got = {r.slot: (r.length, bytes(r.tokens)) for r in token_output.read_slots(spark, str(path), first, count).collect()}
+        last = total if count is None else min(total, first + count)
+        assert got == {s: all_rows[s] for s in range(first, last)}
     assert token_output.write_shards(no_docs, str(tmp_path / "none"), JSON, P.PATTERN) == 0
-    got = token_output.shard_digests(odd_docs, JSON, P.PATTERN, shard_rows=4).collect()
-    assert {(r.slot, r.shard, r.byte_offset) for r in got} == {(s, s // 4, s % 4 * 2048) for s in range(total)}
+    assert token_output.read_slots(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_slots_depend_on_the_documents_alone(spark, some_docs, odd_docs):
+    for docs in (some_docs, odd_docs.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        seen = [sorted(map(str, token_output.shard_digests(docs.repartition(n), JSON, P.PATTERN, shard_rows=32).collect())) for n in (1, 3, 7)]
+        assert seen[0] == seen[1] == seen[2] and seen[0]
+
+
+def test_wide_ids_survive(spark, tmp_path):
+    with open(JSON, encoding="utf-8") as f:
+        loaded = json.load(f)
+    loaded["added_tokens"].append({"id": 70_000, "content": "zqx", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    file = tmp_path / "wide.json"
+    file.write_text(json.dumps(loaded), encoding="utf-8")
+    assert tokens.id_bytes(str(file)) == 4
+    docs = spark.createDataFrame([(1, "one two")], "doc_id int, text string")
+    token_output.write_shards(docs, str(tmp_path / "out"), str(file), P.PATTERN, end_id=70_000)
+    (row,) = token_output.read_slots(spark, str(tmp_path / "out")).collect()
+    assert np.frombuffer(row.tokens, "<u4").tolist() == [*hf().encode("one two", add_special_tokens=False).ids, 70_000]

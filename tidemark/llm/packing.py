@@ -95,14 +95,22 @@ def pack(
     among its length is its rank in the task that made it plus what earlier tasks made, so
     nothing is sorted and a very common length is spread over all tasks.
     """
-    made = materialise(pieces(docs, vocabulary, pattern, capacity, end_id, False, id_col, text_col), "pack-pieces")
+    made = materialise(pieces(docs, vocabulary, pattern, capacity, end_id, id_col, text_col), "pack-pieces")
+    return placed(made, capacity)[0]
+
+
+def placed(made: DataFrame, capacity: int = 1024) -> tuple[DataFrame, int]:
+    """(``made`` with sequence_id and offset instead of slice and rank, number of sequences).
+    ``made`` is a written table of pieces: ``rank`` counts those of one length within a slice."""
     per_task = made.groupBy("slice", "length").agg(F.count("*").alias("n")).checkpoint()
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
-    table = places(minimum_bin_slack(counts, capacity))
+    bins = minimum_bin_slack(counts, capacity)
+    table = places(bins)
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_task.select("slice", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")).checkpoint()
     ranked = made.join(shifts, ["slice", "length"]).withColumn("rank", F.col("rank") + F.col("shift"))
-    kind = made.schema["doc_id"].dataType.simpleString()
+    kept = [f for f in made.schema.fields if f.name not in ("slice", "rank")]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +124,7 @@ def pack(
                 turn, which = np.divmod(ranks[rows] - at[:, 0], at[:, 2])
                 sequence[rows] = at[:, 1] + which
                 offset[rows] = at[:, 3] + turn * length
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return ranked.select(*names, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long"), sum(times for _, times in bins)

@@ -1,19 +1,28 @@
-"""Training-order materialisation: token sequences in fixed-stride shards."""
+"""Training-order materialisation: packed token sequences in raw fixed-stride shards."""
 
 from __future__ import annotations
 
+import json
+import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
-from .tokens import pieces
+from .packing import placed
+from .tokens import chunks, id_bytes
 
 ROUNDS = 6
+#: A record: slot and number of tokens, the ids, and the byte that Spark's text writer ends each row with.
+HEADER = "<qi"
+END = b"\n"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,6 +49,30 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def ranked_by_id(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (slice, n, doc_id, piece, length, ids_crc32) with another slice and a rank: in
+    the order of ids and pieces, whatever task they came from. Equal rows may change places."""
+    kept = [f.name for f in pieces.schema.fields if f.name != "slice"]
+    order = ["doc_id", "piece", "ids_crc32", "length"]
+    dealt = pieces.withColumnRenamed("slice", "task").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen: Counter[int] = Counter()
+        for batch in batches:
+            lengths = batch.column("length").to_numpy()
+            ranks = np.zeros(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == length)
+                ranks[rows] = seen[length] + np.arange(len(rows))
+                seen[length] += len(rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(ranks)], [*batch.schema.names, "slice", "rank"])
+
+    dealt = dealt.select("task", *kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    return dealt.mapInArrow(run, f"{schema}, slice int, rank long")
+
+
 def write_shards(
     docs: DataFrame,
     path: str,
@@ -48,72 +81,141 @@ def write_shards(
     capacity: int = 1024,
     end_id: int | None = 2,
     pad_id: int = 0,
-    shard_rows: int = 4096,
+    shard_rows: int = 1 << 15,
     key: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> int:
-    """Write every sequence (each piece of each row's ids) to its slot; gives their number.
-
-    Sequences are numbered in the order of the input's partitions and rows, and the keyed
-    permutation gives each number its slot. Shard k is one Parquet file with the slots from
-    k * shard_rows on, in order: (shard, slot, doc_id, piece, length, tokens), tokens being
-    2 * capacity bytes (16-bit little-endian ids, padded with pad_id). So a reader can seek
-    to any slot (``read_slots``) and go on from there. Null is the empty text; rows that
-    repeat an id are written each; an empty table writes no rows.
+    """Write packed sequences of all rows' ids (see ``packing``) to their slots; gives their number.
+
+    Sequences are packed and numbered in the order of ids and pieces, and the keyed permutation
+    gives each number its slot; so where a token comes to stand depends on the documents, the key
+    and the capacity alone. Folders of ``path``: ``shards/shard=k``, one raw file of ``shard_rows``
+    records from slot k * shard_rows on, a record being ``stride`` bytes: slot (64 bits), number of
+    tokens (32 bits), ``capacity`` ids of 16 bits (32 where the vocabulary has more), padded with
+    ``pad_id``, and a line feed; ``index``, Parquet of (slot, offset, doc_id, piece, length); and
+    ``manifest``, JSON of what a reader needs. So slot s stands at byte (s % shard_rows) * stride of
+    its file. The default makes shards of 67 MB. Null is the empty text; rows that repeat an id
+    are written each; a very long text is cut into pieces; an empty table writes no records.
+
+    The ids are written once, in buckets of the task that made them, so that slots come to them
+    without another exchange; one exchange takes them to their shards.
     """
-    made = materialise(pieces(docs, vocabulary, pattern, capacity, end_id, True, id_col, text_col), "sequences", "zstd")
-    per_task = made.groupBy("slice").agg(F.count("*").alias("n"))
-    counts = {r["slice"]: r["n"] for r in per_task.toLocalIterator()}  # one number for each task
-    total, shift = 0, {}
-    for part in sorted(counts):
-        shift[part], total = total, total + counts[part]
-    shards = max(1, -(-total // shard_rows))
-    pad = np.array([pad_id], "<u2").tobytes()
-    kind = made.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    width = id_bytes(vocabulary)
+    made = chunks(docs, vocabulary, pattern, capacity, end_id, id_col, text_col)
+    made.write.bucketBy(buckets, "slice").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    made = spark.table(name)
+    each = F.arrays_zip("doc_id", "piece", "length", "ids_crc32")
+    slim = made.select("slice", "first", F.posexplode(each).alias("at", "p")).select("slice", (F.col("first") + F.col("at")).alias("n"), "p.*")
+    packed, total = placed(materialise(ranked_by_id(slim), "sequence-pieces"), capacity)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array([shift[s] for s in batch.column("slice").to_pylist()], np.int64)
-            slot = permute(at + batch.column("rank").to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), *(batch.column(c) for c in ("doc_id", "piece", "length", "ids"))],
-                ["shard", "slot", "doc_id", "piece", "length", "ids"],
-            )
-
-    placed = made.select("slice", "rank", "doc_id", "piece", "length", "ids").mapInArrow(
-        run, f"shard int, slot long, doc_id {kind}, piece int, length long, ids binary"
-    )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(permute(batch.column("sequence_id").to_numpy(), total, key))], [*batch.schema.names[:-1], "slot"])
+
+    packed = packed.select("task", "n", "doc_id", "piece", "length", "offset", "sequence_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1])
+    packed = materialise(packed.mapInArrow(slots, f"{schema}, slot long"), "sequence-slots")
+    packed.select("slot", "offset", "doc_id", "piece", "length").write.parquet(f"{path}/index")
+
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    to_place = packed.groupBy(F.col("task").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("n", "slot", "offset"))).alias("places"))
 
-    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data = [x + pad * (capacity - len(x) // 2) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], [*batch.schema.names[:-1], "tokens"])
+            for i in range(batch.num_rows):
+                first, ids = batch.column("first")[i].as_py(), batch.column("ids")[i].as_buffer()
+                lengths = batch.column("length")[i].values.to_numpy()
+                mine = batch.column("places")[i].values.slice(first, len(lengths))
+                ends = np.cumsum(lengths) * width
+                data = [press.compress(ids[int(b) - int(n) * width : int(b)]) for b, n in zip(ends, lengths)]
+                slot = mine.field("slot").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), mine.field("offset"), pa.array(data, pa.binary())], ["shard", "slot", "offset", "ids"]
+                )
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = np.array([pad_id], f"<u{width}").tobytes()
+        press = zstandard.ZstdDecompressor()
+        held: tuple[int, int, list[bytes]] | None = None
+
+        def made_of(shard: int, slot: int, parts: list[bytes]) -> tuple[int, bytes]:
+            body = b"".join(parts)
+            used = len(body) // width
+            return shard, struct.pack(HEADER, slot, used) + body + pad * (capacity - used)
+
+        def batch_of(done: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], ["shard", "record"])
 
+        for batch in batches:
+            done = []
+            for shard, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "ids"))):
+                if held and held[1] != slot:
+                    done.append(made_of(*held))
+                    held = None
+                held = held or (shard, slot, [])
+                held[2].append(press.decompress(ids))
+            yield batch_of(done)
+        if held:
+            yield batch_of([made_of(*held)])
+
+    placed_ids = made.select("slice", "first", "length", "ids").join(to_place, "slice").select("first", "length", "ids", "places")
     (
-        placed.repartitionById(shards, F.col("shard"))
-        .sortWithinPartitions("slot")
-        .mapInArrow(padded, f"shard int, slot long, doc_id {kind}, piece int, length long, tokens binary")
-        .write.option("compression", "zstd")
-        .parquet(path)
+        placed_ids.mapInArrow(to_shards, "shard int, slot long, offset long, ids binary")
+        .repartitionById(max(1, -(-total // shard_rows)), F.col("shard"))
+        .sortWithinPartitions("shard", "slot", "offset")
+        .mapInArrow(records, "shard int, record binary")
+        .select("shard", F.col("record").cast("string").alias("value"))
+        .write.partitionBy("shard").option("compression", "none").option("lineSep", END.decode()).text(f"{path}/shards")
     )
+    manifest = {
+        "sequences": total, "shard_rows": shard_rows, "stride": struct.calcsize(HEADER) + capacity * width + len(END), "header": struct.calcsize(HEADER), "id_bytes": width,
+        "capacity": capacity, "pad_id": pad_id, "key": key, "id_type": kind,
+    }
+    spark.range(1).coalesce(1).select(F.lit(json.dumps(manifest)).alias("value")).write.text(f"{path}/manifest")
+    spark.sql(f"DROP TABLE {name}")
     return total
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
-    """The sequences from slot ``first`` on, in order within each shard; the bounds reach the
-    Parquet files, so shards before ``first`` are not read."""
-    rows = spark.read.parquet(path).filter(F.col("slot") >= first)
-    return rows if count is None else rows.filter(F.col("slot") < first + count)
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first().value)
 
 
-def shard_digests(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, shard_rows: int = 4096, **options) -> DataFrame:
-    """Write the shards in the shared folder and read them back: (slot, shard, byte_offset,
-    doc_id, piece, length, tokens_crc32)."""
+def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
+    """(slot, length, tokens) of the sequences from slot ``first`` on, in their order within each
+    shard; ``tokens`` are the bytes of the ids without padding. Only the shards asked for are
+    opened, by records of fixed length, so a reader that stopped goes on at any slot."""
+    m = read_manifest(spark, path)
+    last = m["sequences"] if count is None else min(m["sequences"], first + count)
+    shards = range(first // m["shard_rows"], -(-last // m["shard_rows"])) if last > first else range(0)
+    schema = "slot long, length int, tokens binary"
+    if not shards:
+        return spark.createDataFrame([], schema)
+    whole = len(shards) * m["shard_rows"] >= m["sequences"]
+    files = f"{path}/shards/shard=*/*" if whole else ",".join(f"{path}/shards/shard={k}/*" for k in shards)
+    header, width = m["header"], m["id_bytes"]
+
+    def parsed(record: bytes) -> tuple[int, int, bytearray]:
+        slot, used = struct.unpack_from(HEADER, record)
+        return slot, used, bytearray(record[header : header + used * width])
+
+    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(files, m["stride"]).map(parsed), schema)
+    return rows if whole and not first else rows.filter((F.col("slot") >= first) & (F.col("slot") < last))
+
+
+def shard_digests(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, shard_rows: int = 1 << 15, **options) -> DataFrame:
+    """Write the shards in the shared folder and read them back: (slot, shard, byte_offset, length,
+    tokens_crc32, doc_ids, pieces) for each sequence; the documents and their pieces in order."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
     write_shards(docs, path, vocabulary, pattern, capacity, shard_rows=shard_rows, **options)
-    return read_slots(spark, path).select(
-        "slot", "shard", (F.col("slot") % shard_rows * (2 * capacity)).alias("byte_offset"),
-        "doc_id", "piece", "length", F.crc32("tokens").alias("tokens_crc32"),
+    stride = read_manifest(spark, path)["stride"]
+    index = spark.read.parquet(f"{path}/index").groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece"))).alias("parts"))
+    return read_slots(spark, path).select("slot", F.col("length").cast("long").alias("length"), F.crc32("tokens").alias("tokens_crc32")).join(index, "slot").select(
+        "slot", F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"), (F.col("slot") % shard_rows * stride).alias("byte_offset"),
+        "length", "tokens_crc32", F.col("parts.doc_id").alias("doc_ids"), F.col("parts.piece").alias("pieces"),
     )

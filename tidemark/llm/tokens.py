@@ -48,22 +48,29 @@ def piece_starts(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
+def id_bytes(vocabulary: str) -> int:
+    """2 where all ids of the vocabulary fit into 16 bits, else 4."""
+    with open(vocabulary, encoding="utf-8") as f:
+        loaded = json.load(f)
+    ids = [*loaded["model"]["vocab"].values(), *(t["id"] for t in loaded.get("added_tokens") or ())]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def pieces(
     docs: DataFrame,
     vocabulary: str,
     pattern: str,
     capacity: int = 1024,
     end_id: int | None = 2,
-    payload: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """A row for each piece of at most ``capacity`` tokens of each text's ids, then ``end_id``:
-    (doc_id, piece, start, length, ids_crc32, slice, rank[, ids]). ``slice`` numbers the task
-    and ``rank`` the pieces of one length within it (with payload: all pieces of the task), so
-    that global ranks need no sort: see ``packing``. They belong together only once written.
-    Null is the empty text, which is one piece of ``end_id`` alone. ``ids`` are little-endian
-    and of 16 bits where the vocabulary allows."""
+    (doc_id, piece, start, length, ids_crc32, slice, rank). ``slice`` numbers the task and
+    ``rank`` the pieces of one length within it, so that global ranks need no sort: see
+    ``packing``. They belong together only once written. Null is the empty text, which is one
+    piece of ``end_id`` alone. A very long text is encoded as a whole. Repeated rows give their pieces each,
+    an empty table none."""
     kind = docs.schema[id_col].dataType.simpleString()
     tail = [] if end_id is None else [end_id]
 
@@ -72,27 +79,65 @@ def pieces(
         part = TaskContext.get().partitionId()
         ranks: Counter[int] = Counter()
         for batch in small_batches(batches, "text", 1 << 20):
-            owner, rows, data = [], [], []
+            owner, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = array("I", encode(text or "") + tail)
                 raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
                 starts = piece_starts(len(ids), capacity) if ids else []
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                    key = -1 if payload else b - a
                     owner.append(i)
-                    rows.append((k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), part, ranks[key]))
-                    ranks[key] += 1
-                    if payload:
-                        data.append(np.frombuffer(raw[4 * a : 4 * b], "<u4").astype("<u2").tobytes())
+                    rows.append((k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), part, ranks[b - a]))
+                    ranks[b - a] += 1
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "slice", "rank"]
-            if payload:
-                arrays, names = [*arrays, pa.array(data, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, slice int, rank long"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, schema + ", ids binary" * payload
+        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, slice int, rank long"
+    )
+
+
+def chunks(
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    capacity: int = 1024,
+    end_id: int | None = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The same pieces with their ids, a row for about a megabyte of text: (slice, first, doc_id,
+    piece, length, ids_crc32, ids). ``first`` is the place of the row's first piece among those of
+    its task; then an array with an item for each piece, and the ids of all of them side by side,
+    of ``id_bytes`` each, little-endian."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    tail = [] if end_id is None else [end_id]
+    width = f"<u{id_bytes(vocabulary)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary, pattern)
+        part, first = TaskContext.get().partitionId(), 0
+        for batch in small_batches(batches, "text", 1 << 20):
+            owner, piece, length, crc, data = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.array(encode(text or "") + tail, "<u4")
+                starts = piece_starts(len(ids), capacity) if len(ids) else []
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+                    owner.append(i)
+                    piece.append(k)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                data.append(ids.astype(width).tobytes())
+            ends = pa.array([0, len(owner)], pa.int32())
+            lists = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists), pa.array([b"".join(data)], pa.binary())],
+                ["slice", "first", "doc_id", "piece", "length", "ids_crc32", "ids"],
+            )
+            first += len(owner)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"slice int, first long, doc_id array<{kind}>, piece array<int>, length array<bigint>, ids_crc32 array<bigint>, ids binary"
     )
