@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, license_scan, lm_score
+from tidemark.llm import elias_fano, langid, license_scan, lm_score
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,71 +70,107 @@ def test_base_scores(odd_docs, some_docs, no_docs):
     assert lm_score.train_and_score(no_docs).count() == 0
 
 
-def naive_model(train, share, ngram_share, pair_share, discount=0.75, add=0.1):
-    """Dictionaries instead of the trie: probability of a word after two others."""
-    texts = [[*words_of(t), "</s>"] for t in train]
-    c = Counter(w for t in texts for w in t)
+def naive_model(train):
+    """Dictionaries instead of tries: the probability of a word after two others."""
+    d, add = lm_score.DISCOUNT, lm_score.ADD
+    texts = [["<s>", "<s>", *words_of(t), "</s>"] for t in train]
+    c = Counter(w for t in texts for w in t[2:])
     n = sum(c.values())
-    vocabulary = {w for w in c if c[w] >= max(1, math.ceil(share * n)) or w == "</s>"}
-    least = max(2, math.ceil(ngram_share * n))
-    frequent = {w for w in vocabulary if c[w] >= max(least, math.ceil(pair_share * n)) or w == "</s>"}
-    two = Counter(p for t in texts for p in zip(t, t[1:]) if p[0] in frequent and p[1] in frequent)
-    two = {p: x for p, x in two.items() if x >= least}
-    three = Counter(p for t in texts for p in zip(t, t[1:], t[2:]) if p[:2] in two and p[1:] in two)
-    three = {p: x for p, x in three.items() if x >= least}
-    uni = lambda w: (c[w] + add) / (n + add * (len(c) + 1))
-
-    def p2(a, w):
-        left = 1 - sum(x - discount for p, x in two.items() if p[0] == a) / c[a] if a in frequent and c[a] else 1
-        return (two[a, w] - discount) / c[a] + left * uni(w) if (a, w) in two else left * uni(w)
-
-    def p3(a, b, w):
-        if (a, b) not in two:
-            return p2(b, w)
-        left = 1 - sum(x - discount for p, x in three.items() if p[:2] == (a, b)) / two[a, b]
-        return (three[a, b, w] - discount) / two[a, b] + left * p2(b, w) if (a, b, w) in three else left * p2(b, w)
+    three = Counter(p for t in texts for p in zip(t, t[1:], t[2:]))
+    two = Counter(p[1:] for p in three.elements())
+    after1, after2, kinds1, kinds2 = Counter(), Counter(), Counter(), Counter()
+    for (v, _), x in two.items():
+        after1[v] += x
+        kinds1[v] += 1
+    for (u, v, _), x in three.items():
+        after2[u, v] += x
+        kinds2[u, v] += 1
+
+    def p1(w):
+        return (c[w] + add) / (n + add * (len(c) + 1))
+
+    def p2(v, w):
+        return (max(two[v, w] - d, 0) + d * kinds1[v] * p1(w)) / after1[v] if after1[v] else p1(w)
+
+    def p3(u, v, w):
+        return (max(three[u, v, w] - d, 0) + d * kinds2[u, v] * p2(v, w)) / after2[u, v] if after2[u, v] else p2(v, w)
 
     def score(text):
-        t = [*words_of(text), "</s>"]
-        total = math.log10(uni(t[0]))
-        if len(t) > 1:
-            total += math.log10(p2(t[0], t[1]))
-        return total + sum(math.log10(p3(*t[i - 2 : i + 1])) for i in range(2, len(t)))
+        t = ["<s>", "<s>", *words_of(text), "</s>"]
+        return sum(math.log10(p3(*x)) for x in zip(t, t[1:], t[2:]))
 
-    return score, p3, vocabulary
+    return score, p3
 
 
-def test_trie_scores_are_those_of_dictionaries(spark):
+@pytest.mark.parametrize("parts,slice_bytes", [(1, 1 << 20), (7, 200), (40, 64)])
+def test_scores_are_those_of_dictionaries(spark, parts, slice_bytes, monkeypatch):
+    """Whatever the parts and slices: with 40 parts most words are dealt out by their neighbours."""
+    monkeypatch.setattr(lm_score, "SLICE", slice_bytes)
     rng = np.random.default_rng(3)
     names = ["a", "b", "c", "d", "rare1", "rare2"]
     texts = [" ".join(rng.choice(names, p=[0.4, 0.3, 0.15, 0.13, 0.01, 0.01], size=rng.integers(0, 12))) for _ in range(60)]
-    options = {"share": 0.02, "ngram_share": 0.01, "pair_share": 0.03}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    model = lm_score.train(docs, **options)
-    score, p3, vocabulary = naive_model(texts, **options)
-    probe = [*texts[:30], "a unseen b", "rare1 a b c", "", None]
-    got = lm_score.score(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model).collect()
-    assert len(vocabulary) < 7 and lm_score.Trie.load(model.trie).levels[1].keys.size > 3
-    for r in got:  # probabilities are kept in 256 levels and single precision
-        assert r.score == pytest.approx(score(probe[r.doc_id]), abs=2e-3 + 1e-3 * r.n_tokens)
-    for context in (("a", "b"), ("b", "rare1"), ("d", "c")):
+    probe = ["a unseen b", "rare1 a b c", "", None, "unseen only", "d d d d d"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, t, False) for i, t in enumerate(probe)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    score, p3 = naive_model(texts)
+    got = lm_score.score_corpus(docs, F.col("train"), parts=parts).collect()
+    assert len(got) == len(rows)
+    text_of = {i: t for i, t, _ in rows}
+    for r in got:  # probabilities are kept in 255 levels
+        assert r.score == pytest.approx(score(text_of[r.doc_id]), abs=1e-3 * r.n_tokens)
+    for context in (("a", "b"), ("b", "rare1"), ("d", "c"), ("<s>", "a")):
         assert sum(p3(*context, w) for w in [*set(" ".join(texts).split()), "</s>", "new"]) == pytest.approx(1)
 
 
 def test_model_beats_unigrams_on_held_out_text(some_docs):
-    rows = lm_score.train_and_score(some_docs.sample(0.999, seed=1)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert rows[0] > rows[1]
+    rows = lm_score.train_and_score(some_docs).filter("held_out").collect()
+    assert len(rows) > 10 and sum(r.score for r in rows) > 1.02 * sum(r.base_score for r in rows)
+
+
+def test_tries_are_read_in_place():
+    """Few bytes for an n-gram, and nothing decoded beside the map."""
+    rng = np.random.default_rng(4)
+    tokens = (rng.zipf(1.25, 400_000) % 30_000).astype(np.int64)
+    hashes = np.unique(rng.integers(3, 1 << 63, 30_000).astype(np.uint64))
+    rng.shuffle(hashes)
+    tokens %= len(hashes)
+    dealt = lm_score.Shares(1, np.array([1], np.uint64), np.array([1]), np.array([1]))
+    asked = lm_score.Ngrams.of(hashes, tokens, np.array([len(tokens)]), dealt)
+    h = np.concatenate([hashes, np.array([1, 2], np.uint64)])
+    contexts, words = np.unique(h), np.unique(h & lm_score.LOW48)
+    v, u, w = (np.searchsorted(x, y) for x, y in ((contexts, h[asked.v]), (words, h[asked.u] & lm_score.LOW48), (words, h[asked.w] & lm_score.LOW48)))
+    none = np.zeros(0, np.int64)
+    trie = lm_score.Trie.of_counts(contexts, words, v, u, w, np.ones(len(v), np.int64), (none, none, none), np.full(len(contexts), -1), np.array([1]))
+    read = lm_score.Trie.mapped(trie.dump())
+    arrays = [x for level in read.levels for s in (level.pointers, level.keys) for x in s.arrays()] + [read.contexts, read.words, read.counts, read.left, *read.codes]
+    assert all(x.base is not None and not x.flags.owndata and not x.flags.writeable for x in arrays)
+    for level, order in zip(read.levels, (2, 2, 3)):
+        assert sum(x.nbytes for s in (level.pointers, level.keys) for x in s.arrays()) < 3 * level.keys.size, order
 
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, universe in ((0, 10), (1, 1), (5, 6), (1000, 10**9), (4000, 5000), (300, 2**40)):
-        values = np.sort(rng.choice(universe, n, replace=False) if universe < 10**6 else np.unique(rng.integers(0, universe, n)))
-        code = lm_score.EliasFano.encode(values, universe)
-        assert (code.values() == values).all()
-        probe = np.concatenate([values, rng.integers(0, universe, 50), [-1, universe - 1]])
-        where = {v: i for i, v in enumerate(values.tolist())}
-        assert code.find(probe).tolist() == [where.get(v, -1) for v in probe.tolist()]
+    for n, universe in ((0, 1), (1, 1), (1, 5), (10, 10), (1000, 5000), (5000, 10**9), (3000, 3001)):
+        values = np.sort(rng.integers(0, universe, n))
+        code = elias_fano.EliasFano.encode(values, universe)
+        assert code.access(np.arange(n)).tolist() == values.tolist()
+        probe = np.concatenate([values, rng.integers(-2, universe + 5, 200)])
+        first = {x: i for i, x in reversed(list(enumerate(values.tolist())))}
+        assert code.find(probe).tolist() == [first.get(x, -1) for x in probe.tolist()]
+
+
+def test_levels_of_a_trie():
+    rng = np.random.default_rng(2)
+    pairs = np.unique(rng.integers(0, (300, 500), (2000, 2)), axis=0)
+    (level,), (extra,) = elias_fano.load(memoryview(elias_fano.dump([elias_fano.Level.make(pairs[:, 0], pairs[:, 1], 310)], [np.arange(3)])))
+    place = {tuple(x): i for i, x in enumerate(pairs.tolist())}
+    asked = rng.integers(-1, (310, 520), (5000, 2))
+    assert level.find(asked[:, 0], asked[:, 1]).tolist() == [place.get(tuple(x), -1) for x in asked.tolist()] and extra.tolist() == [0, 1, 2]
+
+
+def test_packed_arrays():
+    given = [np.zeros(0, np.int64), np.array([0, 5, 1 << 40]), np.array([(1 << 64) - 1, 7], np.uint64), np.arange(300)]
+    assert [x.tolist() for x in lm_score.unpack(lm_score.pack(given))] == [x.tolist() for x in given]
 
 
 # --- language

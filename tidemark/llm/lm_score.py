@@ -1,76 +1,265 @@
-"""Language-model scores from an n-gram trie in Elias-Fano code."""
+"""Language-model scores from n-gram tries in Elias-Fano code, one for each part of the contexts."""
 
 from __future__ import annotations
 
-import math
 import mmap
 import os
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import crc_mod, materialise, small_batches, texts_of
+from .elias_fano import Level, dump, load
+
+#: Bytes of text in a slice, whose n-grams are asked for together, and in a part of the contexts.
+SLICE, PART = 12 << 20, 10 << 20
+DISCOUNT, ADD = 0.75, 0.1
+LEVELS = 255
+#: Logarithms travel as 16-bit steps down from 0; 0 stands for what was never seen.
+STEP = 4000.0
+START, END = 1, 2  # hashes of the marks around a text
+LOW48 = np.uint64((1 << 48) - 1)
+
+
+# --- arrays in bytes
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Whole numbers, none below zero, by byte planes, compressed."""
+    head, planes = [len(arrays)], []
+    for x in arrays:
+        width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        planes += [np.ascontiguousarray(raw[:, i]).tobytes() for i in range(width)]
+        head += [len(x), width]
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<u4").tobytes() + b"".join(planes))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    head = np.frombuffer(data, "<u4", 2 * n, 4).tolist()
+    at, out = 4 + 8 * n, []
+    for size, width in zip(head[::2], head[1::2]):
+        raw = np.zeros((size, 8), np.uint8)
+        raw[:, :width] = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T
+        at += size * width
+        out.append(raw.view("<u8")[:, 0].astype(np.int64) if width < 8 else raw.view("<u8")[:, 0])
+    return out
+
+
+# --- slices of the corpus
+def slices(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, train) -> (slice, doc_id, train, sizes, hashes, tokens): a row for
+    about SLICE bytes of text: ids and flags of its documents, their numbers of words, the 64-bit
+    hashes of the distinct words and the words as places among them, both packed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-LEVELS = 256
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
 
+        def out() -> pa.RecordBatch:
+            nonlocal number
+            known: dict[bytes, int] = {}
+            sizes, tokens = [], []
+            for batch in held:
+                for text in texts_of(batch, "text"):
+                    words = text.lower().split()
+                    sizes.append(len(words))
+                    tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            tokens = np.concatenate(tokens)
+            order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(known), np.int32)
+            rank[order] = np.arange(len(known), dtype=np.int32)
+            hashes = np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known))[order]
+            ends = pa.array([0, len(sizes)], pa.int32())
+            lists = [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "train")] + [pa.array(sizes, pa.int64())]
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists), pa.array([pack([hashes])], pa.binary()), pa.array([pack([rank[tokens]])], pa.binary())],
+                ["slice", "doc_id", "train", "sizes", "hashes", "tokens"],
+            )
 
-def word_hash(word: bytes) -> int:
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+        for batch in small_batches(batches, "text", SLICE):
+            more = sum(map(len, texts_of(batch, "text")))
+            if held and size + more > SLICE:
+                yield out()
+                held, size = [], 0
+            held.append(batch)
+            size += more
+        if held:
+            yield out()
+
+    return docs.select("doc_id", "text", "train").mapInArrow(
+        run, f"slice long, doc_id array<{kind}>, train array<boolean>, sizes array<bigint>, hashes binary, tokens binary"
+    )
 
 
 @dataclass
-class EliasFano:
-    """A rising sequence below ``universe``: the low bits of each value side by side, the high
-    bits in unary. ``find`` is a successor search within the bucket of equal high bits."""
+class Shares:
+    """How contexts are dealt out: ``parts`` in all; words that make up more than a part's share of
+    the tokens, the mark of the start among them (by hash, with the times each occurs in training
+    texts), go to ``spread`` parts each."""
 
-    size: int
-    low_bits: int
-    low: np.ndarray
-    high: np.ndarray
-    start: np.ndarray = field(init=False)
+    parts: int
+    hashes: np.ndarray
+    counts: np.ndarray
+    spread: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the words dealt out or -1, number of parts)."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hot = self.hashes[at] == hashes
+        return np.where(hot, at, -1), np.where(hot, self.spread[at], 1)
+
+
+def shares(parts: int, cut: DataFrame, train_docs: int) -> Shares:
+    """A word with more than 1 / ``parts`` of all tokens has more than half of that in a slice
+    that has any right to it, so each slice names those (fewer than 2 * parts), and only the named
+    ones are counted: the driver gets at most that many rows."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, tokens in zip(batch.column("hashes").to_pylist(), batch.column("tokens").to_pylist()):
+                (h,), (t,) = unpack(hashes), unpack(tokens)
+                n = np.bincount(t, minlength=len(h))
+                some = np.flatnonzero(n * 2 * parts > len(t))
+                yield pa.RecordBatch.from_arrays([pa.array(h[some].astype(np.uint64).view(np.int64))], ["h"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (h,), (t,) = (unpack(batch.column(c)[i].as_py()) for c in ("hashes", "tokens"))
+                train = np.repeat(np.array(batch.column("train")[i].values.to_pylist(), bool), batch.column("sizes")[i].values.to_numpy())
+                h = h.astype(np.uint64)
+                place = np.flatnonzero(np.isin(h, names))
+                n = np.bincount(t, minlength=len(h))[place], np.bincount(t[train], minlength=len(h))[place]
+                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), *map(pa.array, n)], ["h", "all", "train"])
+
+    names = np.array([r.h for r in cut.mapInArrow(named, "h long").distinct().toLocalIterator()], np.int64).view(np.uint64)
+    found = [(START, train_docs, parts)]
+    if len(names):
+        total = cut.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0]
+        for r in cut.mapInArrow(counted, "h long, all long, train long").groupBy("h").agg(F.sum("all").alias("all"), F.sum("train").alias("train")).toLocalIterator():
+            if r["all"] * parts > total:
+                found.append((r.h % (1 << 64), r.train, min(parts, -(-2 * r["all"] * parts // total))))
+    found.sort()
+    return Shares(parts, *(np.array(x, t) for x, t in zip(zip(*found), (np.uint64, np.int64, np.int64))))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x * 0x9E3779B1 & 0xFFFFFFFF) >> 15
 
-    @staticmethod
-    def encode(values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
-        bits = max(0, int(math.log2(max(1, universe / max(1, n)))))
-        kind = next(t for t, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if bits <= b)
-        upper = (values >> bits).astype(np.int64)
-        unary = np.zeros(n + (int(universe) >> bits) + 2, np.uint8)
-        unary[upper + np.arange(n)] = 1
-        return EliasFano(n, bits, (values & ((1 << bits) - 1)).astype(kind), np.packbits(unary))
-
-    def __post_init__(self) -> None:
-        zeros = np.flatnonzero(np.unpackbits(self.high) == 0)
-        self.start = np.concatenate([[0], zeros - np.arange(len(zeros))])  # values before each bucket
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.size]
-        return (ones - np.arange(self.size)).astype(np.int64) << self.low_bits | self.low.astype(np.int64)
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it is not in the sequence."""
-        upper = values >> self.low_bits
-        ok = (values >= 0) & (upper < len(self.start) - 1)
-        upper = np.where(ok, upper, 0)
-        a, b = self.start[upper], np.where(ok, self.start[upper + 1], 0)
-        a = np.minimum(a, b)
-        end, target = b.copy(), (values & ((1 << self.low_bits) - 1)).astype(self.low.dtype)
-        while (open_ := a < b).any():
-            mid = (a + b) // 2
-            less = open_ & (self.low[np.minimum(mid, max(0, self.size - 1))] < target)
-            a, b = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, b)
-        hit = (a < end) & (self.low[np.minimum(a, max(0, self.size - 1))] == target) if self.size else np.zeros(len(values), bool)
-        return np.where(hit, a, -1)
 
+@dataclass
+class Ngrams:
+    """What a slice asks for. Words are places among the slice's words, the marks after them. Each
+    token is asked for after the two before it: events (u, v, w); triples and pairs (v, w) and
+    contexts (v, u) are the distinct ones, sorted, with the part that knows them."""
+
+    event: np.ndarray  # of each event, its triple
+    v: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    triple_context: np.ndarray
+    triple_pair: np.ndarray
+    context_v: np.ndarray
+    pair_v: np.ndarray
+    pair_w: np.ndarray
+    triple_part: np.ndarray
+    context_part: np.ndarray
+    pair_part: np.ndarray
+    word_part: np.ndarray
+    hot: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, dealt: Shares) -> Ngrams:
+        n = len(hashes)
+        h = np.concatenate([hashes, np.array([START, END], np.uint64)])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        full = np.full(len(tokens) + 3 * len(sizes), n, np.int64)
+        full[np.arange(len(tokens)) + 3 * doc + 2] = tokens
+        full[np.cumsum(sizes + 3) - 1] = n + 1
+        at = np.arange(len(tokens) + len(sizes)) + 2 * np.repeat(np.arange(len(sizes)), sizes + 1)
+        u, v, w = full[at], full[at + 1], full[at + 2]
+        contexts, context = np.unique(v << 32 | u, return_inverse=True)
+        triples, event = np.unique(context << 32 | w, return_inverse=True)
+        context, w = triples >> 32, triples & 0xFFFFFFFF
+        v, u = contexts[context] >> 32, contexts[context] & 0xFFFFFFFF
+        pairs, pair = np.unique(v << 32 | w, return_inverse=True)
+        upper = (h >> np.uint64(32)).astype(np.int64)
+        hot, spread = dealt.of(h)
+        home = upper % dealt.parts
+
+        def part(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+            return (home[v] + _mix(upper[by]) % spread[v]) % dealt.parts
+
+        context_part = part(contexts >> 32, contexts & 0xFFFFFFFF)
+        return Ngrams(
+            event, v, u, w, context, pair, contexts >> 32, pairs >> 32, pairs & 0xFFFFFFFF,
+            context_part[context], context_part, part(pairs >> 32, pairs & 0xFFFFFFFF), home, hot,
+        )
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _by_part(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows by part, in their order; the parts in rising order)."""
+    order = np.argsort(parts, kind="stable")
+    return order, parts[order]
+
+
+def requests(cut: DataFrame, dealt: Shares) -> DataFrame:
+    """(part, slice, body): the distinct triples of each slice for each part, with how often they
+    occur in training texts, and the pairs of the words that are dealt out to several parts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (hashes,), (tokens,) = (unpack(batch.column(c)[i].as_py()) for c in ("hashes", "tokens"))
+                hashes, sizes = hashes.astype(np.uint64), batch.column("sizes")[i].values.to_numpy()
+                asked = Ngrams.of(hashes, tokens, sizes, dealt)
+                train = np.repeat(np.array(batch.column("train")[i].values.to_pylist(), bool), sizes + 1)
+                count = np.bincount(asked.event[train], minlength=len(asked.v))
+                pair_count = np.bincount(asked.triple_pair, count, len(asked.pair_v)).astype(np.int64)
+                h = np.concatenate([hashes, np.array([START, END], np.uint64)])
+                rows, of_row = _by_part(asked.triple_part)
+                hot_pairs = np.flatnonzero(asked.hot[asked.pair_v] >= 0)
+                order, of_pair = _by_part(asked.pair_part[hot_pairs])
+                hot_pairs = hot_pairs[order]
+                parts = np.union1d(of_row, of_pair)
+                bounds = [np.searchsorted(x, parts, side=s) for x in (of_row, of_pair) for s in ("left", "right")]
+                bodies = []
+                for a, b, c, d in zip(*bounds):
+                    t, p = rows[a:b], hot_pairs[c:d]
+                    v, u, w = asked.v[t], asked.u[t], asked.w[t]
+                    words = np.unique(np.concatenate([u, w, asked.pair_w[p]]))
+                    v_runs, c_runs = _runs(v), _runs(asked.triple_context[t])
+                    bodies.append(pack([
+                        h[words] & LOW48, h[v[v_runs]], np.diff(np.append(np.searchsorted(c_runs, v_runs), len(c_runs))), np.searchsorted(words, u[c_runs]),
+                        np.diff(np.append(c_runs, len(t))), np.searchsorted(words, w), count[t],
+                        asked.hot[asked.pair_v[p]], np.searchsorted(words, asked.pair_w[p]), pair_count[p],
+                    ]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), batch.column("slice")[i].as_py())), pa.array(bodies, pa.binary())], ["part", "slice", "body"]
+                )
+
+    return cut.select("slice", "train", "sizes", "hashes", "tokens").mapInArrow(run, "part int, slice long, body binary")
+
+
+# --- a part's trie
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one byte for each value, the value of each byte): the means of equally filled bins."""
     if not len(values):
@@ -84,122 +273,74 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(distinct, values).astype(np.uint8), distinct.astype(np.float32)
 
 
-@dataclass
-class Level:
-    """The n-grams of one order. A key is the place of the context in the level below and the
-    place of the word among that context's known successors (for order 2: the word itself)."""
-
-    keys: EliasFano
-    pointers: EliasFano  # the first n-gram of each context; rises, so it is coded the same way
-    width: int
-    prob: np.ndarray
-    prob_of: np.ndarray
-    back: np.ndarray  # what is left of each context for words that do not follow it here
-    back_of: np.ndarray
-    first: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        gaps = self.pointers.values()
-        self.first = gaps - np.arange(len(gaps))  # coded with the place added, to rise strictly
-
-
-def make_level(contexts: np.ndarray, relative: np.ndarray, width: int, n_contexts: int, logp: np.ndarray, backoff: np.ndarray) -> Level:
-    """From n-grams sorted by (context, relative)."""
-    first = np.searchsorted(contexts, np.arange(n_contexts + 1)).astype(np.int64)
-    return Level(
-        EliasFano.encode(contexts * width + relative, max(1, n_contexts * width)),
-        EliasFano.encode(first + np.arange(n_contexts + 1), len(contexts) + n_contexts + 2),
-        width, *quantise(logp), *quantise(backoff),
-    )
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _runs(keys)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
 @dataclass
 class Trie:
-    """words: the 64-bit hashes of the vocabulary, sorted, with ids from 1 (0 is the end of a
-    text); counts and logp: of the end and the words; levels: of order 2 and 3."""
+    """Three levels below the sorted hashes of the context words v: the words w that follow each v
+    (with the quantised logarithm of their discounted share), the words u before each v (with that
+    of what the discount leaves to words never seen after u v), and for each such (v, u) what
+    follows, w as its place among the followers of v alone (context-relative), with its share."""
 
+    contexts: np.ndarray
     words: np.ndarray
-    counts: np.ndarray
-    logp: np.ndarray
+    counts: np.ndarray  # of each context
+    left: np.ndarray  # what the discount leaves, by context
     levels: list[Level]
+    codes: list[np.ndarray]
+    values: list[np.ndarray]
 
-    def places(self, ids: np.ndarray) -> list[np.ndarray]:
-        """For each level the place of the n-gram that ends at each token, or -1. The place of
-        the pair before is the context of a triple, and the pair's own place counts from the
-        first successor of its context: the relative place of the word."""
-        out: list[np.ndarray] = []
-        for k, (level, keys) in enumerate(zip(self.levels, (self.pair_keys, self.triple_keys))):
-            key = keys(ids) if k == 0 else keys(ids, out[0])
-            rows = np.flatnonzero(key >= 0)
-            found = np.full(len(ids), -1, np.int64)
-            found[rows] = level.keys.find(key[rows])
-            out.append(found)
-        return out
-
-    def pair_keys(self, ids: np.ndarray) -> np.ndarray:
-        """Nothing is counted across the end of a text, and -1 (a rarer word) is in no pair."""
-        before = _before(ids)
-        return np.where((before > 0) & (ids >= 0), before * self.pair_width + ids, -1)
-
-    def triple_keys(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        context = _before(pairs)
-        relative = pairs - self.levels[0].first[np.maximum(_before(ids), 0)]
-        return np.where((context >= 0) & (pairs >= 0), context * self.triple_width + relative, -1)
-
-    @property
-    def pair_width(self) -> int:
-        return len(self.words) + 1
-
-    @property
-    def triple_width(self) -> int:
-        return int(np.diff(self.levels[0].first).max(initial=1))
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after those before it, without the unigram part of
-        tokens outside the vocabulary (id -1)."""
-        found = self.places(ids)
-        total = np.where(ids >= 0, self.logp[np.maximum(ids, 0)], 0.0)
-        for level, context, at in zip(self.levels, [ids, *found], found):
-            before = _before(context)
-            backed = total + np.where(before >= 0, level.back_of[level.back[np.maximum(before, 0)]], 0.0) if len(level.back) else total
-            total = np.where(at >= 0, level.prob_of[level.prob[np.maximum(at, 0)]], backed) if len(level.prob) else backed
-        return total
+    @staticmethod
+    def of_counts(contexts: np.ndarray, words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, extra: tuple, hot: np.ndarray, hot_counts: np.ndarray) -> Trie:
+        """v, u, w: places among ``contexts`` and ``words``; n: how often. ``extra``: pairs (v, w)
+        with their counts for the contexts that are dealt out; hot: of each context its place in
+        ``hot_counts`` or -1. Only n-grams that occur (n > 0) are kept."""
+        keep = n > 0
+        v, u, w, n = v[keep], u[keep], w[keep], n[keep]
+        ev, ew, en = extra
+        whole = hot[v] < 0
+        follow, times = _summed(np.concatenate([v << 32 | w, ev << 32 | ew]), np.concatenate([np.where(whole, n, 0), en]))
+        fv, fw = follow >> 32, follow & 0xFFFFFFFF
+        counts = np.bincount(fv, times, len(contexts)).astype(np.int64)
+        successors = np.bincount(fv[times > 0], minlength=len(contexts))
+        of_hot = np.flatnonzero(hot >= 0)
+        totals = counts.copy()
+        totals[of_hot] = hot_counts[hot[of_hot]]
+        before, context = np.unique(v << 32 | u, return_inverse=True)
+        c_total = np.bincount(context, n, len(before))
+        first = np.searchsorted(fv, np.arange(len(contexts)))
+        relative = np.searchsorted(follow, v << 32 | w) - first[v]
+        triple, m = _summed(context << 32 | relative, n)
+        of, rel = triple >> 32, triple & 0xFFFFFFFF
+        c_kinds = np.bincount(of, minlength=len(before))
+        share2 = np.where(times > 0, np.log10(np.maximum(times - DISCOUNT, 0.1) / np.maximum(totals[fv], 1)), 0.0)
+        share3 = np.log10((m - DISCOUNT) / c_total[of]) if len(m) else np.zeros(0)
+        left3 = np.log10(DISCOUNT * c_kinds / c_total) if len(before) else np.zeros(0)
+        left2 = np.where(hot >= 0, successors, DISCOUNT * successors / np.maximum(totals, 1))  # of those dealt out: only how many
+        made = [quantise(x) for x in (share2, left3, share3)]
+        levels = [
+            Level.make(fv, fw, len(contexts)), Level.make(before >> 32, before & 0xFFFFFFFF, len(contexts)),
+            Level.make(of, rel, len(before)),
+        ]
+        return Trie(contexts, words, counts, left2, levels, [x[0] for x in made], [x[1] for x in made])
 
     def dump(self) -> bytes:
-        """All arrays in one block of bytes: a header of their kinds and sizes, then the data,
-        each array aligned to eight bytes."""
-        import json
-
-        arrays, meta = [self.words, self.counts, self.logp], []
-        for x in self.levels:
-            meta.append([x.width, x.keys.size, x.keys.low_bits, x.pointers.size, x.pointers.low_bits])
-            arrays += [x.keys.low, x.keys.high, x.pointers.low, x.pointers.high, x.prob, x.prob_of, x.back, x.back_of]
-        head = json.dumps({"levels": meta, "arrays": [[a.dtype.str, len(a)] for a in arrays]}).encode()
-        head += b" " * (-len(head) % 8)
-        body = b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
-        return len(head).to_bytes(8, "little") + head + body
+        return dump(self.levels, [self.contexts, self.words, self.counts, self.left, *self.codes, *self.values])
 
     @staticmethod
     def load(data) -> Trie:
-        import json
-
-        size = int.from_bytes(data[:8], "little")
-        meta = json.loads(bytes(data[8 : 8 + size]))
-        at, arrays = 8 + size, []
-        for kind, n in meta["arrays"]:
-            arrays.append(np.frombuffer(data, kind, n, at))
-            at += -(-arrays[-1].nbytes // 8) * 8
-        words, counts, logp, *rest = arrays
-        levels = []
-        for i, (width, n, bits, m, more) in enumerate(meta["levels"]):
-            low, high, plow, phigh, prob, prob_of, back, back_of = rest[8 * i : 8 * i + 8]
-            levels.append(Level(EliasFano(n, bits, low, high), EliasFano(m, more, plow, phigh), width, prob, prob_of, back, back_of))
-        return Trie(words, counts, logp, levels)
+        levels, rest = load(data)
+        return Trie(*rest[:4], levels, rest[4:7], rest[7:])
 
     @staticmethod
     def mapped(data: bytes) -> Trie:
-        """The trie over a memory-mapped file in the task's own temporary folder; the file has
-        no name any more once it is mapped, so nothing stays."""
+        """The trie over a memory-mapped file in the task's own temporary folder; the file has no
+        name any more once it is mapped, so nothing stays. The arrays are views of the map."""
         handle, path = tempfile.mkstemp()
         try:
             with os.fdopen(handle, "wb") as f:
@@ -209,191 +350,218 @@ class Trie:
         finally:
             os.unlink(path)
 
-
-def _tokens(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for text in texts_of(batch, "text"):
-        yield text.lower().split()
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): how often each word occurs in all texts, by its 64-bit hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-            c = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
-
-        for batch in small_batches(batches, "text"):
-            for words in _tokens(batch):
-                counts.update(words)
-            if len(counts) > 300_000:
-                yield out()
-        yield out()
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _before(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[-1], x[:-1]])
-
-
-class Numbers:
-    """Vocabulary ids of words, kept from batch to batch."""
-
-    def __init__(self, trie: Trie) -> None:
-        self.of_hash = {h: i for i, h in enumerate(trie.words.tolist(), 1)}
-        self.seen: dict[bytes, int] = {}
-
-    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Of all tokens, 0 after each text, -1 for words outside the vocabulary."""
-        new = {w for t in texts for w in t}.difference(self.seen)
-        self.seen.update((w, i) for w in new if (i := self.of_hash.get(word_hash(w))))
-        get = self.seen.get
-        out: list[int] = []
-        for t in texts:
-            out += [get(w, -1) for w in t]
-            out.append(0)
-        return np.array(out, np.int64)
-
-
-def ngram_counts(docs: DataFrame, trie: bytes, order: int) -> DataFrame:
-    """(k, c): how often each pair (order 2) or triple (3) of the vocabulary occurs in all
-    texts; triples only where both their pairs are in the trie. k is the trie's key."""
+    def _steps(self, level: int, at: np.ndarray) -> np.ndarray:
+        """The values at these places as steps below 0 (see STEP); 0 for place -1."""
+        if not len(self.codes[level]):
+            return np.zeros(len(at), np.int64)
+        value = self.values[level][self.codes[level][np.maximum(at, 0)]].astype(float)
+        return np.where(at >= 0, np.rint(-value * STEP).astype(np.int64).clip(0, 65_534) + 1, 0)
+
+    def answer(self, request: list[np.ndarray], hot: Shares) -> bytes:
+        """For each triple, (v, u) and (v, w) of the request, in its order, the steps of its value;
+        for each v its count and what it leaves; for each pair of a dealt-out word its steps."""
+        words, v_hash, c_per_v, c_u, t_per_c, t_w, _, hot_v, hot_w, _ = request
+        words = _places(self.words, words.astype(np.uint64))
+        of_v = _places(self.contexts, v_hash.astype(np.uint64))
+        c_v = np.repeat(np.arange(len(v_hash)), c_per_v)
+        t_c = np.repeat(np.arange(len(c_v)), t_per_c)
+        t_v = c_v[t_c]
+        context = self.levels[1].find(of_v[c_v], words[c_u])
+        pairs, pair = np.unique(t_v << 32 | t_w, return_inverse=True)
+        p_v, p_w = of_v[pairs >> 32], words[pairs & 0xFFFFFFFF]
+        place = self.levels[0].find(p_v, p_w)
+        first = self.levels[0].starts(np.maximum(of_v, 0))
+        relative = np.where(place[pair] >= 0, place[pair] - first[t_v], -1)
+        triple = self.levels[2].find(context[t_c], relative)
+        normal, _ = hot.of(v_hash.astype(np.uint64))
+        mine = normal < 0
+        left = np.where(of_v >= 0, self.left[np.maximum(of_v, 0)], 0.0)
+        count = np.where(of_v >= 0, self.counts[np.maximum(of_v, 0)], 0)
+        hot_at = self.levels[0].find(_places(self.contexts, hot.hashes)[hot_v], words[hot_w])
+        return pack([
+            self._steps(2, triple), self._steps(1, context), self._steps(0, place)[mine[pairs >> 32]], count[mine],
+            np.where(left > 0, np.rint(-np.log10(np.where(left > 0, left, 1)) * STEP).clip(0, 65_534) + 1, 0)[mine].astype(np.int64), self._steps(0, hot_at),
+        ])
+
+
+def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value is in the sorted array, or -1."""
+    if not len(sorted_):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
+
+
+def trie_of(bodies: list[bytes], dealt: Shares) -> Trie:
+    """The trie of all requests of a part."""
+    asked = [unpack(b) for b in bodies]
+    words = np.unique(np.concatenate([x[0].astype(np.uint64) for x in asked]))
+    hot_here = np.unique(np.concatenate([x[7] for x in asked]))
+    contexts = np.unique(np.concatenate([*(x[1].astype(np.uint64) for x in asked), dealt.hashes[hot_here]]))
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for own, v_hash, c_per_v, c_u, t_per_c, t_w, n, hot_v, hot_w, hot_n in asked:
+        word, v = np.searchsorted(words, own.astype(np.uint64)), np.searchsorted(contexts, v_hash.astype(np.uint64))
+        c = np.repeat(np.arange(len(c_u)), t_per_c)
+        seen = n > 0
+        c, some = c[seen], hot_n > 0
+        v_of_hot = np.searchsorted(contexts, dealt.hashes[hot_v[some]])
+        for column, x in zip(columns, (np.repeat(v, c_per_v)[c], word[c_u][c], word[t_w[seen]], n[seen], v_of_hot, word[hot_w[some]], hot_n[some])):
+            column.append(x)
+    v, u, w, n, *extra = (np.concatenate(x) for x in columns)
+    hot, _ = dealt.of(contexts)
+    return Trie.of_counts(contexts, words, v, u, w, n, tuple(extra), hot, dealt.counts)
+
+
+def answers(asked: DataFrame, dealt: Shares) -> DataFrame:
+    """``asked`` (part, slice, body) -> (slice, part, body): the answers; and for each part a row
+    without a slice: how many distinct words of training texts it knows, and for each dealt-out
+    word how many followers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Trie.mapped(trie)
-        numbers = Numbers(model)
-        for batch in small_batches(batches, "text", 8 << 20):
-            ids = numbers.ids(list(_tokens(batch)))
-            keys = model.pair_keys(ids) if order == 2 else model.triple_keys(ids, model.places(ids)[0])
-            k, c = np.unique(keys[keys >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["k", "c"])
-
-    return docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
+        rows: list[tuple[int, int, bytes]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            trie = Trie.mapped(trie_of([r[2] for r in rows], dealt).dump())
+            hot, _ = dealt.of(trie.contexts)
+            known = np.array([np.count_nonzero(trie.counts[hot < 0])])
+            some = np.flatnonzero(hot >= 0)
+            stats = pack([known, hot[some], trie.left[some].astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows[0][0]], pa.int32()), pa.array([stats], pa.binary())], ["slice", "part", "body"])
+            for part, slice_, body in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), pa.array([part], pa.int32()), pa.array([trie.answer(unpack(body), dealt)], pa.binary())], ["slice", "part", "body"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "body"))):
+                if rows and rows[0][0] != row[0]:
+                    yield from out()
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from out()
+
+    return asked.repartitionById(dealt.parts, F.col("part")).sortWithinPartitions("part").select("part", "slice", "body").mapInArrow(run, "slice long, part int, body binary")
+
+
+# --- scores
 @dataclass
-class Model:
-    trie: bytes
+class Totals:
     tokens: int
     distinct: int
-    counts: DataFrame
-
-
-def train(
-    docs: DataFrame,
-    order: int = 3,
-    share: float = 2e-6,
-    ngram_share: float = 1e-6,
-    pair_share: float = 1e-5,
-    discount: float = 0.75,
-    add: float = 0.1,
-) -> Model:
-    """Count all words of all texts (``docs``: text), and pairs and triples.
-
-    The trie holds words that make up at least ``share`` of all tokens, and pairs and triples
-    of words of at least ``pair_share`` that make up ``ngram_share``: at most 1 / share words
-    and 1 / ngram_share n-grams of each order whatever the corpus, so it can be sent to the
-    tasks. All other words stay in a table (Model.counts) that grows with the corpus and is
-    joined. Probabilities: absolute discounting, interpolated down to unigrams with ``add``
-    for each word and for one unseen word.
-    """
-    texts = docs.count()
-    counts = materialise(word_counts(docs), "lm-words")
-    row = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    total, distinct = row.n + texts, row.v + (texts > 0)
-    heavy = counts.filter(F.col("c") >= max(1, math.ceil(share * total))).toArrow().sort_by("h")
-    c = np.concatenate([[texts], heavy["c"].to_numpy()]).astype(np.int64)
-    p = (c + add) / (total + add * (distinct + 1))
-    model = Trie(heavy["h"].to_numpy().astype(np.int64), c, np.log10(p), [])
-    least = max(2, math.ceil(ngram_share * total))
-    # words too rare for a pair of their own are left out of the pairs' vocabulary by their counts
-    frequent = c >= max(least, math.ceil(pair_share * total))
-    frequent[0] = True
-    for n in range(2, order + 1):
-        found = ngram_counts(docs, _with_frequent(model, frequent).dump() if n == 2 else model.dump(), n)
-        found = found.filter(F.col("c") >= least).toArrow().sort_by("k")
-        k, times = found["k"].to_numpy().astype(np.int64), found["c"].to_numpy().astype(np.int64)
-        width = (int(frequent.sum()) if n == 2 else model.triple_width)
-        contexts, relative = k // width, k % width
-        if n == 2:
-            number = np.flatnonzero(frequent)
-            contexts, relative, width = number[contexts], number[relative], model.pair_width
-            lower, seen = p[relative], c
-        else:
-            last = pair_words[contexts]
-            lower, seen = pair_p[model.levels[0].first[last] + relative], pair_c
-        left = 1 - np.bincount(contexts, times - discount, len(seen)) / np.maximum(seen, 1)
-        probs = (times - discount) / seen[contexts] + left[contexts] * lower
-        backoff = np.log10(np.maximum(left, 1e-9))
-        model.levels.append(make_level(contexts, relative, width, len(seen), np.log10(probs), backoff))
-        if n == 2:
-            pair_words, pair_p, pair_c = relative, probs, times
-    return Model(model.dump(), int(total), int(distinct), counts)
-
-
-def _with_frequent(model: Trie, frequent: np.ndarray) -> Trie:
-    return Trie(model.words[frequent[1:]], model.counts[frequent], model.logp[frequent], [])
-
-
-def score(docs: DataFrame, model: Model, add: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row: base_score sums
-    the smoothed unigram log10 probabilities of the tokens (words and one end), score those of
-    the trie. Null is the empty text, one end alone. Repeated rows come out as often as they came
-    in.
-
-    Words of the trie are scored in place. The others, each below the trie's share of all tokens
-    and so never a hot key, are joined with the table of counts.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    trie = docs.sparkSession.sparkContext.broadcast(model.trie)
-    bottom = model.tokens + add * (model.distinct + 1)
-    unseen = math.log10(add / bottom)
+    hot_left: np.ndarray
+
+
+def totals(answered: DataFrame, dealt: Shares, tokens: int, train_docs: int) -> Totals:
+    followers, distinct = np.zeros(len(dealt.hashes), np.int64), 0
+    for row in answered.filter("slice IS NULL").select("body").toLocalIterator():
+        known, hot, n = unpack(row.body)
+        distinct += int(known[0])
+        np.add.at(followers, hot, n)
+    real = dealt.hashes != START
+    distinct += int(np.count_nonzero(dealt.counts[real])) + (train_docs > 0)
+    return Totals(tokens, distinct, DISCOUNT * followers / np.maximum(dealt.counts, 1))
+
+
+def _shares_of(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, 10.0 ** ((1 - steps) / STEP), 0.0)
+
+
+def slice_scores(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, parts: list[tuple[int, bytes]], dealt: Shares, known: Totals, train_docs: int) -> tuple[np.ndarray, ...]:
+    """(n_known, base, score) of each document of a slice from the answers of the parts."""
+    asked = Ngrams.of(hashes, tokens, sizes, dealt)
+    n = len(hashes)
+    share3, left3, share2 = (np.zeros(len(x)) for x in (asked.v, asked.context_v, asked.pair_v))
+    count, left2 = np.zeros(n + 2, np.int64), np.zeros(n + 2)
+    rows = [_by_part(x) for x in (asked.triple_part, asked.context_part, asked.pair_part)]
+    hot_pair = asked.hot[asked.pair_v] >= 0
+    normal = np.unique(asked.v[asked.hot[asked.v] < 0])
+    of_word = _by_part(asked.word_part[normal])
+    for part, body in parts:
+        triples, contexts, pairs, counts, left, hot_pairs = unpack(body)
+        t, c, p = (order[np.searchsorted(by, part) : np.searchsorted(by, part, side="right")] for order, by in rows)
+        share3[t], left3[c] = _shares_of(triples), _shares_of(contexts)
+        share2[p[~hot_pair[p]]], share2[p[hot_pair[p]]] = _shares_of(pairs), _shares_of(hot_pairs)
+        order, by = of_word
+        w = normal[order[np.searchsorted(by, part) : np.searchsorted(by, part, side="right")]]
+        count[w], left2[w] = counts, _shares_of(left)
+    hot = np.flatnonzero(asked.hot >= 0)
+    count[hot], left2[hot] = dealt.counts[asked.hot[hot]], known.hot_left[asked.hot[hot]]
+    count[n + 1] = train_docs
+    base = (count + ADD) / (known.tokens + ADD * (known.distinct + 1))
+    # what a context never seen leaves is all
+    left3[left3 == 0], left2[count == 0] = 1.0, 1.0
+    two = share2 + left2[asked.pair_v] * base[asked.pair_w]
+    three = share3 + left3[asked.triple_context] * two[asked.triple_pair]
+    first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    w = asked.w[asked.event]
+    return tuple(np.add.reduceat(x, first) for x in ((count[w] > 0).astype(np.int64), np.log10(base)[w], np.log10(three)[asked.event]))
+
+
+def scores(cut: DataFrame, answered: DataFrame, dealt: Shares, known: Totals, train_docs: int, kind: str) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score): the answers meet their slice again."""
+    own = cut.select("slice", F.lit(-1).alias("part"), F.col("tokens").alias("body"), "hashes", "doc_id", "sizes")
+    theirs = answered.filter("slice IS NOT NULL").select("slice", "part", "body", *(F.lit(None).alias(c) for c in ("hashes", "doc_id", "sizes")))
+    both = own.unionByName(theirs).repartition("slice").sortWithinPartitions("slice", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = Trie.mapped(trie.value)
-        numbers = Numbers(lm)
-        for batch in small_batches(batches, "text", 4 << 20):
-            texts = list(_tokens(batch))
-            ids = numbers.ids(texts)
-            ends = np.flatnonzero(ids == 0)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            base = np.where(ids >= 0, lm.logp[np.maximum(ids, 0)], unseen)
-            full = lm.scores(ids) + np.where(ids < 0, unseen, 0.0)
-            known = (ids > 0) | ((ids == 0) & (lm.counts[0] > 0))
-            get = numbers.seen.get
-            tail = [[word_hash(w) for w in t if get(w) is None] for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ends - starts + 1), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(full, starts)), pa.array(tail, pa.list_(pa.int64()))],
-                ["doc_id", "n_tokens", "n_known", "base", "full", "tail"],
-            )
+        held: tuple | None = None
+        parts: list[tuple[int, bytes]] = []
 
-    local = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, n_known long, base double, full double, tail array<bigint>"
-    )
-    local = materialise(local.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    more = (
-        local.select("row", F.explode("tail").alias("h"))
-        .join(model.counts, "h")
-        .groupBy("row")
-        .agg(F.count("*").alias("known"), F.sum(F.log10((F.col("c") + add) / add)).alias("more"))
-    )
-    extra = F.coalesce("more", F.lit(0.0))
-    return local.join(more, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("full") + extra).alias("score"),
-    )
+        def out() -> pa.RecordBatch:
+            doc_id, sizes, hashes, tokens = held
+            found = slice_scores(unpack(hashes)[0].astype(np.uint64), unpack(tokens)[0], sizes, parts, dealt, known, train_docs)
+            return pa.RecordBatch.from_arrays([doc_id, pa.array(sizes + 1), *map(pa.array, found)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in batches:
+            for i, (part, body) in enumerate(zip(batch.column("part").to_pylist(), batch.column("body").to_pylist())):
+                if part < 0:
+                    if held:
+                        yield out()
+                    held, parts = (batch.column("doc_id")[i].values, batch.column("sizes")[i].values.to_numpy(), batch.column("hashes")[i].as_py(), body), []
+                else:
+                    parts.append((part, body))
+        if held:
+            yield out()
+
+    return both.select("slice", "part", "body", "hashes", "doc_id", "sizes").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``: learnt
+    from the rows for which ``train`` is true, and all rows scored.
+
+    base_score sums the smoothed unigram log10 probabilities of the tokens (words and one end);
+    score those of the trigram model: absolute discounting (DISCOUNT), interpolated with pairs and
+    down to the smoothed unigrams, every n-gram that occurs being kept. Null is the empty text, one
+    end alone. Repeated rows come out as often as they came in; a null id is an id; a very long
+    text is a slice of its own (memory in proportion to it); an empty table gives an empty one.
+
+    Contexts are dealt out by hash, a part for each PART bytes of text, and each part keeps all
+    statistics of its contexts in a trie that a task maps and reads in place. A word that is more
+    frequent than a part's share is dealt out by its neighbours. Slices of the corpus send each part their
+    distinct n-grams with counts, once, and get back what the trie says of them; so nothing is sent
+    for each document, a frequent n-gram comes once from each slice, and what is kept grows with the
+    corpus without a bound. Words are told apart by 64-bit hashes, as neighbours by 48 bits of them.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        parts = max(spark.sparkContext.defaultParallelism, -(-size // PART))
+    cut = materialise(slices(rows), "lm-slices")
+    each = F.arrays_zip("train", "sizes")
+    learnt = cut.select(F.explode(each).alias("d")).filter("d.train").agg(F.count("*").alias("docs"), F.coalesce(F.sum("d.sizes"), F.lit(0)).alias("words")).first()
+    dealt = shares(parts, cut, learnt.docs)
+    answered = materialise(answers(requests(cut, dealt), dealt), "lm-answers")
+    known = totals(answered, dealt, learnt.docs + learnt.words, learnt.docs)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = scores(cut, answered, dealt, known, learnt.docs, kind)
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def train_and_score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, ...): trained on the rows whose crc32 of the id mod
-    ``modulus`` is not 0, all rows scored."""
-    out = crc_mod("doc_id", modulus) == 0
+def train_and_score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learnt from the rows
+    whose crc32 of the id mod ``modulus`` is not 0, all rows scored (see ``score_corpus``, also for
+    nulls, repeats, long texts and empty tables)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(rows.filter(~out))
-    return score(rows, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = score_corpus(rows, crc_mod("doc_id", modulus) != 0, parts=parts)
+    return found.select("doc_id", (crc_mod("doc_id", modulus) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
