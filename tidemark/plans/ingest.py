@@ -138,12 +138,12 @@ def ingest(store: Store, source: str, listings: DataFrame, now: datetime, comple
 
     batch_links = linked.select(
         "event_id", F.col("record_id").alias("source_record_id"), "confidence",
-        F.when(F.col("outcome") == "created", F.lit('{"origin":"new"}')).alias("signals"), "seq",
+        F.when(F.col("outcome") == "created", F.lit('{"origin":"new"}')).otherwise(F.col("signals")).alias("signals"), "seq",
     )
     links = materialise(merge.link_records(old["event_links"], batch_links.withColumn("confidence", F.col("confidence").cast("float"))), "ingest-links")
     flagged = linked.filter("review_id IS NOT NULL").select(
         "event_id", F.col("review_id").alias("candidate_event_id"), F.col("review_confidence").cast("float").alias("confidence"),
-        F.lit(None).cast("string").alias("signals"), F.lit(None).cast("string").alias("resolved"), "seq",
+        F.col("review_signals").alias("signals"), F.lit(None).cast("string").alias("resolved"), "seq",
     )
     reviews = merge.flag_reviews(old["merge_reviews"], flagged)
 
