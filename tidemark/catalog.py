@@ -408,10 +408,13 @@ def shortlist_top25(spark, sf_dir):
     return block.shortlist(pairs, "l_id", "r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "place")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LISTINGS}, e AS MATERIALIZED (SELECT CAST(left_id AS BIGINT) AS a, CAST(right_id AS BIGINT) AS b FROM v UNION ALL SELECT CAST(right_id AS BIGINT), CAST(left_id AS BIGINT) FROM v),
+    r(node, root) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION (SELECT node, min(root) FROM (
+      SELECT e.b AS node, r.root FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root
+      UNION ALL SELECT k.node, j.root FROM recurring.r AS k JOIN recurring.r AS j ON j.node = k.root WHERE j.root < k.root) GROUP BY node))
+    SELECT node, root FROM r""")
 def dedup_components(spark, sf_dir):
-    """Components of the candidate pairs. The SQL would be recursive over all paths; tested
-    against union-find instead."""
+    """Components of the candidate pairs by their smallest listing."""
     rows = tables.listings(spark, sf_dir)
     pairs = block.candidate_pairs(rows, rows, ["seq"]).filter("l_seq > r_seq")
     return connected_components(pairs.select("l_seq", "r_seq"), "l_seq", "r_seq")

@@ -6,6 +6,9 @@ import sys
 import unicodedata
 from functools import cache
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,10 +162,15 @@ def summary_text(text: Column, tags: bool = False) -> Column:
 def infer_category(*signals: Column) -> Column:
     """The first rule with a keyword anywhere in the signals, else other."""
     text = F.lower(F.array_join(F.filter(F.array(*signals), lambda s: s.isNotNull() & (s != "")), " "))
-    out = F.when(text == "", F.lit("other"))
-    for slug, keywords in CATEGORY_RULES:
-        out = out.when(text.rlike("|".join(keywords)), F.lit(slug))
-    return out.otherwise(F.lit("other"))
+
+    def first_rule(t: Column) -> Column:
+        out = F.when(t == "", F.lit("other"))
+        for slug, keywords in CATEGORY_RULES:
+            out = out.when(reduce(or_, (F.contains(t, F.lit(k)) for k in keywords)), F.lit(slug))
+        return out.otherwise(F.lit("other"))
+
+    # through an array, so that the text is put together and lower-cased once
+    return F.element_at(F.transform(F.array(text), first_rule), 1)
 
 
 def content_hash(raw: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import intermediates, kept, materialise
 
 MAX_ROUNDS = 60
 
@@ -20,6 +20,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links is joined, not gathered, so adaptive execution can split it. Links with null
     and loops are left out.
     """
+    spark = links.sparkSession
     edges = materialise(
         links.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .filter("u <> v")
@@ -28,13 +29,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         "links",
     )
     for _ in range(MAX_ROUNDS):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star")
-        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(larger.distinct(), "links")
-        m = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
-        small = large.join(m, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.filter("u <> v").distinct(), "links")
+        edges = _round(spark, edges)
         if _are_stars(edges):
             break
     else:
@@ -44,6 +39,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+def _round(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """One round; what it writes on the way is deleted."""
+    with intermediates(spark):
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star")
+        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(larger.distinct(), "links")
+        m = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        small = large.join(m, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        out = small.filter("u <> v").distinct()
+        return kept(out, "links")
+
+
 def _are_stars(edges: DataFrame) -> bool:
     roots = edges.select(F.col("v").alias("u")).distinct()
     twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")

@@ -15,7 +15,6 @@ from ..dimensions import CATEGORIES, CITIES, CITY_SLUGS, DATE_BUCKETS
 from ..functions.geo import within_box, within_radius
 from ..functions.localtime import bucket_range
 from ..functions.text import search_text
-from ..storage import materialise
 
 _BOX = re.compile(r"-?\d+(?:\.\d+)?(?:,-?\d+(?:\.\d+)?){3}")
 
@@ -138,11 +137,12 @@ def feed(events: DataFrame, venues: DataFrame, query: FeedQuery, now: datetime)
 
 
 def find_page(events: DataFrame, venues: DataFrame, query: FeedQuery, now: datetime) -> Page:
-    rows = materialise(feed(events, venues, query, now), "feed-page").orderBy("starts_at", "id")
-    keys = rows.select("starts_at", "id").take(query.limit + 1)
-    more = len(keys) > query.limit
-    last = keys[query.limit - 1] if more else None
-    return Page(rows.limit(query.limit), encode_cursor(last["starts_at"].replace(tzinfo=timezone.utc), last["id"]) if last else None)
+    found = feed(events, venues, query, now)
+    rows = found.take(query.limit + 1)  # at most 201 rows
+    page, cursor = rows[: query.limit], None
+    if len(rows) > query.limit:
+        cursor = encode_cursor(page[-1]["starts_at"].replace(tzinfo=timezone.utc), page[-1]["id"])
+    return Page(events.sparkSession.createDataFrame(page, found.schema), cursor)
 
 
 def event_by_id(events: DataFrame, venues: DataFrame, id_: str) -> DataFrame:
@@ -172,8 +172,8 @@ def demo_feed(rows: DataFrame, query: FeedQuery, now: datetime) -> DataFrame:
 
 
 def page_json(page: Page, demo: bool = False, degraded: bool = False) -> str:
-    """The answer of the feed's API: the page's cards as JSON."""
+    """The answer of the feed's API: the page's cards as JSON; only demo rows are counted."""
     rows = page.events.agg(F.to_json(F.collect_list(F.struct("*"))).alias("j")).first().j  # at most 200 rows
     cursor = f'"{page.next_cursor}"' if page.next_cursor else "null"
     extra = ', "degraded": true' if degraded else ""
-    return f'{{"events": {rows}, "nextCursor": {cursor}, "total": null, "demo": {str(demo).lower()}{extra}}}'
+    return f'{{"events": {rows}, "nextCursor": {cursor}, "total": {page.events.count() if demo else "null"}, "demo": {str(demo).lower()}{extra}}}'

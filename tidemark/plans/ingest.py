@@ -15,8 +15,10 @@ from .. import schemas
 from ..functions.geo import nearest_city
 from ..functions.text import infer_category, title_fingerprint, venue_key
 from ..operators import merge, report
+from ..operators.block import WINDOW_SECONDS
 from ..operators.resolve import resolve
-from ..storage import materialise
+from ..sources.landing import HORIZON_DAYS, source_config, within_horizon
+from ..storage import intermediates, materialise
 
 TABLES = {
     "events": "EVENT", "venues": "VENUE", "source_records": "SOURCE_RECORD", "event_links": "EVENT_LINK",
@@ -70,10 +72,10 @@ class Store:
             return self.spark.createDataFrame([], schemas.INGEST_RUN)
         return self.spark.read.schema(schemas.INGEST_RUN).parquet(f"{self.path}/ingest_runs")
 
-    def add_run(self, source: str, now: datetime, stats: dict, error: str | None = None) -> None:
+    def add_run(self, source: str, now: datetime, stats: dict, error: str | None = None, run_id: str | None = None) -> None:
         counters = ("fetched", "created", "updated", "merged", "flagged", "skipped")
         row = self.spark.range(1).select(
-            F.lit(f"{source}-{now:%Y%m%dT%H%M%S%f}").alias("id"), F.lit(source).alias("source_slug"),
+            F.lit(run_id or f"{source}-{now:%Y%m%dT%H%M%S%f}").alias("id"), F.lit(source).alias("source_slug"),
             F.lit("failed" if error else "ok").alias("status"), *[F.lit(stats.get(k, 0)).cast("long").alias(k) for k in counters],
             F.lit(error).cast("string").alias("error"), F.lit(now).alias("started_at"), F.lit(now).alias("finished_at"),
         )
@@ -105,7 +107,13 @@ def prepare(listings: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def ingest(store: Store, source: str, listings: DataFrame, now: datetime, complete: bool = True) -> dict:
+def ingest(store: Store, source: str, listings: DataFrame, now: datetime, complete: bool = True, run_id: str | None = None) -> dict:
+    """See ``_ingest``; tables written on the way are deleted at the end."""
+    with intermediates(store.spark):
+        return _ingest(store, source, listings, now, complete, run_id)
+
+
+def _ingest(store: Store, source: str, listings: DataFrame, now: datetime, complete: bool, run_id: str | None) -> dict:
     """Merge a batch of listings (schema LISTING, seq unique) of one source into the store.
 
     Listings are matched in the order of seq. ``complete`` tells that the batch is all that the
@@ -119,6 +127,10 @@ def ingest(store: Store, source: str, listings: DataFrame, now: datetime, comple
     records = materialise(merge.upsert_records(old["source_records"], fresh, at), "ingest-records")
     venues = merge.upsert_venues(old["venues"], fresh)
     existing = old["events"].withColumnRenamed("source_url", "url")
+    # only events that a listing of the batch can meet; the bounds reach the stored files
+    span = fresh.agg(F.min("starts_at").alias("low"), F.max("starts_at").alias("high")).select(*[F.unix_seconds(c).alias(c) for c in ("low", "high")]).first()
+    around = [F.timestamp_seconds(F.lit((x or 0) + d)) for x, d in ((span.low, -WINDOW_SECONDS), (span.high, WINDOW_SECONDS + 1))]
+    existing = existing.filter((F.col("starts_at") >= around[0]) & (F.col("starts_at") <= around[1]))
     out = materialise(resolve(fresh, existing), "ingest-outcome")
     linked = fresh.join(out.drop("id"), "seq")
 
@@ -160,20 +172,23 @@ def ingest(store: Store, source: str, listings: DataFrame, now: datetime, comple
     outcomes = rows.select("seq", "record_id", "skipped").join(out.drop("id"), "seq", "left").join(changed, "record_id", "left")
     stats = report.run_stats(outcomes).first().asDict()
     store.write({"events": events, "venues": venues, "source_records": records, "event_links": links, "merge_reviews": reviews})
-    store.add_run(source, now, stats)
+    store.add_run(source, now, stats, run_id=run_id)
     return stats
 
 
-def run_source(store: Store, sources: DataFrame, slug: str, fetch: Callable[[dict], DataFrame], now: datetime, limit: int | None = None) -> dict:
+def run_source(
+    store: Store, sources: DataFrame, slug: str, fetch: Callable[[dict], DataFrame], now: datetime, limit: int | None = None, horizon_days: int = HORIZON_DAYS
+) -> dict:
     """One run: an unknown source is an error, a disabled one does nothing, a limited run never
-    retires what it did not see. A failure is logged and raised again."""
-    found = sources.filter(F.col("slug") == slug).first()
+    retires what it did not see, and listings beyond the horizon are left for a later run. A
+    failure is logged and raised again."""
+    found = source_config(sources, slug).first()
     if found is None:
         raise KeyError(f"unknown source {slug}")
     if not found["enabled"]:
         return {}
     try:
-        listings = fetch(found["config"] or {})
+        listings = within_horizon(fetch(found["config"] or {}), now, horizon_days)
         if limit is not None:
             listings = listings.orderBy("seq").limit(limit)
         return ingest(store, slug, listings, now, complete=limit is None)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
 from . import listing_api, markup
 
 Adapter = Callable[..., DataFrame]
+HORIZON_DAYS = 120
 
 ADAPTERS: dict[str, Adapter] = {"listing_a": listing_api.normalize_a, "listing_b": listing_api.normalize_b}
 
@@ -21,8 +22,8 @@ def adapter_for(slug: str) -> Adapter:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page): the landed answers of an API, one JSON document for each file."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("page"))
+    """(page, name): the landed answers of an API, one JSON document for each file."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("page"), F.col("_metadata.file_path").alias("name"))
 
 
 def enabled_sources(sources: DataFrame) -> DataFrame:
@@ -38,6 +39,16 @@ def page_bounds(total_pages: int, size: int = 200, ceiling: int = 1000) -> list[
     return [p for p in range(total_pages) if p * size < ceiling]
 
 
+def horizon_end(now: datetime, days: int = HORIZON_DAYS) -> datetime:
+    """How far ahead a crawl asks for."""
+    return now + timedelta(days=days)
+
+
+def within_horizon(listings: DataFrame, now: datetime, days: int = HORIZON_DAYS) -> DataFrame:
+    """Listings that start by the end of the horizon; a source may answer with later ones."""
+    return listings.filter(F.col("starts_at") <= F.lit(horizon_end(now, days)))
+
+
 def dry_run(listings: DataFrame, limit: int | None = None) -> list[str]:
     """The first listings as JSON, nothing written."""
     return listings.orderBy("seq").limit(limit or 1).toJSON().collect()
@@ -47,6 +58,3 @@ def renormalize(records: DataFrame, adapter: Adapter, **options) -> DataFrame:
     """Listings anew from stored raw payloads."""
     return adapter(records.filter("gone_at IS NULL").select("raw", F.monotonically_increasing_id().alias("seq")), **options)
 
-
-def with_hash(listings: DataFrame) -> DataFrame:
-    return listings.withColumn("content_hash", content_hash(F.col("raw")))

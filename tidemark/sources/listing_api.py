@@ -10,16 +10,19 @@ from ..functions.coerce import least_positive, number, present, truthy, widest
 from ..functions.geo import nearest_city, point
 from ..functions.localtime import parse_instant, parse_local
 from ..functions.text import join_present, summary_text
+from .markup import in_order
 
 
 def events_a(pages: DataFrame) -> DataFrame:
-    """Pages (page: JSON text) of the first API to (raw, seq); a page of another shape has none."""
-    found = pages.select(F.from_json("page", schemas.API_A_PAGE).alias("p")).select(F.explode("p.events").alias("raw"))
+    """Pages (page: JSON text, name) of the first API to (raw, seq), in the order of their names;
+    a page of another shape has none."""
+    found = in_order(pages).select(F.from_json("page", schemas.API_A_PAGE).alias("p")).select(F.explode("p.events").alias("raw"))
     return found.withColumn("seq", F.monotonically_increasing_id())
 
 
 def events_b(pages: DataFrame) -> DataFrame:
-    found = pages.select(F.from_json("page", schemas.API_B_PAGE).alias("p")).select(F.explode("p._embedded.events").alias("raw"))
+    """The same for the second API."""
+    found = in_order(pages).select(F.from_json("page", schemas.API_B_PAGE).alias("p")).select(F.explode("p._embedded.events").alias("raw"))
     return found.withColumn("seq", F.monotonically_increasing_id())
 
 

@@ -10,9 +10,19 @@ from ..functions.coerce import least_positive, variant_number, variant_text
 from ..functions.geo import nearest_city, point
 from ..functions.localtime import parse_instant
 from ..functions.text import WS, infer_category, join_present, trim_ws
+from ..storage import materialise
+
+
+def in_order(pages: DataFrame) -> DataFrame:
+    """Pages in the order of their file names (column ``name``), whatever files a task reads: with
+    row numbers that rise along partitions, listings arrive in the order of their pages. Pages
+    without a name stay as they are."""
+    return pages.orderBy("name") if "name" in pages.columns else pages
+
 
 SCRIPT = "(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
-DEPTH = 6
+#: Levels of nesting that are declared ahead; deeper ones are followed while there are any.
+LEVELS = 3
 
 
 def _get(node: Column, path: str) -> Column:
@@ -27,34 +37,45 @@ def _spread(level: DataFrame, value: Column) -> DataFrame:
     """A row for each element of an array value."""
     found = level.withColumn("__v", value)
     udtf = found.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-    return udtf.select(*[c for c in level.columns if c not in ("node", "path")], F.col("value").alias("node"), F.concat("path", F.array(F.col("pos"))).alias("path"))
+    kept = [c for c in level.columns if c not in ("node", "path", "json_path", "step")]
+    return udtf.select(
+        *kept, F.col("value").alias("node"), F.concat("path", F.array(F.col("pos"))).alias("path"),
+        F.concat("json_path", "step", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("json_path"),
+    )
 
 
 def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(page_url, block, path, node, type, is_event): every object in the page's JSON-LD, out
-    of arrays and @graph to a depth of DEPTH; broken blocks are skipped. Values of other
-    properties are not walked."""
-    blocks = pages.select(
-        F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SCRIPT), F.lit(1))).alias("block", "body")
+    """(seq, page_url, block, path, node, raw, type, is_event): every object in the page's JSON-LD,
+    out of arrays and @graph however deep; broken blocks are skipped. Values of other properties
+    are not walked. ``raw`` is the object's text, its properties in the order of the page; ``seq``
+    follows the order of the pages (see ``landing.in_order``)."""
+    blocks = pages.select("*", F.monotonically_increasing_id().alias("page_seq")).select(
+        "page_seq", F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SCRIPT), F.lit(1))).alias("block", "body")
+    )
+    parsed = blocks.select(
+        "page_seq", "page_url", "block", "body", F.try_parse_json(trim_ws(F.col("body"))).alias("node"), F.array().cast("array<int>").alias("path"), F.lit("$").alias("json_path"),
     )
-    parsed = blocks.select("page_url", "block", F.try_parse_json(trim_ws(F.col("body"))).alias("node"), F.array().cast("array<int>").alias("path"))
-    level, found = parsed.filter(F.col("node").isNotNull()), None
-    for _ in range(DEPTH):
+    level, found, depth = parsed.filter(F.col("node").isNotNull()), None, 0
+    while depth < LEVELS or not level.isEmpty():
+        level, depth = level if depth < LEVELS else materialise(level, "markup-level"), depth + 1
         kind = _kind(F.col("node"))
         here = level.filter(kind.startswith("OBJECT"))
         found = here if found is None else found.unionByName(here)
         graph = F.when(kind.startswith("ARRAY"), F.col("node")).when(
             kind.startswith("OBJECT") & _kind(_get(F.col("node"), "$['@graph']")).startswith("ARRAY"), _get(F.col("node"), "$['@graph']")
         )
-        level = _spread(level.withColumn("__g", graph).filter(F.col("__g").isNotNull()), F.col("__g")).drop("__g")
+        step = F.when(kind.startswith("ARRAY"), F.lit("")).otherwise(F.lit("['@graph']"))
+        level = _spread(level.withColumn("step", step).withColumn("__g", graph).filter(F.col("__g").isNotNull()), F.col("__g")).drop("__g")
     type_ = _get(F.col("node"), "$['@type']")
     as_text = F.try_variant_get(type_, "$", "string")
     many = F.try_variant_get(type_, "$", "array<string>")
     is_event = F.when(_kind(type_) == "STRING", as_text.rlike("(?i)Event$")).when(
         _kind(type_).startswith("ARRAY"), F.exists(many, lambda t: t.rlike("(?i)Event$"))
     )
+    raw = F.when(F.col("json_path") == "$", trim_ws(F.col("body"))).otherwise(F.call_function("get_json_object", F.col("body"), F.col("json_path")))
+    seq = F.struct("page_seq", "block", "path")
     return found.select(
-        "page_url", "block", "path", "node", as_text.alias("type"), F.coalesce(is_event, F.lit(False)).alias("is_event")
+        seq.alias("seq"), "page_url", "block", "path", "node", raw.alias("raw"), as_text.alias("type"), F.coalesce(is_event, F.lit(False)).alias("is_event")
     )
 
 
@@ -91,13 +112,14 @@ def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str |
         F.coalesce(text("$.eventAttendanceMode"), infer_category(F.col("title"), F.col("description"))).alias("category_hint"),
         F.when(_kind(image).startswith("ARRAY"), variant_text(_get(image, "$[0]"))).otherwise(variant_text(image)).alias("cover_image_url"),
         F.lit(0).alias("popularity"),
-        F.to_json(v).alias("raw"),
-        F.monotonically_increasing_id().alias("seq"),
+        "raw",
+        "seq",
     )
+    out = out.orderBy("seq").withColumn("seq", F.monotonically_increasing_id())
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LISTING])
 
 
 def normalize_pages(pages: DataFrame, slug: str = "markup", default_city: str | None = None) -> DataFrame:
-    return normalize_nodes(nodes(pages), slug, default_city)
+    return normalize_nodes(nodes(in_order(pages)), slug, default_city)
 
 
