@@ -10,8 +10,8 @@ from .common import ascii_lower, text_of
 #: All that is not in a word, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
-#: Templates of fewer pairs need all of them.
-SHORT = 8
+#: Of a template's pairs beyond the first FIRM two in five may be missing.
+FIRM = 4
 #: Label and phrase; a phrase counts where its words stand consecutively.
 PHRASES = (
     ("gpl", "gnu general public license"),
@@ -35,6 +35,23 @@ TEMPLATES = (
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # whole wordings
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
 
@@ -67,7 +84,6 @@ def scan(
     docs: DataFrame,
     phrases=PHRASES,
     templates=TEMPLATES,
-    threshold: float = 0.6,
     gap: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -79,7 +95,8 @@ def scan(
     so it is broadcast) and compared word by word. Hits vote for their diagonal, the offset of
     text to template. A phrase stands where a diagonal has all its pairs. Of the longer
     templates, diagonals at most ``gap`` apart in a row are merged (words put in or left out), and a
-    span counts if ``threshold`` of the template's pairs are on it (all, if it has fewer than SHORT). score is the largest share found,
+    span counts if enough of the template's pairs are on it: for every length two in five of
+    those beyond the first FIRM may be missing. score is the largest share found,
     1 for a phrase; spans are (label, first word, share). Null is the empty text (no words,
     empty labels, score 0); rows that repeat id and text are scanned as one and each gets
     the result; a null id is a value like another. An empty table gives an empty one.
@@ -107,7 +124,7 @@ def scan(
         .groupBy(*key, "template", "label", "base", "size", "grams", "span")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min("diagonal").alias("start"))
         .withColumn("share", F.col("votes") / F.col("grams"))
-        .filter(F.when(F.col("base") | (F.col("grams") < SHORT), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= threshold))
+        .filter(F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(5 * (F.col("grams") - F.col("votes")) <= 2 * F.greatest(F.col("grams") - FIRM, F.lit(0))))
     )
     named = lambda which: F.concat_ws(",", F.sort_array(F.collect_set(F.when(which, F.col("label")))))
     found = spans.groupBy(*key).agg(
@@ -139,7 +156,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def oracle_sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.6, gap: int = 4) -> str:
+def oracle_sql(phrases=PHRASES, templates=TEMPLATES, gap: int = 4) -> str:
     """The same scan of ``documents`` (doc_id unique) in DuckDB's SQL."""
     given = [(*p, True) for p in phrases] + [(*t, False) for t in templates]
     values = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, {c})" for i, (a, b, c) in enumerate(given))
@@ -158,7 +175,7 @@ def oracle_sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.6, gap
         spans AS (SELECT doc_id, label, h.base AS base, grams, count(DISTINCT place) AS votes, min(h.diagonal) AS start
           FROM hits h JOIN numbered n USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, h.base, grams, span),
         found AS (SELECT *, votes / grams::DOUBLE AS share FROM spans
-          WHERE CASE WHEN base OR grams < {SHORT} THEN votes = grams ELSE votes / grams::DOUBLE >= {threshold} END)
+          WHERE CASE WHEN base THEN votes = grams ELSE 5 * (grams - votes) <= 2 * greatest(grams - {FIRM}, 0) END)
         SELECT doc_id, max(len(w)) AS n_words, count(label) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
           coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
           coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score
