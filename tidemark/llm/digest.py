@@ -21,6 +21,8 @@ FILTER_BYTES = FILTER_BITS // 8
 HASHES = 5
 FULL = 160
 BLOCK = 1 << 16
+#: Bytes of text in a range of ids (more where there would be over MAX_RANGES).
+RANGE_BYTES, MAX_RANGES = 32 << 20, 20_000
 #: c * log2(c), scaled so that sums stay whole numbers of 32 bits.
 _SCALE = 1 << 12
 _CLOGC = np.array([0, *(round(_SCALE * c * np.log2(c)) for c in range(1, WINDOW + 1))], np.int32)
@@ -229,17 +231,22 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def edit_digests(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_digests(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next) for each row: how like its digest is to that of its edited text and of the
     next document. The next of a single document is itself. Null is the empty text; rows
     that repeat an id follow each other by text; an empty table gives an empty one.
 
-    The text goes through one exchange, by ranges of ids; a task keeps a slice of it.
+    The text goes through one exchange, by ranges of ids (``parts``, by default by the bytes of
+    text); a task keeps a slice of it, and of a very long text its digest's places alone. Ids are
+    whole numbers.
     """
     import hashlib
 
     kind = docs.schema[id_col].dataType.simpleString()
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+        parts = min(MAX_RANGES, max(docs.sparkSession.sparkContext.defaultParallelism, size // RANGE_BYTES))
     ranks = class_ranks(docs, text_col)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -34,8 +34,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return digest.edit_digests(read(spark, sf_dir, "documents"), parts)
+    return digest.edit_digests(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
