@@ -34,7 +34,7 @@ def test_phrases_are_those_of_brute_force(odd_docs, some_docs, no_docs):
 
 
 def test_templates_with_words_put_in_or_left_out(spark):
-    mit = dict(license_scan.TEMPLATES)["mit"].split()
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit").split()
     noisy = " ".join([*mit[:8], "extra", *mit[8:15], *mit[16:]]).upper()
     rows = [(1, "x " * 50 + noisy), (2, " ".join(mit[:5])), (3, "Licensed under CC BY-NC 4.0."), (4, "mit license mit license apache license")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -137,8 +137,8 @@ def test_tries_are_read_in_place():
     dealt = lm_score.Shares(1, np.array([1], np.uint64), np.array([1]), np.array([1]))
     asked = lm_score.Ngrams.of(hashes, tokens, np.array([len(tokens)]), dealt)
     h = np.concatenate([hashes, np.array([1, 2], np.uint64)])
-    contexts, words = np.unique(h), np.unique(h & lm_score.LOW48)
-    v, u, w = (np.searchsorted(x, y) for x, y in ((contexts, h[asked.v]), (words, h[asked.u] & lm_score.LOW48), (words, h[asked.w] & lm_score.LOW48)))
+    contexts, words = np.unique(h), np.unique(h & lm_score.LOW32)
+    v, u, w = (np.searchsorted(x, y) for x, y in ((contexts, h[asked.v]), (words, h[asked.u] & lm_score.LOW32), (words, h[asked.w] & lm_score.LOW32)))
     none = np.zeros(0, np.int64)
     trie = lm_score.Trie.of_counts(contexts, words, v, u, w, np.ones(len(v), np.int64), (none, none, none), np.full(len(contexts), -1), np.array([1]))
     read = lm_score.Trie.mapped(trie.dump())

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 512
-QUERIES = 1 << 14
+BLOCK = 64
+QUERIES = 1 << 16
 _COUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").sum(axis=1).astype(np.uint8)
 
 
@@ -78,11 +78,11 @@ class EliasFano:
             data = rows[block]
             if zeros:
                 data = ~data
-            left = (k - before[block]).astype(np.int16)
-            upto = np.cumsum(_COUNT[data], axis=1, dtype=np.int16)
+            left = (k - before[block]).astype(np.int8)
+            upto = np.cumsum(_COUNT[data], axis=1, dtype=np.int8)
             byte = (upto <= left[:, None]).sum(axis=1)
             here = np.arange(len(k))
-            left -= np.where(byte > 0, upto[here, byte - 1], 0).astype(np.int16)
+            left -= np.where(byte > 0, upto[here, byte - 1], 0).astype(np.int8)
             out[at : at + QUERIES] = block * BLOCK + byte * 8 + _PLACE[data[here, byte], left]
         return out
 

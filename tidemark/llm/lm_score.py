@@ -5,7 +5,8 @@ from __future__ import annotations
 import mmap
 import os
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import crc_mod, materialise, small_batches, texts_of
+from .common import crc_mod, materialise, shared_dir, small_batches, texts_of
 from .elias_fano import Level, dump, load
 
 #: Bytes of text in a slice, whose n-grams are asked for together, and in a part of the contexts.
@@ -25,7 +26,7 @@ LEVELS = 255
 #: Logarithms travel as 16-bit steps down from 0; 0 stands for what was never seen.
 STEP = 4000.0
 START, END = 1, 2  # hashes of the marks around a text
-LOW48 = np.uint64((1 << 48) - 1)
+LOW32 = np.uint64((1 << 32) - 1)
 
 
 # --- arrays in bytes
@@ -160,6 +161,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x * 0x9E3779B1 & 0xFFFFFFFF) >> 15
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place of each key among them as 32 bits)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a.astype(np.int64)
+    out <<= 32
+    out |= b
+    return out
+
+
 @dataclass
 class Ngrams:
     """What a slice asks for. Words are places among the slice's words, the marks after them. Each
@@ -186,16 +206,18 @@ class Ngrams:
         n = len(hashes)
         h = np.concatenate([hashes, np.array([START, END], np.uint64)])
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        full = np.full(len(tokens) + 3 * len(sizes), n, np.int64)
+        full = np.full(len(tokens) + 3 * len(sizes), n, np.int32)
         full[np.arange(len(tokens)) + 3 * doc + 2] = tokens
         full[np.cumsum(sizes + 3) - 1] = n + 1
         at = np.arange(len(tokens) + len(sizes)) + 2 * np.repeat(np.arange(len(sizes)), sizes + 1)
-        u, v, w = full[at], full[at + 1], full[at + 2]
-        contexts, context = np.unique(v << 32 | u, return_inverse=True)
-        triples, event = np.unique(context << 32 | w, return_inverse=True)
-        context, w = triples >> 32, triples & 0xFFFFFFFF
-        v, u = contexts[context] >> 32, contexts[context] & 0xFFFFFFFF
-        pairs, pair = np.unique(v << 32 | w, return_inverse=True)
+        contexts, context = _distinct(_both(full[at + 1], full[at]))
+        w = full[at + 2]
+        del full, at, doc
+        triples, event = _distinct(_both(context, w))
+        context, w = (triples >> 32).astype(np.int32), (triples & 0xFFFFFFFF).astype(np.int32)
+        del triples
+        v, u = ((x[context]).astype(np.int32) for x in (contexts >> 32, contexts & 0xFFFFFFFF))
+        pairs, pair = _distinct(_both(v, w))
         upper = (h >> np.uint64(32)).astype(np.int64)
         hot, spread = dealt.of(h)
         home = upper % dealt.parts
@@ -248,7 +270,7 @@ def requests(cut: DataFrame, dealt: Shares) -> DataFrame:
                     words = np.unique(np.concatenate([u, w, asked.pair_w[p]]))
                     v_runs, c_runs = _runs(v), _runs(asked.triple_context[t])
                     bodies.append(pack([
-                        h[words] & LOW48, h[v[v_runs]], np.diff(np.append(np.searchsorted(c_runs, v_runs), len(c_runs))), np.searchsorted(words, u[c_runs]),
+                        h[words] & LOW32, h[v[v_runs]], np.diff(np.append(np.searchsorted(c_runs, v_runs), len(c_runs))), np.searchsorted(words, u[c_runs]),
                         np.diff(np.append(c_runs, len(t))), np.searchsorted(words, w), count[t],
                         asked.hot[asked.pair_v[p]], np.searchsorted(words, asked.pair_w[p]), pair_count[p],
                     ]))
@@ -465,7 +487,7 @@ def _shares_of(steps: np.ndarray) -> np.ndarray:
     return np.where(steps > 0, 10.0 ** ((1 - steps) / STEP), 0.0)
 
 
-def slice_scores(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, parts: list[tuple[int, bytes]], dealt: Shares, known: Totals, train_docs: int) -> tuple[np.ndarray, ...]:
+def slice_scores(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, parts: Iterable[tuple[int, bytes]], dealt: Shares, known: Totals, train_docs: int) -> tuple[np.ndarray, ...]:
     """(n_known, base, score) of each document of a slice from the answers of the parts."""
     asked = Ngrams.of(hashes, tokens, sizes, dealt)
     n = len(hashes)
@@ -498,31 +520,19 @@ def slice_scores(hashes: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, part
 
 def scores(cut: DataFrame, answered: DataFrame, dealt: Shares, known: Totals, train_docs: int, kind: str) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): the answers meet their slice again."""
-    own = cut.select("slice", F.lit(-1).alias("part"), F.col("tokens").alias("body"), "hashes", "doc_id", "sizes")
-    theirs = answered.filter("slice IS NOT NULL").select("slice", "part", "body", *(F.lit(None).alias(c) for c in ("hashes", "doc_id", "sizes")))
-    both = own.unionByName(theirs).repartition("slice").sortWithinPartitions("slice", "part")
+    theirs = answered.filter("slice IS NOT NULL").groupBy("slice").agg(F.collect_list(F.struct("part", "body")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        parts: list[tuple[int, bytes]] = []
-
-        def out() -> pa.RecordBatch:
-            doc_id, sizes, hashes, tokens = held
-            found = slice_scores(unpack(hashes)[0].astype(np.uint64), unpack(tokens)[0], sizes, parts, dealt, known, train_docs)
-            return pa.RecordBatch.from_arrays([doc_id, pa.array(sizes + 1), *map(pa.array, found)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
         for batch in batches:
-            for i, (part, body) in enumerate(zip(batch.column("part").to_pylist(), batch.column("body").to_pylist())):
-                if part < 0:
-                    if held:
-                        yield out()
-                    held, parts = (batch.column("doc_id")[i].values, batch.column("sizes")[i].values.to_numpy(), batch.column("hashes")[i].as_py(), body), []
-                else:
-                    parts.append((part, body))
-        if held:
-            yield out()
+            for i in range(batch.num_rows):
+                (hashes,), (tokens,) = (unpack(batch.column(c)[i].as_py()) for c in ("hashes", "tokens"))
+                sizes, parts = batch.column("sizes")[i].values.to_numpy(), batch.column("parts")[i].values
+                bodies = zip(*(parts.field(c).to_pylist() for c in ("part", "body")))
+                found = slice_scores(hashes.astype(np.uint64), tokens, sizes, bodies, dealt, known, train_docs)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, pa.array(sizes + 1), *map(pa.array, found)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return both.select("slice", "part", "body", "hashes", "doc_id", "sizes").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    joined = cut.join(theirs, "slice").select("doc_id", "sizes", "hashes", "tokens", "parts")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -540,14 +550,18 @@ def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     frequent than a part's share is dealt out by its neighbours. Slices of the corpus send each part their
     distinct n-grams with counts, once, and get back what the trie says of them; so nothing is sent
     for each document, a frequent n-gram comes once from each slice, and what is kept grows with the
-    corpus without a bound. Words are told apart by 64-bit hashes, as neighbours by 48 bits of them.
+    corpus without a bound. Words are told apart by 64-bit hashes, as
+    neighbours of one word by 32 bits of them (about one word in 5,000 shares them with another of its part).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
         parts = max(spark.sparkContext.defaultParallelism, -(-size // PART))
-    cut = materialise(slices(rows), "lm-slices")
+    name = f"slices_{uuid.uuid4().hex}"  # in buckets, so that the answers come to the slices and not both to a third place
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices(rows).write.bucketBy(buckets, "slice").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    cut = spark.table(name)
     each = F.arrays_zip("train", "sizes")
     learnt = cut.select(F.explode(each).alias("d")).filter("d.train").agg(F.count("*").alias("docs"), F.coalesce(F.sum("d.sizes"), F.lit(0)).alias("words")).first()
     dealt = shares(parts, cut, learnt.docs)
