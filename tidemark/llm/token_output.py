@@ -7,6 +7,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import intermediates, materialise, shared_dir
 from .packing import placed
 from .tokens import chunks, id_bytes
 
@@ -99,8 +100,16 @@ def write_shards(
     are written each; a very long text is cut into pieces; an empty table writes no records.
 
     The ids are written once, in buckets of the task that made them, so that slots come to them
-    without another exchange; one exchange takes them to their shards.
+    without another exchange; one exchange takes them to their shards, and a task
+    holds the pieces of one shard.
     """
+    with intermediates(docs.sparkSession):
+        return _write_shards(docs, path, vocabulary, pattern, capacity, end_id, pad_id, shard_rows, key, id_col, text_col)
+
+
+def _write_shards(
+    docs: DataFrame, path: str, vocabulary: str, pattern: str, capacity: int, end_id: int | None, pad_id: int, shard_rows: int, key: int, id_col: str, text_col: str
+) -> int:
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -125,49 +134,60 @@ def write_shards(
     to_place = packed.groupBy(F.col("task").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("n", "slot", "offset"))).alias("places"))
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for i in range(batch.num_rows):
-                first, ids = batch.column("first")[i].as_py(), batch.column("ids")[i].as_buffer()
+                first, ids = batch.column("first")[i].as_py(), batch.column("ids")[i].as_py()
                 lengths = batch.column("length")[i].values.to_numpy()
                 mine = batch.column("places")[i].values.slice(first, len(lengths))
                 ends = np.cumsum(lengths) * width
-                data = [press.compress(ids[int(b) - int(n) * width : int(b)]) for b, n in zip(ends, lengths)]
-                slot = mine.field("slot").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), mine.field("offset"), pa.array(data, pa.binary())], ["shard", "slot", "offset", "ids"]
-                )
+                slot, offset = mine.field("slot").to_numpy(), mine.field("offset").to_numpy()
+                order = np.lexsort((offset, slot))
+                shards, starts = np.unique(slot[order] // shard_rows, return_index=True)
+                groups = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+                data = [press.compress(b"".join(ids[int(ends[k] - lengths[k] * width) : int(ends[k])] for k in g)) for g in groups]
+                cuts = pa.array([*starts, len(order)], pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (slot, offset, lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), *lists, pa.array(data, pa.binary())], ["shard", "slot", "offset", "length", "ids"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.array([pad_id], f"<u{width}").tobytes()
         press = zstandard.ZstdDecompressor()
-        held: tuple[int, int, list[bytes]] | None = None
-
-        def made_of(shard: int, slot: int, parts: list[bytes]) -> tuple[int, bytes]:
-            body = b"".join(parts)
-            used = len(body) // width
-            return shard, struct.pack(HEADER, slot, used) + body + pad * (capacity - used)
-
-        def batch_of(done: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], ["shard", "record"])
+        pieces: list[tuple[int, int, bytes]] = []  # of one shard
+        now = None
+
+        def batch_of(made: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(made), pa.int32()), pa.array(made, pa.binary())], ["shard", "record"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pieces.sort()
+            made: list[bytes] = []
+            for slot, parts in groupby(pieces, key=lambda p: p[0]):
+                body = b"".join(p[2] for p in parts)
+                used = len(body) // width
+                made.append(struct.pack(HEADER, slot, used) + body + pad * (capacity - used))
+                if len(made) == 1024:
+                    yield batch_of(made)
+                    made = []
+            yield batch_of(made)
+            pieces.clear()
 
         for batch in batches:
-            done = []
-            for shard, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "ids"))):
-                if held and held[1] != slot:
-                    done.append(made_of(*held))
-                    held = None
-                held = held or (shard, slot, [])
-                held[2].append(press.decompress(ids))
-            yield batch_of(done)
-        if held:
-            yield batch_of([made_of(*held)])
+            for shard, slots, offsets, lengths, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "offset", "length", "ids"))):
+                if now not in (None, shard):
+                    yield from out()
+                now, ids, at = shard, press.decompress(ids), 0
+                for slot, offset, n in zip(slots, offsets, lengths):
+                    pieces.append((slot, offset, ids[at : at + n * width]))
+                    at += n * width
+        if pieces:
+            yield from out()
 
     placed_ids = made.select("slice", "first", "length", "ids").join(to_place, "slice").select("first", "length", "ids", "places")
     (
-        placed_ids.mapInArrow(to_shards, "shard int, slot long, offset long, ids binary")
+        placed_ids.mapInArrow(to_shards, "shard int, slot array<bigint>, offset array<bigint>, length array<bigint>, ids binary")
         .repartitionById(max(1, -(-total // shard_rows)), F.col("shard"))
-        .sortWithinPartitions("shard", "slot", "offset")
+        .sortWithinPartitions("shard")
         .mapInArrow(records, "shard int, record binary")
         .select("shard", F.col("record").cast("string").alias("value"))
         .write.partitionBy("shard").option("compression", "none").option("lineSep", END.decode()).text(f"{path}/shards")

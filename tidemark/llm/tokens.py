@@ -114,7 +114,7 @@ def chunks(
     of ``id_bytes`` each, little-endian."""
     kind = docs.schema[id_col].dataType.simpleString()
     tail = [] if end_id is None else [end_id]
-    width = f"<u{id_bytes(vocabulary)}"
+    width = id_bytes(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, pattern)
@@ -129,7 +129,7 @@ def chunks(
                     piece.append(k)
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
-                data.append(ids.astype(width).tobytes())
+                data.append(ids.astype(f"<u{width}").tobytes())
             ends = pa.array([0, len(owner)], pa.int32())
             lists = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(
