@@ -10,9 +10,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import intermediates, kept, materialise, shared_dir
 
-__all__ = ["ascii_lower", "crc_mod", "materialise", "read", "shared_dir", "small_batches", "text_of", "texts_of"]
+__all__ = ["ascii_lower", "crc_mod", "intermediates", "kept", "materialise", "read", "shared_dir", "small_batches", "text_of", "texts_of"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 2 << 20
 

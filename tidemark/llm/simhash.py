@@ -8,12 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
-from .common import materialise, small_batches, texts_of
+from .common import intermediates, kept, materialise, small_batches, texts_of
 
 SEED = 42
 CHUNK = 1 << 15
@@ -102,24 +102,36 @@ def near_duplicates(
     in a join; what is joined back on the class is (doc_id, fp) alone.
     """
     rows = materialise(fingerprints(docs, words, id_col, text_col), "simhash")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), max_bits, blocks)).withColumnRenamed("node", "fp")
-    linked = classes.join(roots, "fp").select("fp", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = roots.join(named, "root").select("fp", "component_id")
-    component = materialise(
-        classes.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")),
-        "simhash-components",
-    )
+    classes = materialise(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "simhash-classes")
+    roots = connected_components(links(classes.select(F.col("node").alias("fp")), max_bits, blocks))
+    component = named(classes, roots).withColumnRenamed("node", "fp")
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``classes`` (node, least) and ``roots`` (node, root; nodes without links may be left out)
+    -> (node, component_id): the smallest ``least`` of each component. A component with more
+    than a thousandth of all nodes (so at most a thousand of them) is sent to the tasks; the
+    others are joined by root."""
+    known = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    known = materialise(known, "rooted")
+    names = materialise(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "named")
+    large = F.col("n") > F.lit(known.count() / 1000)
+    sent = names.filter(large).select("root", F.struct("component_id").alias("hit"))
+    parted = known.join(F.broadcast(sent), "root", "left")
+    return materialise(
+        parted.filter("hit IS NOT NULL").select("node", "hit.component_id")
+        .union(parted.filter("hit IS NULL").join(names.filter(~large), "root").select("node", "component_id")),
+        "components",
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component those with its smallest
     id (a row without an id stays only if its component has none)."""
     found = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -129,17 +141,37 @@ def hex_digits(fp: Column) -> Column:
 
 # --- groups of like texts: more bits, for similarities that a few bits of 64 cannot tell
 WIDE = 24
-BANDS = 128
-BAND_BITS = 20
-#: The bands in which large groups are drawn together first.
-STAR_BANDS = 32
-#: Of 128 bits two texts at 0.8 differ in 19 on average (deviation 4), two strangers in 64 (5.7).
-SKETCH_BITS = 42
+#: Chance that a pair just alike enough shares a band.
+RECALL = 0.99
+#: How many standard deviations a pair's bits may differ more than expected before its sets are not compared.
+SLACK = 4
 #: Sets of at most so many shingles meet by their smallest hashes.
 SHORT = 8
+#: Below so many shingles bits say too little to rule a pair out.
+FEW = 64
 NEEDED_BITS = 24
 
 
+def _differ(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of equal size and that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _limit(bits: int, similarity: float) -> int:
+    share = _differ(similarity)
+    return math.ceil(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
+
+
+def band_plan(nodes: int, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """[band, bit]: which bits make up each band, drawn once. A band has 20 bits, and more where
+    there are more than 2^23 nodes, so that chance strangers in a block stay few; there are as
+    many bands as the recall takes at any size."""
+    size = min(48, max(20, (nodes - 1).bit_length() - 3))
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - _differ(similarity)) ** size))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WIDE, size, replace=False) for _ in range(bands)])
+
+
 def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, sorted."""
     tokens = text.lower().split()
@@ -167,14 +199,12 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, int]:
 
 
 _STEPS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: The bits of each band, drawn once from all.
-_BAND = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * WIDE), (BANDS, 1)), axis=1)[:, :BAND_BITS]
 
 
-def _band_keys(prints: np.ndarray, bands: int) -> np.ndarray:
+def _band_keys(prints: np.ndarray, plan: np.ndarray) -> np.ndarray:
     """[row, band] keys of uint8 [row, bytes]; a key tells its band."""
-    bits = np.unpackbits(prints, axis=1)[:, _BAND[:bands]].astype(np.int64)
-    return (bits << np.arange(BAND_BITS)).sum(axis=2) * BANDS + np.arange(bands)
+    bits = np.unpackbits(prints, axis=1)[:, plan].astype(np.int64)
+    return (bits << np.arange(plan.shape[1])).sum(axis=2) * len(plan) + np.arange(len(plan))
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -182,111 +212,157 @@ def _node(hashes: np.ndarray) -> int:
     return _signed(xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def _block_keys(classes: DataFrame, bands: int) -> DataFrame:
-    """``classes`` (node, root, fp, prefix) -> (k, node, root, s, t): a row for each of the first
-    ``bands`` bands with 128 bits to compare, and for each hash of the prefix (with none)."""
+STARS = 3
+#: Bits of the sketch that goes with each band: a long and half of one.
+SKETCH = 96
+
+
+def _block_keys(classes: DataFrame, plan: np.ndarray) -> DataFrame:
+    """``classes`` (id, root, fp, prefix) -> (k, id, root, s, t): a row for each band of the plan
+    with SKETCH bits to compare, and for each hash of the prefix (with none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // plan.size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                prints = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                sketch = np.ascontiguousarray(prints[:, :16]).view(np.int64)
-                nodes, roots = (part.column(c).to_numpy() for c in ("node", "root"))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                prints = part.column("fp").flatten().to_numpy().view(np.uint8).reshape(part.num_rows, -1)
+                s, t = np.ascontiguousarray(prints[:, :8]).view(np.int64)[:, 0], np.ascontiguousarray(prints[:, 8:12]).view(np.uint32)[:, 0].astype(np.int64)
                 prefix = [np.frombuffer(x, np.int64) for x in part.column("prefix").to_pylist()]
-                n, m = np.full(part.num_rows, bands), np.array([len(x) for x in prefix])
-                more = np.zeros(m.sum(), np.int64)
+                n, m = np.full(part.num_rows, len(plan)), np.array([len(x) for x in prefix])
                 columns = [
-                    np.concatenate([_band_keys(prints, bands).ravel(), *prefix]),
-                    *(np.concatenate([np.repeat(x, n), np.repeat(x, m)]) for x in (nodes, roots)),
-                    *(np.concatenate([np.repeat(sketch[:, i], n), more]) for i in (0, 1)),
+                    np.concatenate([_band_keys(prints, plan).ravel(), *prefix]),
+                    *(np.concatenate([np.repeat(x, n), np.repeat(x, m)]) for x in (part.column(c).to_numpy() for c in ("id", "root"))),
+                    *(np.concatenate([np.repeat(x, n), np.zeros(m.sum(), x.dtype)]) for x in (s, t)),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "node", "root", "s", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "id", "root", "s", "t"])
 
-    return classes.select("node", "root", "fp", "prefix").mapInArrow(run, "k long, node long, root long, s long, t long")
+    return classes.select("id", "root", "fp", "prefix").mapInArrow(run, "k long, id long, root long, s long, t long")
 
 
-def _near_bits(x: str, y: str) -> Column:
+def _distance(x: str, y: str) -> Column:
     differ = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("s", "t")]
-    return differ[0] + differ[1] <= SKETCH_BITS
+    return differ[0] + differ[1]
+
+
+def _near_bits(x: str, y: str, similarity: float) -> Column:
+    return _distance(x, y) <= _limit(SKETCH, similarity)
+
+
+def first_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): for each component (root) its closest meeting with the lowest member of a block that
+    is in another one, so at most one row a component."""
+    first = keyed.groupBy("k").agg(F.min_by(F.struct("id", "root", "s", "t"), "id").alias("f"), F.max("root").alias("last"), F.min("root").alias("low"))
+    first = materialise(first.filter("low < last").select("k", "f.*"), "like-blocks")
+    found = keyed.alias("x").join(first.alias("y"), F.col("x.k") == F.col("y.k")).filter("x.root <> y.root").filter(_near_bits("x", "y", similarity))
+    pair = F.struct(_distance("x", "y").alias("d"), F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+    return found.groupBy(F.col("x.root").alias("root")).agg(F.min(pair).alias("p")).select("p.a", "p.b").distinct()
 
 
-def first_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): each member of a block with its lowest one."""
-    first = keyed.groupBy("k").agg(F.min_by(F.struct("node", "s", "t"), "node").alias("f"), F.max("node").alias("last"))
-    first = materialise(first.filter("f.node < last").select("k", "f.*"), "like-blocks")
-    found = keyed.alias("x").join(first.alias("y"), F.col("x.k") == F.col("y.k")).filter("x.node > y.node").filter(_near_bits("x", "y"))
-    return found.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+def block_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs that share a block, but those already in one component (root).
+    Blocks of one component alone, or of one member, are left out before: they meet nobody."""
+    block = Window.partitionBy("k")
+    mixed = keyed.withColumn("low", F.min("root").over(block)).withColumn("high", F.max("root").over(block)).filter("low < high")
+    mixed = materialise(mixed.drop("low", "high"), "like-mixed")
+    found = mixed.alias("x").join(mixed.alias("y"), F.col("x.k") == F.col("y.k"))
+    found = found.filter("x.id < y.id and x.root <> y.root").filter(_near_bits("x", "y", similarity))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def block_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs that share a block, but those already in one component (root)."""
-    found = keyed.alias("x").join(keyed.alias("y"), F.col("x.k") == F.col("y.k"))
-    found = found.filter("x.node < y.node and x.root <> y.root").filter(_near_bits("x", "y"))
-    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def _with_prints(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, na, nb): the pairs whose whole wide fingerprints do not rule the similarity out, with
+    the hashes of their sets."""
+    side = lambda s: classes.select(F.col("id").alias(s), *(F.col(c).alias(c[0] + s) for c in ("node", "fp", "size")))
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.filter((F.least("sa", "sb") < FEW) | (differ <= _limit(64 * WIDE, similarity))).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose ``sets`` (node, set) of shingle hashes have that Jaccard similarity. Only
     sets of nodes in pairs are dealt out: a bit map of fixed size tells them (and a few others)."""
-    pairs = materialise(pairs, "like-pairs")
+    with intermediates(pairs.sparkSession):
+        return kept(_counted(materialise(_with_prints(pairs, classes, similarity), "like-pairs"), sets, similarity), "like-links")
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     node, size = F.col("node"), (1 << NEEDED_BITS) - 1
     word = F.shiftright(node.bitwiseAND(F.lit(size)), 6)
-    bits = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy(word.alias("w"))
+    bits = pairs.select(F.explode(F.array("na", "nb")).alias("node")).groupBy(word.alias("w"))
     bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m"))
     made = sets.join(F.broadcast(bits), word == F.col("w")).filter("shiftright(m, cast(node & 63 as int)) & 1 = 1")
     made = materialise(made.groupBy("node").agg(F.first("set").alias("set")), "like-sets")
-    side = lambda s: made.select(F.col("node").alias(s), F.col("set").alias("s" + s))
+    side = lambda s: made.select(F.col("node").alias("n" + s), F.col("set").alias("s" + s))
     common = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), common.alias("common"))
-    return materialise(met.filter(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "like-links")
+    met = pairs.join(side("a"), "na").join(side("b"), "nb").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), common.alias("common"))
+    return met.filter(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``: texts whose sets of ``words``-word
-    shingles have a Jaccard similarity of ``similarity``, counted on their 64-bit hashes, are
+    shingles have a Jaccard similarity of ``similarity``, counted on their hashes, are
     linked; component_id is the smallest doc_id reachable. Nulls, repeats and empty tables as in
     ``near_duplicates``.
 
-    Sets meet where one of BANDS choices of BAND_BITS of the 1536 SimHash bits agrees. These are
-    no pigeonhole: of two large sets at 0.8 ninety-nine in a hundred meet, above 0.85 all but one
-    in a hundred thousand. Sets of at most SHORT shingles meet by their smallest hashes instead, which loses none.
+    Sets meet where they agree in one band of their 1536 SimHash bits. No number of blocks that
+    is of use guarantees this for pairs that differ in 15 bits of 100, as pigeonhole blocks do
+    for two of 64; the bands are as many as ``recall`` takes for pairs just alike enough (see
+    ``band_plan``), and pairs more alike meet more surely. Sets of at most SHORT shingles meet by
+    their smallest hashes instead, which loses none.
 
     All members of a block are compared with each other. So that a group of n copies does not
-    give n * n pairs, each block's members are compared with its first one before (in STAR_BANDS
-    of the bands), and what is linked then is not compared again: its ends are in one component.
+    give n * n pairs, components grow first: STARS times each component's closest meeting with the
+    first of a block (in a quarter of the bands, dealt out over the times) is verified, and what is
+    linked then is not compared again: its ends are in one component.
+
+    Sets are held as 32-bit hashes: two sets of 400 have a chance of one in 25,000 to seem to share
+    a shingle more than they do.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = [shingle_hashes(t, words) for t in texts_of(batch, "text")]
-            prefix = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].tobytes() if len(x) <= SHORT else b"" for x in sets]
+            prefix = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].tobytes() if len(x) <= SHORT / similarity else b"" for x in sets]
+            bits = np.frombuffer(b"".join(map(wide_bits, sets)), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_node(x) for x in sets], pa.int64()), pa.array([wide_bits(x) for x in sets], pa.binary()), pa.array(prefix, pa.binary()),
-                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array([_node(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WIDE), pa.array(bits)),
+                 pa.array(prefix, pa.binary()), pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))],
                 ["doc_id", "node", "fp", "prefix", "set"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, f"doc_id {kind}, node long, fp binary, prefix binary, set array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, f"doc_id {kind}, node long, fp array<bigint>, prefix binary, set array<int>")
     rows = materialise(rows, "like-rows")
     sets = rows.select("node", "set")
-    classes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes, "like-classes")
-    near = _verified(first_pairs(_block_keys(classes.withColumn("root", F.col("node")), STAR_BANDS)), sets, similarity)
-    roots = materialise(connected_components(near), "like-roots")
-    known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _verified(block_pairs(_block_keys(materialise(known.select("node", "root", "fp", "prefix"), "like-known"), BANDS)), sets, similarity)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = materialise(known.join(named, "root").select("node", "component_id"), "like-components")
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first(F.size("set")).alias("size"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "like-classes")  # small numbers, fixed once written
+    with intermediates(docs.sparkSession):
+        plan = band_plan(classes.count(), similarity, recall)
+        links = None
+        known = _rooted(classes, None)
+        for bands in [*np.array_split(plan[: -(-len(plan) // 4)], STARS), None]:
+            pairs = block_pairs(_block_keys(known, plan), similarity) if bands is None else first_pairs(_block_keys(known, bands), similarity)
+            more = _verified(pairs, classes, sets, similarity)
+            links = more if links is None else links.union(more)
+            roots = connected_components(links)
+            known = _rooted(classes, roots)
+        names = named(classes.select(F.col("id").alias("node"), "least"), roots).withColumnRenamed("node", "id")
+        component = kept(classes.select("id", "node").join(names, "id").select("node", "component_id"), "like-components")
     return rows.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
 
 
+def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(id, root, fp, prefix) of every class; one without links is its own root."""
+    if roots is None:
+        return classes.withColumn("root", F.col("id")).select("id", "root", "fp", "prefix")
+    known = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return materialise(known.select("id", "root", "fp", "prefix"), "like-known")
+
+
 def drop_like_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay of each group of like texts: those with
     its smallest id (a row without an id stays only if its group has none)."""
     found = like_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")
