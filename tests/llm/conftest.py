@@ -13,10 +13,11 @@ def odd_docs(spark):
     """Null ids and texts, empty and long texts, ties, repeated rows, columns whose names the
     operators use inside."""
     rows = [(i * 10, t) for i, t in enumerate(TEXTS)] + [(None, "one two"), (None, None), (20, " \n\t"), (30, "one"), (30, "other"), (999, "one")]
-    full = [(i, t, "en", "s", 0, "x", "x", 1, 2, "n", 5, 6, "k") for i, t in rows]
+    full = [(i, t, "en", "s", 0, "x", "x", 1, 2, "n", 5, 6, "k", "a", 1, "b", 2, 3) for i, t in rows]
     return spark.createDataFrame(
         full,
-        "doc_id long, text string, lang string, source string, n_chars long, norm string, h string, fp long, row long, words string, slice int, part int, keep_id string",
+        "doc_id long, text string, lang string, source string, n_chars long, norm string, h string, fp long, row long, words string, slice int, part int, keep_id string, "
+        "sha string, kept_id int, kept_sha string, kept_rows int, node int",
     ).repartition(3)
 
 

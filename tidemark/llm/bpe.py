@@ -135,7 +135,8 @@ def encode_digests(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row. Null and empty texts have
-    no tokens and the digests of nothing. Repeated rows come out as often as they came in."""
+    no tokens and the digests of nothing. Repeated rows come out as often as they came in; a very
+    long text is matched whole; an empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,8 @@ def encode_digests(
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for each row; null and empty texts have no ids."""
+    """(doc_id, ids array<int>) for each row; null and empty texts have no ids. Repeated rows come
+    out as often as they came in; an empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

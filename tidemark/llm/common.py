@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import intermediates, kept, materialise, shared_dir
 
-__all__ = ["ascii_lower", "crc_mod", "intermediates", "kept", "materialise", "read", "shared_dir", "small_batches", "text_of", "texts_of"]
+__all__ = ["ascii_lower", "crc_mod", "intermediates", "kept", "materialise", "read", "shared_dir", "small_batches", "text_of", "texts_of", "unused"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 2 << 20
 
@@ -21,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -142,7 +142,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def class_ranks(docs: DataFrame, text_col: str = "text") -> list[int]:
     """The rank of each entropy class by the number of windows in all texts, the rarest
-    first (ties: the lower class). Each task sums up its own counts: at most 1001 rows."""
+    first (ties: the lower class). Each task sums up its own counts: at most 1001 rows. Null and
+    empty texts and an empty table have no windows; repeated rows count each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, text_of
+from .common import ascii_lower, materialise, text_of, unused
 
 
 def _hash128(text: Column) -> Column:
@@ -61,16 +61,17 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Of rows that repeat id and text one
     stays (any: they differ at most in other columns); so does one of a group without ids."""
+    sha, kept_id, kept_sha, rows = (unused(docs, x) for x in ("sha", "kept_id", "kept_sha", "kept_rows"))
     kept = materialise(
         exact_duplicates(docs, keep, id_col, text_col)
         .filter("kept")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-        .agg(F.count("*").alias("__rows")),
+        .groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+        .agg(F.count("*").alias(rows)),
         "exact-kept",
     )
-    keyed = docs.withColumn("__sha", F.sha2(ascii_lower(text_of(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept"))
+    keyed = docs.withColumn(sha, F.sha2(ascii_lower(text_of(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
     found = keyed.join(kept, same, "left_semi")
-    if not kept.filter("__rows > 1").isEmpty():
-        found = found.dropDuplicates([id_col, "__sha"])
-    return found.drop("__sha")
+    if not kept.filter(F.col(rows) > 1).isEmpty():
+        found = found.dropDuplicates([id_col, sha])
+    return found.drop(sha)

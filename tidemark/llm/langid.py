@@ -381,7 +381,8 @@ def drop_unknown(docs: DataFrame, model: LanguageModel, text_col: str = "text")
 
 def identify(docs: DataFrame, model_file: str, modulus: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows whose crc32 of the id mod
-    ``modulus`` is not ``held``, predicted for all."""
+    ``modulus`` is not ``held``, predicted for all (see ``predict`` for nulls, repeats and empty
+    tables; a very long word takes some 10 microseconds a byte)."""
     out = crc_mod("doc_id", modulus) == held
     model = fit(docs.filter(~out), model_file)
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
-from .common import intermediates, kept, materialise, small_batches, texts_of
+from .common import intermediates, kept, materialise, small_batches, texts_of, unused
 
 SEED = 42
 CHUNK = 1 << 15
@@ -128,10 +128,11 @@ def named(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component those with its smallest
-    id (a row without an id stays only if its component has none)."""
+    id (a row without an id stays only if its component has none). Nulls, repeats, long texts and
+    empty tables as in ``near_duplicates``."""
     found = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id := unused(docs, "kept_id"))).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -362,7 +363,9 @@ def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def drop_like_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay of each group of like texts: those with
-    its smallest id (a row without an id stays only if its group has none)."""
+    its smallest id (a row without an id stays only if its group has none; rows that repeat that
+    id all stay). A null or empty text is a set of one shingle, the empty one; a very long text is
+    read whole. An empty table gives an empty one."""
     found = like_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id := unused(docs, "kept_id"))).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
