@@ -28,12 +28,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts alike to 0.8 or more in their five-word shingles the document
-    with the smallest id stays."""
+    with the smallest id stays. A null text counts as empty; an empty table stays empty."""
     return simhash.drop_like_texts(docs, words=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, in sequences of at most 1024 tokens."""
+    """The pieces of all documents left, in sequences of at most 1024 tokens; an empty text is one
+    piece of the end alone, a very long one is cut into pieces, an empty table gives none."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1024, 2)
 
 
