@@ -86,6 +86,18 @@ class EliasFano:
             out[at : at + QUERIES] = block * BLOCK + byte * 8 + _PLACE[data[here, byte], left]
         return out
 
+    def _ones_from(self, bit: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from each bit on, before which there are so many zeros."""
+        words = np.ndarray((len(self.high) - 7,), "<u8", self.high.data, strides=(1,))
+        byte = np.minimum(bit >> 3, len(self.high) - 8)
+        shift = bit - 8 * byte
+        word = words[byte] >> shift.astype(np.uint64)
+        run = np.bitwise_count(word ^ (word + np.uint64(1))).astype(np.int64) - 1
+        long = np.flatnonzero(run >= 63 - shift)  # the word may end before the ones do
+        if len(long):
+            run[long] = self._select(zeros[long], True) - bit[long]
+        return run
+
     def access(self, at: np.ndarray) -> np.ndarray:
         return (self._select(at, False) - at << self.low_bits) + self._lows(at).astype(np.int64)
 
@@ -97,9 +109,9 @@ class EliasFano:
         upper = values >> self.low_bits
         ok = (values >= 0) & (upper < int(len(self.high) * 8 - self.size))
         upper = np.where(ok, upper, 0)
-        a = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), True) - upper + 1, 0)
-        b = self._select(upper, True) - upper
-        b = np.where(ok, np.maximum(a, b), a)
+        first = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), True) + 1, 0)  # bit after the zero before
+        a = first - upper
+        b = np.where(ok, a + self._ones_from(first, upper), a)
         end, target = b.copy(), (values & ((1 << self.low_bits) - 1)).astype(np.uint64)
         open_ = np.flatnonzero(a < b)
         while len(open_):
