@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, exact_dedup, html_extract, langid, license_scan, lm_score, packing, simhash, token_output
+from . import bpe, digest, exact_dedup, fill_middle, html_extract, langid, license_scan, lm_score, packing, resample, simhash, token_output, url_filter
 from .common import read
 
 
@@ -60,11 +60,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_lm_score, op4_language_id, op5_digest, op6_bpe, op7_packing, op8_token_output, op9_exact_dedup, op10_html_text)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.round_trips(read(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_lm_score, op4_language_id, op5_digest, op6_bpe, op7_packing, op8_token_output, op9_exact_dedup, op10_html_text, op11_fill_middle, op12_resample, op13_url_filter)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op11_fill_middle": fill_middle.oracle_sql(),
+    "op12_resample": resample.oracle_sql(),
     "op2_license_scan": license_scan.oracle_sql(),
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
