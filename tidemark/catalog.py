@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .dimensions import CATEGORIES, CATEGORY_RULES, CITIES, NOISE_WORDS
 from .functions import geo, localtime, text
 from .operators import block, mapgrid, match, merge, report
-from .operators.components import connected_components
 from .operators.resolve import resolve
 from .plans import driver_tables as tables
 from .plans import feed as feeds
@@ -383,8 +382,9 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = block.candidate_pairs(rows, rows, ["id", "url", "venue_id", "point"]).filter("l_id < r_id")
     minutes = F.abs(block.seconds_between("l_starts_at", "r_starts_at")) / 60
     place = match.place_score(F.col("l_venue_id"), F.col("r_venue_id"), F.col("l_point"), F.col("r_point"))
-    found = match.verdict(F.col("similarity"), match.time_score(minutes), place, match.equal_urls(F.col("l_url"), F.col("r_url")))
-    return pairs.withColumn("minutes", minutes).withColumn("m", found)
+    found = match.verdict(F.col("similarity"), F.col("time"), F.col("geo"), match.equal_urls(F.col("l_url"), F.col("r_url")))
+    # in steps, so that the distance of a pair is computed once
+    return pairs.withColumns({"minutes": minutes, "geo": place}).withColumn("time", match.time_score(F.col("minutes"))).withColumn("m", found)
 
 
 @query(f"WITH {_LISTINGS} SELECT left_id, right_id, round(similarity, 6) AS title, CAST(round(minutes * 6e7) AS BIGINT) AS micros, round(confidence, 6) AS confidence, verdict FROM v")
@@ -415,9 +415,7 @@ def shortlist_top25(spark, sf_dir):
     SELECT node, root FROM r""")
 def dedup_components(spark, sf_dir):
     """Components of the candidate pairs by their smallest listing."""
-    rows = tables.listings(spark, sf_dir)
-    pairs = block.candidate_pairs(rows, rows, ["seq"]).filter("l_seq > r_seq")
-    return connected_components(pairs.select("l_seq", "r_seq"), "l_seq", "r_seq")
+    return block.linked_groups(tables.listings(spark, sf_dir))
 
 
 @query()
