@@ -19,7 +19,8 @@ def record_id(source: Column, external: Column) -> Column:
 
 def upsert_records(records: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """Records by (source_slug, external_id): the batch's last row replaces url, raw and hash,
-    renews last_seen_at and revives. ``changed`` tells a known record with another hash."""
+    renews last_seen_at and revives. ``changed`` tells a known record with another hash, ``was``
+    whether a record was live or gone before, null if it is new."""
     key = ["source_slug", "external_id"]
     new = _last(batch, key).select(*key, F.col("url").alias("n_url"), F.col("raw").alias("n_raw"), F.lit(True).alias("seen"))
     both = records.join(new, key, "full_outer")
@@ -36,6 +37,7 @@ def upsert_records(records: DataFrame, batch: DataFrame, now: Column) -> DataFra
         pick(now, F.col("last_seen_at")).alias("last_seen_at"),
         F.when(~seen, F.col("gone_at")).alias("gone_at"),
         (seen & known & (F.col("content_hash") != n_hash)).alias("changed"),
+        F.when(known, F.when(F.col("gone_at").isNull(), "live").otherwise("gone")).alias("was"),
     )
 
 
@@ -80,14 +82,42 @@ def source_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("event_id").agg(F.count("*").cast("int").alias("source_count"))
 
 
-def flag_reviews(reviews: DataFrame, batch: DataFrame) -> DataFrame:
-    """Reviews by unordered pair: what is known stays, repeats are left out."""
+def new_reviews(reviews: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch's first review of each unordered pair that is not known."""
     pair = [F.least("event_id", "candidate_event_id").alias("lo"), F.greatest("event_id", "candidate_event_id").alias("hi")]
-    old = reviews.select("*", *pair)
-    new = batch.select(*reviews.columns, "seq", *pair)
     first = Window.partitionBy("lo", "hi").orderBy("seq")
-    new = new.withColumn("__n", F.row_number().over(first)).filter("__n = 1").join(old.select("lo", "hi"), ["lo", "hi"], "left_anti")
-    return reviews.unionByName(new.select(*reviews.columns))
+    new = batch.select(*reviews.columns, "seq", *pair).withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    return new.join(reviews.select(*pair), ["lo", "hi"], "left_anti").select(*reviews.columns)
+
+
+def flag_reviews(reviews: DataFrame, batch: DataFrame) -> DataFrame:
+    """Reviews by unordered pair: what is known stays, repeats are left out."""
+    return reviews.unionByName(new_reviews(reviews, batch))
+
+
+def link_changes(records: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(event_id, day, links, live): by how much events gain or lose links, and links to live
+    records, when ``new`` links (source_record_id, event_id, day) take the place of ``old`` ones.
+    records: (id, was live | gone | null), which are live from now on."""
+    was_live = F.coalesce(F.col("was") == "live", F.lit(False))
+    both = new.join(old.select("source_record_id", F.col("event_id").alias("o_event"), F.col("day").alias("o_day")), "source_record_id", "left")
+    both = both.join(records.select(F.col("id").alias("source_record_id"), was_live.alias("was_live")), "source_record_id")
+    stays = F.coalesce(F.col("o_event") == F.col("event_id"), F.lit(False))
+    gain = F.struct("event_id", "day", (~stays).cast("int").alias("links"), (~(stays & F.col("was_live"))).cast("int").alias("live"))
+    loss = F.struct(F.col("o_event").alias("event_id"), F.col("o_day").alias("day"), F.lit(-1).alias("links"), (-F.col("was_live").cast("int")).alias("live"))
+    moved = F.when(F.col("o_event").isNotNull() & ~stays, F.array(gain, loss)).otherwise(F.array(gain))
+    return summed(both.select(F.explode(moved).alias("c")).select("c.*"))
+
+
+def summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("event_id", "day").agg(F.sum("links").cast("int").alias("links"), F.sum("live").cast("int").alias("live"))
+
+
+def counted(events: DataFrame, changes: DataFrame) -> DataFrame:
+    """Events with their numbers of links brought up to date; an event without any counts one source."""
+    d = changes.select(F.col("event_id").alias("id"), F.col("links").alias("d_links"), F.col("live").alias("d_live"))
+    out = events.join(d, "id", "left").withColumns({"links": F.col("links") + F.coalesce("d_links", F.lit(0)), "live": F.col("live") + F.coalesce("d_live", F.lit(0))})
+    return out.withColumn("source_count", F.greatest("links", F.lit(1))).drop("d_links", "d_live")
 
 
 def tombstone(records: DataFrame, source: str, seen: DataFrame, now: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import host_slug
@@ -23,17 +23,18 @@ def coverage(listings: DataFrame) -> DataFrame:
     )
 
 
+def counters() -> list[Column]:
+    """What became of listings (outcome, changed, review_id), as aggregates."""
+    merged = F.col("outcome") == "merged"
+    return [
+        F.count_if(F.col("outcome") == "created").alias("created"), F.count_if(merged & F.col("changed")).alias("updated"),
+        F.count_if(merged & ~F.col("changed")).alias("merged"), F.count_if(F.col("review_id").isNotNull()).alias("flagged"),
+    ]
+
+
 def run_stats(outcomes: DataFrame) -> DataFrame:
     """outcome, changed, review_id and skipped of each fetched listing -> the run's counters."""
-    merged = F.col("outcome") == "merged"
-    return outcomes.agg(
-        F.count("*").alias("fetched"),
-        F.count_if(F.col("outcome") == "created").alias("created"),
-        F.count_if(merged & F.col("changed")).alias("updated"),
-        F.count_if(merged & ~F.col("changed")).alias("merged"),
-        F.count_if(F.col("review_id").isNotNull()).alias("flagged"),
-        F.count_if(F.col("skipped")).alias("skipped"),
-    )
+    return outcomes.agg(F.count("*").alias("fetched"), *counters(), F.count_if(F.col("skipped")).alias("skipped"))
 
 
 def probe(nodes: DataFrame, listings: DataFrame) -> dict[str, object]:

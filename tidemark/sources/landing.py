@@ -49,6 +49,12 @@ def within_horizon(listings: DataFrame, now: datetime, days: int = HORIZON_DAYS)
     return listings.filter(F.col("starts_at") <= F.lit(horizon_end(now, days)))
 
 
+def with_horizon(listings: DataFrame, slug: str, now: datetime, days: int = HORIZON_DAYS) -> DataFrame:
+    """The APIs ask with the horizon as a bound, so it holds for their listings alone: what a page
+    with markup shows is all there, however far ahead."""
+    return within_horizon(listings, now, days) if slug in ADAPTERS else listings
+
+
 def dry_run(listings: DataFrame, limit: int | None = None) -> list[str]:
     """The first listings as JSON, nothing written."""
     return listings.orderBy("seq").limit(limit or 1).toJSON().collect()

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import Store, ingest
+from ..plans.ingest import ingest
+from ..plans.store import Store
 
 
 def ingest_stream(
