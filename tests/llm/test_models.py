@@ -34,7 +34,7 @@ def test_phrases_are_those_of_brute_force(odd_docs, some_docs, no_docs):
 
 
 def test_templates_with_words_put_in_or_left_out(spark):
-    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit").split()
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit").replace("*", "").split()
     noisy = " ".join([*mit[:8], "extra", *mit[8:15], *mit[16:]]).upper()
     rows = [(1, "x " * 50 + noisy), (2, " ".join(mit[:5])), (3, "Licensed under CC BY-NC 4.0."), (4, "mit license mit license apache license")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -43,6 +43,63 @@ def test_templates_with_words_put_in_or_left_out(spark):
     assert got[4].n_base == 3 and (got[4].first_word, got[4].last_word) == (0, 4) and got[4].score == 1
 
 
+def fsf(what, name, version):
+    return (
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; "
+        f"either version {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {name} for more details."
+    )
+
+
+def bsd(third):
+    return (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+        + third + 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    )
+
+
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+#: Notices as they stand in files, and the labels that each should get, written by hand.
+NOTICES = [
+    (fsf("program", "General Public License", 2), "gpl,gpl-2"), (fsf("program", "General Public License", 3), "gpl,gpl-3"),
+    (fsf("library", "Lesser General Public License", "2.1"), "lgpl"), (fsf("program", "Lesser General Public License", 3), "lgpl"), (fsf("program", "Affero General Public License", 3), "agpl"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"), ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2"),
+    (CC.format(""), "cc-by"), (CC.format("-ShareAlike"), "cc-by-sa"), (CC.format("-NonCommercial"), "cc-by-nc"), (CC.format("-NoDerivatives"), "cc-by-nd"),
+    (CC.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (CC.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"),
+    ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+    ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work.", "cc0"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n"
+     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY '
+     "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES", "isc"),
+    (bsd(""), "bsd-2-clause"),
+    (bsd("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"), "bsd-3-clause"),
+    ('Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+     "execute, and transmit the Software", "boost"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software "
+     "must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "apache"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "epl"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("Released under the MIT License.", "mit"),
+    ("The terms of the licence are as published. Software and permission notices may be used.", ""),
+]
+
+
+def test_notices_get_their_own_labels(spark):
+    pairs = [(NOTICES[i][0] + "\n" + "words between the two that belong to none " * 3 + NOTICES[j][0], NOTICES[i][1], NOTICES[j][1]) for i, j in ((0, 3), (8, 7), (20, 21), (4, 1))]
+    both = [(text, ",".join(sorted({*a.split(","), *b.split(",")}))) for text, a, b in pairs]
+    rows = [*NOTICES, *both, (" ".join(n for n, _ in NOTICES[:8]) + " pad" * 200_000, "agpl,cc-by,gpl,gpl-2,gpl-3,lgpl")]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).select("doc_id", "labels").collect()}
+    assert {rows[i][0][:200]: labels for i, labels in got.items()} == {text[:200]: labels for text, labels in rows}
+    assert [got[i] for i in range(len(rows))] == [labels for _, labels in rows]
+
+
 def test_scan_runs_no_python(some_docs):
     plan = license_scan.scan(some_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
