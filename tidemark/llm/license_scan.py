@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, materialise, text_of
 
 #: All that is not in a word, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -133,7 +133,6 @@ def scan(
         pairs.join(F.broadcast(places), "h")
         .filter((F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")))
         .select(*key, *of, "at", "must", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .distinct()
     )
     votes = hits.groupBy(*key, *of, "diagonal").agg(
         F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("must"), F.col("at"))).alias("must"),
@@ -154,6 +153,7 @@ def scan(
             )
         )
     )
+    spans = materialise(spans, "license-spans")
     # at most a few spans of each template lie over a stretch, so they are held against each other there
     other = spans.filter("NOT base").withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor(F.col("high") / STRETCH))))
     x, y = ([F.col(c).alias(f"{s}_{c}") for c in (*key, "stretch", "template", "span", "votes", "low", "high")] for s in "xy")
