@@ -29,6 +29,23 @@ def test_deaccent_is_canonical_decomposition_without_marks(spark):
     assert values(spark, text.deaccent(F.col("x")), rows) == plain
 
 
+def test_hangul_falls_apart_like_all_else(spark):
+    """All 11,172 syllables, alone and among others."""
+    rows = [chr(c) for c in range(0xAC00, 0xD7A4)] + ["한국 Café ぱ", "각x간", "日本 뷁", "🎉힣"]
+    plain = ["".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ") for x in rows]
+    assert values(spark, text.deaccent(F.col("x")), rows) == plain
+
+
+def test_labels_of_slugs(spark):
+    from tidemark.dimensions import CATEGORY_LABELS, CITY_LABELS
+
+    assert values(spark, text.label(F.col("x"), CITY_LABELS), ["taupo", "hokitika", None]) == ["Taupō", "hokitika", None]
+    assert values(spark, text.label(F.col("x"), CATEGORY_LABELS, "zh"), ["food"]) == ["美食"]
+    df = spark.createDataFrame([("Old walk", "老街"), ("Old walk", None)], "a string, b string")
+    assert [r[0] for r in df.select(text.localized(F.col("a"), F.col("b"), "zh")).collect()] == ["老街", "Old walk"]
+    assert values(spark, localtime.iso_millis(F.col("x").cast("timestamp")), ["2026-03-14 06:30:00.5"]) == ["2026-03-14T06:30:00.500Z"]
+
+
 def test_similarities_of_known_pairs(spark):
     rows = [("Lantern parade", "Lantern parade (free entry)"), ("Old harbour walk", "The harbour walk"), ("Lantern parade", "Pottery class"), ("!!!", "???"), ("", "x")]
     df = spark.createDataFrame(rows, "a string, b string")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dimensions import CATEGORIES, CATEGORY_RULES, CITIES, NOISE_WORDS
+from .dimensions import CATEGORIES, CATEGORY_LABELS, CATEGORY_RULES, CITIES, CITY_LABELS, NOISE_WORDS
 from .functions import geo, localtime, text
 from .operators import block, mapgrid, match, merge, report
 from .operators.resolve import resolve
+from .operators.title_index import TitleIndex
 from .plans import driver_tables as tables
 from .plans import feed as feeds
+from .plans import zones
 from .plans.driver_tables import NOW, read
+from .plans.search_index import SearchIndex
+from .sources import markup
+from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,6 +124,69 @@ def feed_keyset_page2(spark, sf_dir):
     return _feed(spark, sf_dir, date="all", cursor=first.next_cursor)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_feed(spark: SparkSession, sf_dir: str, events: DataFrame, **options) -> DataFrame:
+    return _cards(feeds.feed(events, tables.venues(spark, sf_dir), feeds.FeedQuery(date="all", **options), NOW))
+
+
+@query(_FEED + _ALL + " AND title || '  ' || summary || ' ' ILIKE '%sign_p%7%'" + _END)
+def feed_search_indexed(spark, sf_dir):
+    """The search by a stored index of grams: only candidates' texts are looked at."""
+    events = tables.feed_events(spark, sf_dir)
+    index = SearchIndex(spark, _folder(spark, "search-index"))
+    index.build(events)
+    return _stored_feed(spark, sf_dir, index.search(events, "SIGN_p%7"), q="SIGN_p%7")
+
+
+@query(_FEED + _ALL + " AND lng BETWEEN 174.5 AND 175.0 AND lat BETWEEN -37.0 AND -36.5" + _END)
+def feed_bbox_zoned(spark, sf_dir):
+    """The box over events that are stored by zones: files outside of it are not opened."""
+    path = _folder(spark, "zones")
+    zones.write(tables.feed_events(spark, sf_dir), path)
+    return _stored_feed(spark, sf_dir, zones.read(spark, path, (174.5, -37.0, 175.0, -36.5)), bbox="174.5,-37.0,175.0,-36.5")
+
+
+@query(_FEED + _ALL + " AND city_slug = 'auckland' AND " + _hav("lat", "lng", "-36.8509", "174.7645") + " <= 45000" + _END)
+def feed_radius_zoned(spark, sf_dir):
+    path = _folder(spark, "zones")
+    zones.write(tables.feed_events(spark, sf_dir), path)
+    city = CITIES[0]
+    return _stored_feed(spark, sf_dir, zones.read(spark, path, zones.box_around(city[1:3], city[3])), city=city[0])
+
+
+_DEMO = "SELECT date_trunc('hour', ts) AS starts_at FROM events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-15 02:00:00' AND user_id % 3 = 0 AND event_id % 5 = 0 ORDER BY 1 LIMIT 200"
+
+
+@query(_DEMO)
+def feed_demo(spark, sf_dir):
+    """The feed over rows in memory; its order is by start alone, so only starts tell."""
+    events = tables.feed_events(spark, sf_dir).withColumns({"lat": F.col("point.lat"), "lng": F.col("point.lng")})
+    return feeds.demo_feed(events, feeds.FeedQuery(date="all", city="wellington", free=True, limit=200), NOW).select(_wall("starts_at"))
+
+
+def _sql_label(column: str, labels: dict, which: int) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v[which]}'" for k, v in labels.items()) + " END"
+
+
+_LABELS = " UNION ALL ".join(
+    f"""SELECT id, '{lang}' AS lang, title, {_sql_label('category', CATEGORY_LABELS, i)} AS category, {_sql_label('city_slug', CITY_LABELS, i)} AS city,
+    strftime(starts_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS starts_at FROM page"""
+    for i, lang in enumerate(("en", "zh"))
+)
+
+
+@query(f"WITH page AS ({_FEED + _WEEK + _END}) {_LABELS}")
+def feed_labels(spark, sf_dir):
+    """A page in two languages."""
+    page = feeds.feed(tables.feed_events(spark, sf_dir), tables.venues(spark, sf_dir), feeds.FeedQuery(), NOW)
+    now = F.lit("2024-01-15 02:00:00").cast("timestamp_ntz")
+    both = [feeds.labelled(page, now, lang).withColumn("lang", F.lit(lang)) for lang in ("en", "zh")]
+    return both[0].unionByName(both[1]).drop("when")
+
+
 @query(_FEED + "id = '0000000042'")
 def event_by_id(spark, sf_dir):
     return _cards(feeds.event_by_id(tables.feed_events(spark, sf_dir), tables.venues(spark, sf_dir), "0000000042"))
@@ -400,6 +469,16 @@ def match_verdict_counts(spark, sf_dir):
     return _matched(spark, sf_dir).groupBy(F.col("m.verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_LISTINGS} SELECT lt AS l_title, rt AS r_title, round(similarity, 6) AS similarity, same_print FROM tp")
+def title_index_probe(spark, sf_dir):
+    """All titles listed in a stored index, half of them later, and all of them looked up in it."""
+    titles = tables.listings(spark, sf_dir).select("title").distinct()
+    index = TitleIndex(spark, _folder(spark, "title-index"))
+    index.build(titles.filter("title < 'a'"))
+    index.add(titles)
+    return index.probe(titles).select("l_title", "r_title", F.round("similarity", 6).alias("similarity"), "same_print")
+
+
 @query(f"""WITH {_LISTINGS} SELECT left_id, right_id, CAST(place AS INTEGER) AS place FROM (SELECT left_id, right_id,
     row_number() OVER (PARTITION BY left_id ORDER BY same_print DESC, minutes, right_id) AS place FROM v) WHERE place <= 25""")
 def shortlist_top25(spark, sf_dir):
@@ -471,6 +550,26 @@ def venue_upsert(spark, sf_dir):
 _LINKS = "SELECT user_id AS record, arg_max(event_id % 20, event_id) AS event_id FROM events GROUP BY 1"
 
 
+@query(f"""WITH o AS (SELECT user_id AS r, arg_max(event_id % 20, event_id) AS e, arg_max(event_id % 3 != 0, event_id) AS live FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    n AS (SELECT user_id AS r, arg_max(event_id % 20, event_id) AS e FROM events WHERE event_id % 2 = 1 GROUP BY 1),
+    a AS (SELECT r, e, live FROM o UNION ALL SELECT n.r, n.e, true FROM n),
+    later AS (SELECT coalesce(n.e, o.e) AS e, n.r IS NOT NULL OR o.live AS live FROM o FULL JOIN n USING (r)),
+    before AS (SELECT e, count(*) AS n, count(*) FILTER (live) AS l FROM o GROUP BY 1), after AS (SELECT e, count(*) AS n, count(*) FILTER (live) AS l FROM later GROUP BY 1)
+    SELECT e AS event_id, CAST(coalesce(after.n, 0) - coalesce(before.n, 0) AS INTEGER) AS links, CAST(coalesce(after.l, 0) - coalesce(before.l, 0) AS INTEGER) AS live
+    FROM before FULL JOIN after USING (e)""")
+def link_changes(spark, sf_dir):
+    """By how much a batch changes the numbers of links, from the links that move alone; the SQL counts
+    all links before and after."""
+    e, k = F.col("event_id"), F.col("user_id")
+    rows = read(spark, sf_dir, "events").select(k.alias("source_record_id"), (e % 20).alias("event_id"), F.lit("day").alias("day"), (e % 3 != 0).alias("live"), e.alias("seq"))
+    last = lambda df: df.groupBy("source_record_id").agg(F.max_by(F.struct("event_id", "day", "live"), "seq").alias("x")).select("source_record_id", "x.*")
+    old, new = last(rows.filter("seq % 2 = 0")), last(rows.filter("seq % 2 = 1")).drop("live")
+    records = new.select(F.col("source_record_id").alias("id")).join(old.select(F.col("source_record_id").alias("id"), F.when(F.col("live"), "live").otherwise("gone").alias("was")), "id", "left")
+    found = merge.link_changes(records, old.drop("live"), new).drop("day")
+    every = rows.select("event_id").distinct().join(found, "event_id", "left")
+    return every.fillna(0, ["links", "live"])
+
+
 @query(f"SELECT event_id, CAST(count(*) AS INTEGER) AS source_count FROM ({_LINKS}) GROUP BY 1")
 def link_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select((F.col("event_id") % 20).alias("event_id"), F.col("user_id").alias("source_record_id"), F.col("event_id").alias("seq"))
@@ -564,3 +663,80 @@ def normalize_listing_a(spark, sf_dir):
     )
     rows = read(spark, sf_dir, "events").select(F.to_json(payload).alias("raw"), e.alias("seq"))
     return normalize_a(rows).select("external_id", "title", _wall("starts_at"), "is_free", "price_from", "url")
+
+
+_B_LOCAL = "event_id % 4 = 1"
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS external_id, event_type || ' ' || user_id AS title,
+    CASE WHEN {_B_LOCAL} THEN {_utc("date_trunc('second', ts)")} ELSE date_trunc('second', ts) END AS starts_at, CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END AS INTEGER) AS popularity,
+    CASE WHEN value > 0 THEN value END AS price_from, 'Hall ' || user_id % 9 AS venue_name, CASE WHEN event_id % 3 = 0 THEN user_id || ' Quay St, Auckland' ELSE 'Auckland' END AS address,
+    'Music ' || event_type AS category_hint, 'https://listing-b.example/event/' || event_id AS url FROM events WHERE event_id % 11 != 0""")
+def normalize_listing_b(spark, sf_dir):
+    """Payloads of the second API made from events, then read back: cancelled ones are left out."""
+    from .sources.listing_api import normalize_b
+
+    e, k = F.col("event_id"), F.col("user_id")
+    local = e % 4 == 1
+    start = F.struct(
+        F.when(~local, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("dateTime"), F.when(local, F.date_format("ts", "yyyy-MM-dd")).alias("localDate"),
+        F.when(local, F.date_format("ts", "HH:mm:ss")).alias("localTime"),
+    )
+    status = F.struct(F.when(e % 11 == 0, "cancelled").when(e % 7 == 0, "Postponed").otherwise("onsale").alias("code"))
+    venue = F.struct(
+        F.concat(F.lit("Hall "), k % 9).alias("name"), F.struct(F.when(e % 3 == 0, F.concat(k, F.lit(" Quay St"))).alias("line1")).alias("address"),
+        F.struct(F.lit("Auckland").alias("name")).alias("city"),
+    )
+    kind = F.struct(F.struct(F.lit("Music").alias("name")).alias("segment"), F.struct(F.col("event_type").alias("name")).alias("genre"))
+    payload = F.struct(
+        e.cast("string").alias("id"), F.concat_ws(" ", "event_type", "user_id").alias("name"), F.struct(start.alias("start"), status.alias("status")).alias("dates"),
+        F.array(kind).alias("classifications"), F.array(F.struct(F.lit(0.0).alias("min")), F.struct(F.col("value").alias("min"))).alias("priceRanges"),
+        F.struct(F.array(venue).alias("venues")).alias("_embedded"),
+    )
+    rows = read(spark, sf_dir, "events").select(F.to_json(payload).alias("raw"), e.alias("seq"))
+    return normalize_b(rows).select("external_id", "title", _wall("starts_at"), "popularity", "price_from", "venue_name", "address", "category_hint", "url")
+
+
+_NODE_TYPE = "CASE event_type WHEN 'view' THEN 'MusicEvent' WHEN 'click' THEN 'Event' ELSE 'Thing' END"
+
+
+def _markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each user with its events in the markup, some of them under @graph, some pages
+    short, some without markup."""
+    e, k = F.col("event_id"), F.col("user_id")
+    kind = F.when(F.col("event_type") == "view", "MusicEvent").when(F.col("event_type") == "click", "Event").otherwise("Thing")
+    where = F.struct(F.struct((-36.85 + (e % 7) * 0.01).alias("latitude"), F.lit(174.76).alias("longitude")).alias("geo"))
+    node = F.struct(
+        kind.alias("@type"), F.concat(F.lit("https://n.example/"), e).alias("url"), F.concat_ws(" ", "event_type", "user_id").alias("name"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startDate"), F.when(k % 4 == 1, where).alias("location"), F.struct(F.col("value").cast("string").alias("price")).alias("offers"),
+    )
+    pages = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(node).alias("nodes"))
+    body = F.when(k % 2 == 0, F.to_json("nodes")).otherwise(F.to_json(F.struct(F.col("nodes").alias("@graph"))))
+    script = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    html = F.concat(F.lit("<html>"), F.when(k % 5 != 0, script).otherwise(""), F.when(k % 10 != 0, F.lit("<p>" + "text " * 120 + "</p>")).otherwise(""), F.lit("</html>"))
+    return pages.select(F.concat(F.lit("https://p.example/"), k).alias("url"), html.alias("html"), F.when(k % 13 == 0, 503).otherwise(200).alias("status"))
+
+
+@query(f"""SELECT 'https://p.example/' || user_id AS page_url, {_NODE_TYPE} AS type, event_type IN ('view', 'click') AS is_event, 'https://n.example/' || event_id AS node_url FROM events WHERE user_id % 5 != 0
+    UNION ALL SELECT DISTINCT 'https://p.example/' || user_id, NULL, false, NULL FROM events WHERE user_id % 5 != 0 AND user_id % 2 = 1""")
+def markup_nodes(spark, sf_dir):
+    """All objects of the pages' markup, those with @graph among them."""
+    found = markup.nodes(_markup_pages(spark, sf_dir))
+    return found.select("page_url", "type", "is_event", F.try_variant_get("node", "$.url", "string").alias("node_url"))
+
+
+@query("""SELECT 'https://n.example/' || event_id AS external_id, event_type || ' ' || user_id AS title, date_trunc('second', ts) AS starts_at, value = 0 AS is_free,
+    CASE WHEN value > 0 THEN value END AS price_from, CASE WHEN user_id % 4 = 1 THEN 'auckland' ELSE 'taupo' END AS city_slug FROM events WHERE user_id % 5 != 0 AND event_type IN ('view', 'click')""")
+def markup_listings(spark, sf_dir):
+    found = markup.normalize_nodes(markup.nodes(_markup_pages(spark, sf_dir)), "pages", "taupo")
+    return found.select("external_id", "title", _wall("starts_at"), "is_free", "price_from", "city_slug")
+
+
+@query("""SELECT 'https://p.example/' || user_id AS page_url, CASE WHEN user_id % 13 = 0 THEN 'unreadable' WHEN user_id % 10 = 0 THEN 'empty' WHEN user_id % 5 = 0 THEN 'no markup'
+    WHEN events = 0 THEN 'no event nodes' WHEN user_id % 4 != 1 THEN 'no coordinates' ELSE 'ok' END AS gate, nodes, events, usable, with_point FROM (
+      SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) + user_id % 2 END AS nodes, CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) FILTER (event_type IN ('view', 'click')) END AS events,
+        CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) FILTER (event_type IN ('view', 'click')) END AS usable,
+        CASE WHEN user_id % 5 = 0 OR user_id % 4 != 1 THEN 0 ELSE count(*) FILTER (event_type IN ('view', 'click')) END AS with_point FROM events GROUP BY user_id)""")
+def probe_report(spark, sf_dir):
+    """What a probe concludes of each page."""
+    return report.probe_pages(_markup_pages(spark, sf_dir)).select("page_url", "gate", "nodes", "events", "usable", "with_point")

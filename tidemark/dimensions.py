@@ -35,4 +35,14 @@ NOISE_WORDS = (
 )
 
 DATE_BUCKETS = ("today", "tomorrow", "weekend", "week", "all")
+# Labels in English and Chinese.
+CITY_LABELS = {
+    "auckland": ("Auckland", "奥克兰"), "wellington": ("Wellington", "惠灵顿"), "christchurch": ("Christchurch", "基督城"),
+    "queenstown": ("Queenstown", "皇后镇"), "taupo": ("Taupō", "陶波"),
+}
+CATEGORY_LABELS = {
+    "music": ("Music", "音乐"), "market": ("Markets", "市集"), "outdoor": ("Outdoors", "户外"), "sports": ("Sports", "体育"), "family": ("Family", "亲子"),
+    "water": ("On the water", "水上"), "arts": ("Arts", "艺文"), "food": ("Food & drink", "美食"), "other": ("Other", "其他"),
+}
+LANGUAGES = ("en", "zh")
 CITY_SLUGS = tuple(c[0] for c in CITIES)

@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dimensions import CATEGORY_RULES, NOISE_WORDS
+from ..dimensions import CATEGORY_RULES, LANGUAGES, NOISE_WORDS
 
 #: White space as browsers define it; Java's \s knows ASCII alone.
 WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
@@ -48,10 +48,31 @@ def _voiced() -> dict[str, tuple[str, str]]:
     return {mark: ("".join(p[0] for p in pairs), "".join(p[1] for p in pairs)) for mark, pairs in found.items()}
 
 
+def _jamo(text: Column) -> Column:
+    """Hangul syllables taken apart by arithmetic: of 11,172 in a row each 588 begin with the same
+    consonant, each 28 of these have the same vowel, and the rest tells the last consonant."""
+
+    def parts(char: Column) -> Column:
+        s = F.ascii(char) - 0xAC00
+        last = F.when(s % 28 > 0, _code(0x11A7 + s % 28)).otherwise("")
+        whole = F.concat(_code(0x1100 + F.floor(s / 588)), _code(0x1161 + F.floor(s % 588 / 28)), last)
+        return F.when((s >= 0) & (s < 11172), whole).otherwise(char)
+
+    return F.array_join(F.transform(F.split(text, ""), parts), "")
+
+
+def _code(point: Column) -> Column:
+    """The character of a code point from U+0800 to U+FFFF, by its three bytes."""
+    point = point.cast("int")
+    at = lambda n, low: F.lpad(F.hex((F.shiftright(point, n).bitwiseAND(F.lit(0x3F)) + low).cast("long")), 2, "0")
+    first = F.hex((F.shiftright(point, 12) + 0xE0).cast("long"))
+    return F.unhex(F.concat(first, at(6, 0x80), at(0, 0x80))).cast("string")
+
+
 def deaccent(text: Column) -> Column:
     """Canonical decomposition without the combining marks U+0300-036F. ``translate`` covers
-    what stays one character, plain ASCII skips it; voiced kana get their own mark behind.
-    Hangul syllables stay whole."""
+    what stays one character, plain ASCII skips it; voiced kana get their own mark behind,
+    Hangul syllables become their letters."""
     source, target = _accents()
     plain = F.translate(text, source + _MARKS, target)
     kana = text
@@ -59,7 +80,8 @@ def deaccent(text: Column) -> Column:
         kana = F.regexp_replace(kana, f"([{voiced}])", f"$1{mark}")
     voiced, base = ("".join(x) for x in zip(*_voiced().values()))
     kana = F.translate(kana, source + voiced + _MARKS, target + base)
-    return F.when(F.length(text) == F.octet_length(text), text).when(text.rlike("[\u3040-\u30ff]"), kana).otherwise(plain)
+    cjk = F.when(text.rlike("[\u3040-\u30ff]"), kana).otherwise(plain)
+    return F.when(F.length(text) == F.octet_length(text), text).when(text.rlike("[\uac00-\ud7a3]"), _jamo(cjk)).otherwise(cjk)
 
 
 def title_tokens(title: Column) -> Column:
@@ -197,3 +219,10 @@ def host_slug(url: Column) -> Column:
 def localized(title: Column, title_zh: Column, lang: str = "en") -> Column:
     """The title in a language, the plain one where there is no translation."""
     return F.coalesce(title_zh, title) if lang == "zh" else title
+
+
+def label(slug: Column, labels: dict[str, tuple[str, str]], lang: str = "en") -> Column:
+    """A slug's label in a language; a slug without one stays as it is."""
+    which = LANGUAGES.index(lang)
+    pairs = [F.lit(x) for k, v in labels.items() for x in (k, v[which])]
+    return F.coalesce(F.element_at(F.create_map(*pairs), slug), slug)

@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dimensions import CATEGORIES, CITIES, CITY_SLUGS, DATE_BUCKETS
+from ..dimensions import CATEGORIES, CATEGORY_LABELS, CITIES, CITY_LABELS, CITY_SLUGS, DATE_BUCKETS
 from ..functions.geo import within_box, within_radius
-from ..functions.localtime import bucket_range
-from ..functions.text import search_text
+from ..functions.localtime import bucket_range, iso_millis, when_label
+from ..functions.text import label, localized, search_text
 
 _BOX = re.compile(r"-?\d+(?:\.\d+)?(?:,-?\d+(?:\.\d+)?){3}")
 
@@ -136,6 +136,15 @@ def feed(events: DataFrame, venues: DataFrame, query: FeedQuery, now: datetime)
     return top.alias("e").join(venues.alias("v"), F.col("e.venue_id") == F.col("v.id"), "left").select(*card()).orderBy("starts_at", "id")
 
 
+def labelled(cards: DataFrame, now: Column, lang: str = "en") -> DataFrame:
+    """Cards as a page in one language shows them: title, labels of category and city, and when."""
+    at = F.col("starts_at")
+    return cards.select(
+        "id", localized(F.col("title"), F.col("title_zh"), lang).alias("title"), label(F.col("category"), CATEGORY_LABELS, lang).alias("category"),
+        label(F.col("city_slug"), CITY_LABELS, lang).alias("city"), when_label(at.cast("timestamp_ntz"), now, lang).alias("when"), iso_millis(at).alias("starts_at"),
+    )
+
+
 def find_page(events: DataFrame, venues: DataFrame, query: FeedQuery, now: datetime) -> Page:
     found = feed(events, venues, query, now)
     rows = found.take(query.limit + 1)  # at most 201 rows

@@ -47,8 +47,9 @@ def _spread(level: DataFrame, value: Column) -> DataFrame:
 def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(seq, page_url, block, path, node, raw, type, is_event): every object in the page's JSON-LD,
     out of arrays and @graph however deep; broken blocks are skipped. Values of other properties
-    are not walked. ``raw`` is the object's text, its properties in the order of the page; ``seq``
-    follows the order of the pages (see ``landing.in_order``)."""
+    are not walked. ``raw`` is the object written anew, its properties in the order of the page,
+    without blanks between and without needless escapes, at any depth: a change of those alone
+    is no change of the object. ``seq`` follows the order of the pages (see ``in_order``)."""
     blocks = pages.select("*", F.monotonically_increasing_id().alias("page_seq")).select(
         "page_seq", F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SCRIPT), F.lit(1))).alias("block", "body")
     )
@@ -72,16 +73,16 @@ def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     is_event = F.when(_kind(type_) == "STRING", as_text.rlike("(?i)Event$")).when(
         _kind(type_).startswith("ARRAY"), F.exists(many, lambda t: t.rlike("(?i)Event$"))
     )
-    raw = F.when(F.col("json_path") == "$", trim_ws(F.col("body"))).otherwise(F.call_function("get_json_object", F.col("body"), F.col("json_path")))
+    raw = F.call_function("get_json_object", trim_ws(F.col("body")), F.col("json_path"))
     seq = F.struct("page_seq", "block", "path")
     return found.select(
         seq.alias("seq"), "page_url", "block", "path", "node", raw.alias("raw"), as_text.alias("type"), F.coalesce(is_event, F.lit(False)).alias("is_event")
     )
 
 
-def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str | None = None) -> DataFrame:
+def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Listings of event nodes: a title and a start that can be read are needed; times without
-    an offset are UTC; a price of 0 (or blank) is free."""
+    an offset are UTC; a price of 0 (or blank) is free. ``keep`` names columns of ``found`` to add."""
     v = F.col("node")
     text = lambda path: variant_text(_get(v, path))
     offers = _get(v, "$.offers")
@@ -114,9 +115,10 @@ def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str |
         F.lit(0).alias("popularity"),
         "raw",
         "seq",
+        *(keep or []),
     )
     out = out.orderBy("seq").withColumn("seq", F.monotonically_increasing_id())
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LISTING])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LISTING], *(keep or []))
 
 
 def normalize_pages(pages: DataFrame, slug: str = "markup", default_city: str | None = None) -> DataFrame:
