@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -10,7 +12,11 @@ from tidemark.llm import html_extract
     ("<nav>menu</nav><article><header><h1>T &amp; t</h1></header><p>a<br>b</p><aside>x</aside>c</article><footer>f</footer>", ["menu", "T & t", "a b", "x", "c", "f"], "T & t\na b\nc"),
     ("<main><div class='side-bar ad'>x</div><p>k&nbsp; l\n m</p></main><div>out</div>", ["x", "k l m", "out"], "k l m"),
     ("<article>a<script>if (a<b) '</article>'</script><style>p{}</style>b<!-- <p>c</p> --></article>", ["ab"], "ab"),
-    ("<p>foo<!--x-->bar <span class=ad>z</span>q</p>", ["z", "foobar q"], "foobar q"),
+    ("<p>foo<!--x-->bar <span class=ad>z</span>q</p>", ["foobar zq"], "foobar zq"),
+    ("<article><p>Price is <span class='ad-price'>12</span> today.</p><ol class='search-results'><li>hit</li></ol></article>", ["Price is 12 today.", "hit"], "Price is 12 today.\nhit"),
+    ("<article><p class='ad-hoc'>made for it</p><div class='ad-box left'>buy</div><p class=headerless>k</p></article>", ["made for it", "buy", "k"], "made for it\nk"),
+    ("<div class='site-footer'>f</div><div class='navbar-nav'>n</div><div class=comment_list>c</div><div class='article-content'>t</div>", ["f", "n", "c", "t"], "t"),
+    ("<article class=teaser><p>Read also</p></article><p>The text of the page is much longer than what is offered beside it.</p>", ["Read also", "The text of the page is much longer than what is offered beside it."], "The text of the page is much longer than what is offered beside it."),
     ("<article><ul><li>1<li>2</ul><section class=comments><p>reader</p></section>3</article>", ["1", "2", "reader", "3"], "1\n2\n3"),
     ("<div id=cookie-notice>no</div><div hidden>no</div><form>no</form>yes 1 < 2<foot", ["no", "no", "no", "yes 1 < 2"], "yes 1 < 2"),
     ('<p title="a > b">t</p></div></p>end', ["t", "end"], "t\nend"),
@@ -21,6 +27,37 @@ def test_lines(html, lines, text):
     assert [x[0] for x in found] == lines and html_extract.main_text(found, None) == (text, 0, 0)
 
 
+TWO = "<div>Site</div><{0}><ul><li>Home</li><li>Shop</li></ul><p>{1}</p></{0}>"
+#: (page, its neighbour, the text by hand)
+NEIGHBOURS = [
+    (TWO.format("main", "First text"), TWO.format("main", "Second text"), "First text"),
+    (TWO.format("section", "First text"), TWO.format("section", "Second text"), "First text"),
+    (TWO.format("article", "First text"), TWO.format("article", "Second text"), "Home\nShop\nFirst text"),
+    (TWO.format("main", "First text"), TWO.format("main", "First text"), "Home\nShop\nFirst text"),  # a copy in all its lines
+    ("<main><h1>T</h1><p>own</p></main><p>Imprint and all the rights of the owner</p>", "<main><h1>U</h1></main><p>Imprint and all the rights of the owner</p>", "T\nown"),
+    ("<p>a</p><p>b</p><p>a</p>", "<div><p>a</p></div><p>b</p>", "a\na"),  # other tags around it are another line
+]
+
+
+@pytest.mark.parametrize("page,near,text", NEIGHBOURS)
+def test_what_the_neighbour_has_goes(spark, page, near, text):
+    docs = spark.createDataFrame([(1, "http://h.example/a/1", page), (2, "http://h.example/a/2", near + " ")], "page_id int, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(docs, parts=1).collect()}[1] == text
+
+
+def test_marks_of_names():
+    marked = ["ad", "ads", "side-bar", "sidebar", "cookie-notice", "site_header", "ad-box", "comment-list", "nav-bar", "main-nav"]
+    plain = ["ad-hoc", "ad-price", "search-results", "content", "page", "article-header", "adverse", "main", "shareholder", "comment-free", ""]
+    assert all(html_extract._marks(x) for x in marked) and not any(html_extract._marks(x) for x in plain)
+
+
+@pytest.mark.parametrize("piece", ["<!a ", "<![", "<script", "<a b='", "<!--", "<div class=\"", "</"])
+def test_broken_markup_is_read_in_linear_time(piece):
+    began = time.time()
+    html_extract.lines_of(piece * (640_000 // len(piece)))
+    assert time.time() - began < 4
+
+
 def longest(a, b):
     best = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):

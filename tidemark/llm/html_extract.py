@@ -9,6 +9,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,17 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 #: Elements whose text is never shown.
 SILENT = frozenset("head title noscript template svg math iframe object canvas audio video map".split())
 #: Elements whose text never belongs to the main text.
 DROPPED = SILENT | frozenset("nav header footer aside form button select option textarea input label menu dialog figcaption".split())
-#: Words of class, id and role that mark the same.
+#: Words of class, id and role that mark the same, where the name is made of these alone and of words of layout.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement sponsored promo promotion banner nav navbar navigation menu breadcrumb "
-    "breadcrumbs header masthead footer sidebar complementary contentinfo search cookie cookies consent notice "
-    "popup modal newsletter subscribe share sharing social related comment comments disqus".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus "
+    "menubar breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer sidebar complementary contentinfo search searchbox cookie cookies "
+    "consent gdpr notice notices disclaimer popup modal overlay dialog newsletter subscribe subscription signup login share sharing sharebar social related recommended "
+    "recommendations trending comment comments commentlist discussion disqus reply replies skiplink outbrain taboola toc".split()
+)
+LAYOUT = frozenset(
+    "site page main global top bottom left right side bar box block wrap wrapper container widget area section list item links link text inner outer content "
+    "primary secondary module panel row col column group holder unit slot zone form button buttons icons bg js el the mobile desktop sticky fixed".split()
 )
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hgroup hr html li "
@@ -35,10 +41,11 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Where a line stands: in an article, in a main element, in neither, or in what markup rules out.
 ARTICLE, MAIN, BODY, RULED = range(4)
-ZONES = {"article": ARTICLE, "main": MAIN}
+#: By how much more text another zone takes the place of articles.
+TEASER = 2
 RANGE_BYTES, MAX_RANGES = 32 << 20, 20_000
 DIRECT_BITS = 1 << 23
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^<>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*)((?:[^"'<>]|"[^"<]*"|'[^'<]*'|["'])*+)>""")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!-)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -56,8 +63,21 @@ def _dropped(name: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    words = {w for m in _MARK.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not MARKS.isdisjoint(words) and not (inside and words & {"header", "masthead"})
+    if name not in BLOCKS:  # what stands in a line belongs to it
+        return False
+    marks = {w for m in _MARK.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split() for w in _marks(n)}
+    return bool(marks) and not (inside and marks <= {"header", "masthead"})
+
+
+@lru_cache(maxsize=10_000)
+def _marks(name: str) -> frozenset[str]:
+    """The marks that a name is made of; none if it has a word that is neither mark nor layout, as in
+    ``ad-hoc`` or ``search-results``."""
+    parts = [w for w in re.split(r"[_-]+", name) if w]
+    if "".join(parts) in MARKS:
+        return frozenset(["".join(parts)])
+    found = MARKS.intersection(parts)
+    return frozenset(found) if found and LAYOUT.union(MARKS).issuperset(parts) else frozenset()
 
 
 def lines_of(page: str) -> list[Line]:
@@ -191,16 +211,21 @@ def main_text(lines: list[Line], other: list[Line] | None) -> tuple[str, int, in
     """(text, lines shared with the near page, lines that only this took out).
 
     Lines (with the tags around them) that the near page has too, in the same order, are
-    taken out, and what markup rules out goes. The lines of an article, or else of a main
-    element, are the guard: they all stay, and nothing beside them. If a page without either
-    would lose every line it is a copy of its neighbour in all that counts, and stays whole."""
+    taken out, and what markup rules out goes. Then the zone with most text is the main text: all
+    lines in articles, those in a main element or those in neither. Articles are a guard: their
+    lines stay though the near page has them, and they are the main text unless another zone
+    has over TEASER times as much, as where an article is a teaser beside the text. If no line
+    would be left the page is a copy of its neighbour in all that counts, and stays whole."""
     shared = common_lines([(x[0], x[2]) for x in lines], [(x[0], x[2]) for x in other]) if other else set()
-    zones = {x[1] for x in lines}
-    zone = min(zones, default=RULED)
-    own = [i for i, x in enumerate(lines) if x[1] == zone != RULED]
-    kept = [i for i in own if i not in shared] if zone == BODY else own
-    kept = kept or own
-    return "\n".join(lines[i][0] for i in kept), len(shared), len(own) - len(kept)
+
+    def chosen(taken: set[int]) -> list[int]:
+        zones = {zone: [i for i, x in enumerate(lines) if x[1] == zone and (zone == ARTICLE or i not in taken)] for zone in (ARTICLE, MAIN, BODY)}
+        size = {zone: sum(len(lines[i][0]) for i in own) * (TEASER if zone == ARTICLE else 1) for zone, own in zones.items()}
+        return zones[max(zones, key=lambda zone: (size[zone], -zone))]
+
+    kept = chosen(shared) or chosen(set())
+    left_out = sum(x[1] == lines[kept[0]][1] for x in lines) - len(kept) if kept else 0
+    return "\n".join(lines[i][0] for i in kept), len(shared), left_out
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -314,11 +339,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = keyed(pages, id_col, url_col, html_col)
-    size = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    keys = materialise(rows.select("key", F.octet_length("html").cast("long").alias("n")), "page-keys")  # one scan for the plan, one for the texts
+    size = keys.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
     if parts is None:
         parts = min(MAX_RANGES, max(pages.sparkSession.sparkContext.defaultParallelism, (size.bytes or 0) // RANGE_BYTES))
-    cuts = range_cuts(rows.select("key"), size.rows, parts)
-    goes = neighbours_over_cuts(rows.select("key"), cuts) if cuts else {}
+    cuts = range_cuts(keys.select("key"), size.rows, parts)
+    goes = neighbours_over_cuts(keys.select("key"), cuts) if cuts else {}
 
     @F.pandas_udf("array<int>")
     def places(keys: pd.Series) -> pd.Series:
