@@ -9,20 +9,6 @@ import numpy as np
 
 BLOCK = 64
 QUERIES = 1 << 16
-_COUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").sum(axis=1).astype(np.uint8)
-
-
-def _select_in_byte() -> np.ndarray:
-    """[byte, k]: the place of the k-th one of a byte."""
-    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    out = np.zeros((256, 8), np.uint8)
-    for byte in range(256):
-        ones = np.flatnonzero(bits[byte])
-        out[byte, : len(ones)] = ones
-    return out
-
-
-_PLACE = _select_in_byte()
 
 
 @dataclass
@@ -66,24 +52,29 @@ class EliasFano:
         return words[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
 
     def _select(self, which: np.ndarray, zeros: bool) -> np.ndarray:
-        """The place of the which-th one (or zero) among the high bits."""
+        """The place of the which-th one (or zero) among the high bits: its block by the counts before
+        the blocks, then by halves of the block's word."""
         before = self.ones[:-1].astype(np.int64)
         if zeros:
             before = np.arange(len(before)) * BLOCK - before
-        rows = self.high.reshape(-1, BLOCK // 8)
+        words = self.high.view("<u8")
         out = np.empty(len(which), np.int64)
         for at in range(0, len(which), QUERIES):
             k = which[at : at + QUERIES]
             block = np.searchsorted(before, k, side="right") - 1
-            data = rows[block]
+            word = words[block]
             if zeros:
-                data = ~data
-            left = (k - before[block]).astype(np.int8)
-            upto = np.cumsum(_COUNT[data], axis=1, dtype=np.int8)
-            byte = (upto <= left[:, None]).sum(axis=1)
-            here = np.arange(len(k))
-            left -= np.where(byte > 0, upto[here, byte - 1], 0).astype(np.int8)
-            out[at : at + QUERIES] = block * BLOCK + byte * 8 + _PLACE[data[here, byte], left]
+                word = ~word
+            left = (k - before[block]).astype(np.uint8)
+            place = block * BLOCK
+            for width in (32, 16, 8, 4, 2, 1):
+                ones = np.bitwise_count(word & np.uint64((1 << width) - 1))
+                beyond = ones <= left
+                left -= ones * beyond
+                step = beyond.astype(np.uint8) * np.uint8(width)
+                place += step
+                word = word >> step
+            out[at : at + QUERIES] = place
         return out
 
     def _ones_from(self, bit: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -153,11 +144,13 @@ class Level:
 
     def find(self, contexts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """The place of each (context, number), -1 where it is not there; context -1 is none. Queries
-        of one context side by side look its pointers up once."""
+        are looked up in rising order, so that memory is read from front to back, and each context's
+        pointers once."""
         out = np.full(len(contexts), -1, np.int64)
         rows = np.flatnonzero((contexts >= 0) & (numbers >= 0))
         if not len(rows) or not self.keys.size:
             return out
+        rows = rows[np.argsort(contexts[rows].astype(np.int64) << 32 | numbers[rows])]
         mine = contexts[rows]
         new = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
         some = mine[new]
