@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -214,6 +214,8 @@ def _node(hashes: np.ndarray) -> int:
 
 
 STARS = 3
+#: After so many bands what is linked is counted again before the others are compared.
+STEPS = (4, 16)
 #: Bits of the sketch that goes with each band: a long and half of one.
 SKETCH = 96
 
@@ -280,11 +282,12 @@ def _with_prints(pairs: DataFrame, classes: DataFrame, similarity: float) -> Dat
     return met.filter((F.least("sa", "sb") < FEW) | (differ <= _limit(64 * WIDE, similarity))).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: Callable[[], DataFrame], classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose ``sets`` (node, set) of shingle hashes have that Jaccard similarity. Only
-    sets of nodes in pairs are dealt out: a bit map of fixed size tells them (and a few others)."""
-    with intermediates(pairs.sparkSession):
-        return kept(_counted(materialise(_with_prints(pairs, classes, similarity), "like-pairs"), sets, similarity), "like-links")
+    sets of nodes in pairs are dealt out: a bit map of fixed size tells them (and a few others).
+    What ``pairs`` writes to find them goes with the rest at the end."""
+    with intermediates(classes.sparkSession):
+        return kept(_counted(materialise(_with_prints(pairs(), classes, similarity), "like-pairs"), sets, similarity), "like-links")
 
 
 def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -315,7 +318,10 @@ def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     All members of a block are compared with each other. So that a group of n copies does not
     give n * n pairs, components grow first: STARS times each component's closest meeting with the
     first of a block (in a quarter of the bands, dealt out over the times) is verified, and what is
-    linked then is not compared again: its ends are in one component.
+    linked then is not compared again: its ends are in one component. For the same reason the
+    bands are compared in steps: in a large group that is dense, but of which few pairs are alike
+    enough, the links of a few bands already join nearly all members, and the many other bands
+    have only those left to compare that are not joined.
 
     Sets are held as 32-bit hashes: two sets of 400 have a chance of one in 25,000 to seem to share
     a shingle more than they do.
@@ -342,9 +348,9 @@ def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         plan = band_plan(classes.count(), similarity, recall)
         links = None
         known = _rooted(classes, None)
-        for bands in [*np.array_split(plan[: -(-len(plan) // 4)], STARS), None]:
-            pairs = block_pairs(_block_keys(known, plan), similarity) if bands is None else first_pairs(_block_keys(known, bands), similarity)
-            more = _verified(pairs, classes, sets, similarity)
+        rounds = [(first_pairs, x) for x in np.array_split(plan[: -(-len(plan) // 4)], STARS)] + [(block_pairs, x) for x in np.split(plan, STEPS) if len(x)]
+        for found_by, bands in rounds:
+            more = _verified(lambda: found_by(_block_keys(known, bands), similarity), classes, sets, similarity)  # noqa: B023  called at once
             links = more if links is None else links.union(more)
             roots = connected_components(links)
             known = _rooted(classes, roots)
