@@ -332,6 +332,7 @@ class Trie:
         ``hot_counts`` or -1. Only n-grams that occur (n > 0) are kept."""
         keep = n > 0
         v, u, w, n = v[keep], u[keep], w[keep], n[keep]
+        del keep
         ev, ew, en = extra
         whole = hot[v] < 0
         follow, times = _summed(np.concatenate([v << 32 | w, ev << 32 | ew]), np.concatenate([np.where(whole, n, 0), en]))
@@ -346,6 +347,7 @@ class Trie:
         first = np.searchsorted(fv, np.arange(len(contexts)))
         relative = np.searchsorted(follow, v << 32 | w) - first[v]
         triple, m = _summed(_both(context, relative), n)
+        del context, relative, v, u, w, n
         of, rel = triple >> 32, triple & 0xFFFFFFFF
         c_kinds = np.bincount(of, minlength=len(before))
         share2 = np.where(times > 0, np.log10(np.maximum(times - DISCOUNT, 0.1) / np.maximum(totals[fv], 1)), 0.0)
@@ -422,6 +424,13 @@ def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == values, at, -1)
 
 
+def _emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list gives them up."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def trie_of(bodies: list[bytes], dealt: Shares) -> Trie:
     """The trie of all requests of a part."""
     asked = [unpack(b) for b in bodies]
@@ -437,7 +446,8 @@ def trie_of(bodies: list[bytes], dealt: Shares) -> Trie:
         v_of_hot = np.searchsorted(contexts, dealt.hashes[hot_v[some]])
         for column, x in zip(columns, (np.repeat(v, c_per_v)[c], word[c_u][c], word[t_w[seen]], n[seen], v_of_hot, word[hot_w[some]], hot_n[some])):
             column.append(x)
-    v, u, w, n, *extra = (np.concatenate(x) for x in columns)
+    del asked, own, v_hash, c_per_v, c_u, t_per_c, t_w, n, hot_v, hot_w, hot_n, word, v, c, x  # a part's arrays are held once
+    v, u, w, n, *extra = (_emptied(x) for x in columns)
     hot, _ = dealt.of(contexts)
     return Trie.of_counts(contexts, words, v, u, w, n, tuple(extra), hot, dealt.counts)
 
