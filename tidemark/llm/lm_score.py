@@ -20,7 +20,7 @@ from .common import crc_mod, materialise, shared_dir, small_batches, texts_of
 from .elias_fano import Level, dump, load
 
 #: Bytes of text in a slice, whose n-grams are asked for together, and in a part of the contexts.
-SLICE, PART = 12 << 20, 10 << 20
+SLICE, PART = 10 << 20, 10 << 20
 DISCOUNT, ADD = 0.75, 0.1
 LEVELS = 255
 #: Logarithms travel as 16-bit steps down from 0; 0 stands for what was never seen.
