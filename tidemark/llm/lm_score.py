@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import mmap
 import os
 import tempfile
@@ -29,6 +30,14 @@ START, END = 1, 2  # hashes of the marks around a text
 LOW32 = np.uint64((1 << 32) - 1)
 
 
+def _give_back() -> None:
+    """Give memory that was freed back to the system, where the C library can: a worker keeps it else,
+    and lives on for other tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- arrays in bytes
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Whole numbers, none below zero, by byte planes, compressed."""
@@ -99,6 +108,7 @@ def slices(docs: DataFrame) -> DataFrame:
             size += more
         if held:
             yield out()
+        _give_back()
 
     return docs.select("doc_id", "text", "train").mapInArrow(
         run, f"slice long, doc_id array<{kind}>, train array<boolean>, sizes array<bigint>, hashes binary, tokens binary"
@@ -285,6 +295,8 @@ def requests(cut: DataFrame, dealt: Shares) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), batch.column("slice")[i].as_py())), pa.array(bodies, pa.binary())], ["part", "slice", "body"]
                 )
+                del hashes, tokens, asked, train, count, h, bodies
+                _give_back()
 
     return cut.select("slice", "train", "sizes", "hashes", "tokens").mapInArrow(run, "part int, slice long, body binary")
 
@@ -417,11 +429,15 @@ class Trie:
 
 
 def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where each value is in the sorted array, or -1."""
+    """Where each value is in the sorted array, or -1; looked up in rising order."""
     if not len(sorted_):
         return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, -1)
+    order = np.argsort(values)
+    rising = values[order]
+    at = np.minimum(np.searchsorted(sorted_, rising), len(sorted_) - 1)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.where(sorted_[at] == rising, at, -1)
+    return out
 
 
 def _emptied(parts: list[np.ndarray]) -> np.ndarray:
@@ -478,6 +494,8 @@ def answers(asked: DataFrame, dealt: Shares) -> DataFrame:
                 rows.append(row)
         if rows:
             yield from out()
+        rows.clear()
+        _give_back()
 
     return asked.repartitionById(dealt.parts, F.col("part")).sortWithinPartitions("part").select("part", "slice", "body").mapInArrow(run, "slice long, part int, body binary")
 
@@ -548,6 +566,8 @@ def scores(cut: DataFrame, answered: DataFrame, dealt: Shares, known: Totals, tr
                 bodies = zip(*(parts.field(c).to_pylist() for c in ("part", "body")))
                 found = slice_scores(hashes.astype(np.uint64), tokens, sizes, bodies, dealt, known, train_docs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, pa.array(sizes + 1), *map(pa.array, found)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                del hashes, tokens, sizes, parts, bodies, found
+                _give_back()
 
     joined = cut.join(theirs, "slice").select("doc_id", "sizes", "hashes", "tokens", "parts")
     return joined.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
