@@ -85,7 +85,9 @@ def slices(docs: DataFrame) -> DataFrame:
                 for text in texts_of(batch, "text"):
                     words = text.lower().split()
                     sizes.append(len(words))
-                    tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                    for w in dict.fromkeys(words):
+                        known.setdefault(w, len(known))
+                    tokens.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             tokens = np.concatenate(tokens)
             order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(known), np.int32)
@@ -347,7 +349,8 @@ class Trie:
         del keep
         ev, ew, en = extra
         whole = hot[v] < 0
-        follow, times = _summed(np.concatenate([v << 32 | w, ev << 32 | ew]), np.concatenate([np.where(whole, n, 0), en]))
+        follow, place = _distinct(np.concatenate([v << 32 | w, ev << 32 | ew]))
+        times = np.bincount(place, np.concatenate([np.where(whole, n, 0), en]), len(follow)).astype(np.int64)
         fv, fw = follow >> 32, follow & 0xFFFFFFFF
         counts = np.bincount(fv, times, len(contexts)).astype(np.int64)
         successors = np.bincount(fv[times > 0], minlength=len(contexts))
@@ -357,9 +360,9 @@ class Trie:
         before, context = _distinct(v << 32 | u)
         c_total = np.bincount(context, n, len(before))
         first = np.searchsorted(fv, np.arange(len(contexts)))
-        relative = np.searchsorted(follow, v << 32 | w) - first[v]
+        relative = place[: len(v)] - first[v]
         triple, m = _summed(_both(context, relative), n)
-        del context, relative, v, u, w, n
+        del context, relative, place, v, u, w, n
         of, rel = triple >> 32, triple & 0xFFFFFFFF
         c_kinds = np.bincount(of, minlength=len(before))
         share2 = np.where(times > 0, np.log10(np.maximum(times - DISCOUNT, 0.1) / np.maximum(totals[fv], 1)), 0.0)
@@ -455,7 +458,7 @@ def trie_of(bodies: list[bytes], dealt: Shares) -> Trie:
     contexts = _unique(np.concatenate([*(x[1].astype(np.uint64) for x in asked), dealt.hashes[hot_here]]))
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for own, v_hash, c_per_v, c_u, t_per_c, t_w, n, hot_v, hot_w, hot_n in asked:
-        word, v = np.searchsorted(words, own.astype(np.uint64)), np.searchsorted(contexts, v_hash.astype(np.uint64))
+        word, v = _places(words, own.astype(np.uint64)), _places(contexts, v_hash.astype(np.uint64))
         c = np.repeat(np.arange(len(c_u)), t_per_c)
         seen = n > 0
         c, some = c[seen], hot_n > 0
