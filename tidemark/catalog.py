@@ -556,7 +556,7 @@ _LINKS = "SELECT user_id AS record, arg_max(event_id % 20, event_id) AS event_id
     later AS (SELECT coalesce(n.e, o.e) AS e, n.r IS NOT NULL OR o.live AS live FROM o FULL JOIN n USING (r)),
     before AS (SELECT e, count(*) AS n, count(*) FILTER (live) AS l FROM o GROUP BY 1), after AS (SELECT e, count(*) AS n, count(*) FILTER (live) AS l FROM later GROUP BY 1)
     SELECT e AS event_id, CAST(coalesce(after.n, 0) - coalesce(before.n, 0) AS INTEGER) AS links, CAST(coalesce(after.l, 0) - coalesce(before.l, 0) AS INTEGER) AS live
-    FROM before FULL JOIN after USING (e)""")
+    FROM (SELECT DISTINCT event_id % 20 AS e FROM events) LEFT JOIN before USING (e) LEFT JOIN after USING (e)""")
 def link_changes(spark, sf_dir):
     """By how much a batch changes the numbers of links, from the links that move alone; the SQL counts
     all links before and after."""
