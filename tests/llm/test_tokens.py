@@ -4,6 +4,8 @@ import json
 import struct
 import zlib
 from itertools import product
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers as P
@@ -11,10 +13,12 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, packing, token_output, tokens
+from tidemark.storage import shared_dir
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -140,7 +144,7 @@ def shard_file(path, shard):
     return file
 
 
-def test_shards(spark, odd_docs, no_docs, tmp_path):
+def test_shards(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     path = tmp_path / "shards"
     total = token_output.write_shards(odd_docs, str(path), JSON, P.PATTERN, shard_rows=4)
     m = token_output.read_manifest(spark, str(path))
@@ -172,10 +176,34 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
         got = {r.slot: (r.length, bytes(r.tokens)) for r in token_output.read_slots(spark, str(path), first, count).collect()}
         last = total if count is None else min(total, first + count)
         assert got == {s: all_rows[s] for s in range(first, last)}
+        with monkeypatch.context() as only_spark_reads:
+            only_spark_reads.setattr(token_output, "_store", lambda uri: None)
+            assert {r.slot: (r.length, bytes(r.tokens)) for r in token_output.read_slots(spark, str(path), first, count).collect()} == got
+    monkeypatch.setattr(token_output, "BLOCK", 3)
+    assert {r.slot: (r.length, bytes(r.tokens)) for r in token_output.read_slots(spark, str(path)).collect()} == all_rows
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+    assert not list(Path(urlparse(shared_dir(spark)).path).glob("chunks_*"))
     assert token_output.write_shards(no_docs, str(tmp_path / "none"), JSON, P.PATTERN) == 0
     assert token_output.read_slots(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_cut_shard_is_an_error(spark, some_docs, tmp_path):
+    total = token_output.write_shards(some_docs.limit(40), str(tmp_path / "out"), JSON, P.PATTERN)
+    file = shard_file(tmp_path / "out", 0)
+    file.write_bytes(file.read_bytes()[:-5])
+    (tmp_path / "out" / "shards" / "shard=0" / f".{file.name}.crc").unlink(missing_ok=True)
+    assert token_output.read_slots(spark, str(tmp_path / "out"), 0, total - 1).count() == total - 1
+    with pytest.raises(PythonException, match="ends before record"):
+        token_output.read_slots(spark, str(tmp_path / "out")).collect()
+
+
+def test_tasks_of_several_chunks(spark, some_docs):
+    long = some_docs.withColumn("text", F.concat(F.col("doc_id").cast("string"), F.repeat("text", 12))).coalesce(1)
+    assert tokens.chunks(long, JSON, P.PATTERN).groupBy("slice").count().agg(F.max("count")).first()[0] > 2
+    seen = [sorted(map(str, token_output.shard_digests(docs, JSON, P.PATTERN, shard_rows=256).collect())) for docs in (long, long.repartition(5))]
+    assert seen[0] == seen[1] and sum(len(x) for x in seen[0]) > 0
+
+
 def test_slots_depend_on_the_documents_alone(spark, some_docs, odd_docs):
     for docs in (some_docs, odd_docs.withColumn("doc_id", F.col("doc_id").cast("string"))):
         seen = [sorted(map(str, token_output.shard_digests(docs.repartition(n), JSON, P.PATTERN, shard_rows=32).collect())) for n in (1, 3, 7)]

@@ -10,11 +10,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import intermediates, kept, materialise, shared_dir
+from ..storage import intermediates, kept, materialise, remove, shared_dir
 
-__all__ = ["ascii_lower", "crc_mod", "intermediates", "kept", "materialise", "read", "shared_dir", "small_batches", "text_of", "texts_of", "unused"]
+__all__ = ["ascii_lower", "buckets_for", "crc_mod", "intermediates", "kept", "materialise", "read", "remove", "shared_dir", "small_batches", "text_of", "texts_of", "unused"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 2 << 20
+BUCKET_BYTES = 256 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +30,14 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """In how many buckets to write what is made of ``size`` bytes of text: one for each
+    BUCKET_BYTES, at least as many as the session has shuffle partitions, at most as many as
+    Spark allows."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import crc_mod, materialise, shared_dir, small_batches, texts_of
+from .common import buckets_for, crc_mod, materialise, shared_dir, small_batches, texts_of
 from .elias_fano import Level, dump, load
 
 #: Bytes of text in a slice, whose n-grams are asked for together, and in a part of the contexts.
@@ -594,11 +594,11 @@ def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     if parts is None:
-        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
         parts = max(spark.sparkContext.defaultParallelism, -(-size // PART))
     name = f"slices_{uuid.uuid4().hex}"  # in buckets, so that the answers come to the slices and not both to a third place
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(spark, size)
     slices(rows).write.bucketBy(buckets, "slice").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     cut = spark.table(name)
     each = F.arrays_zip("train", "sizes")

@@ -7,16 +7,18 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import intermediates, materialise, shared_dir
+from .common import buckets_for, intermediates, materialise, remove, shared_dir
 from .packing import placed
 from .tokens import chunks, id_bytes
 
@@ -24,6 +26,8 @@ ROUNDS = 6
 #: A record: slot and number of tokens, the ids, and the byte that Spark's text writer ends each row with.
 HEADER = "<qi"
 END = b"\n"
+#: Records that a reader takes at once.
+BLOCK = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def ranked_by_id(pieces: DataFrame) -> DataFrame:
-    """``pieces`` (slice, n, doc_id, piece, length, ids_crc32) with another slice and a rank: in
+    """``pieces`` (slice, chunk, at, doc_id, piece, length, ids_crc32) with another slice and a rank: in
     the order of ids and pieces, whatever task they came from. Equal rows may change places."""
     kept = [f.name for f in pieces.schema.fields if f.name != "slice"]
     order = ["doc_id", "piece", "ids_crc32", "length"]
@@ -99,47 +103,65 @@ def write_shards(
     its file. The default makes shards of 67 MB. Null is the empty text; rows that repeat an id
     are written each; a very long text is cut into pieces; an empty table writes no records.
 
-    The ids are written once, in buckets of the task that made them, so that slots come to them
-    without another exchange; one exchange takes them to their shards, and a task
-    holds the pieces of one shard.
+    The ids are written once, in chunks of a megabyte of text, in buckets of the task that made
+    them (their number follows the bytes of text). The places of a chunk's pieces, some bytes for
+    each, come to its bucket as one row for each chunk; the ids are exchanged once, to their
+    shards, and a task holds the pieces of one shard. The chunks are deleted at the end.
     """
-    with intermediates(docs.sparkSession):
-        return _write_shards(docs, path, vocabulary, pattern, capacity, end_id, pad_id, shard_rows, key, id_col, text_col)
+    spark = docs.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    with intermediates(spark):
+        try:
+            return _write_shards(docs, path, name, vocabulary, pattern, capacity, end_id, pad_id, shard_rows, key, id_col, text_col)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(spark, [f"{shared_dir(spark)}/{name}"])
+
+
+@contextmanager
+def _joined_in_buckets(spark: SparkSession) -> Iterator[None]:
+    """A join on a bucket's column and another one keeps the buckets where they are."""
+    option = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
 
 
 def _write_shards(
-    docs: DataFrame, path: str, vocabulary: str, pattern: str, capacity: int, end_id: int | None, pad_id: int, shard_rows: int, key: int, id_col: str, text_col: str
+    docs: DataFrame, path: str, name: str, vocabulary: str, pattern: str, capacity: int, end_id: int | None, pad_id: int, shard_rows: int, key: int, id_col: str, text_col: str
 ) -> int:
     spark = docs.sparkSession
-    name = f"chunks_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     width = id_bytes(vocabulary)
     made = chunks(docs, vocabulary, pattern, capacity, end_id, id_col, text_col)
     made.write.bucketBy(buckets, "slice").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     made = spark.table(name)
     each = F.arrays_zip("doc_id", "piece", "length", "ids_crc32")
-    slim = made.select("slice", "first", F.posexplode(each).alias("at", "p")).select("slice", (F.col("first") + F.col("at")).alias("n"), "p.*")
+    slim = made.select("slice", "first", F.posexplode(each).alias("at", "p")).select("slice", F.col("first").alias("chunk"), "at", "p.*")
     packed, total = placed(materialise(ranked_by_id(slim), "sequence-pieces"), capacity)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(permute(batch.column("sequence_id").to_numpy(), total, key))], [*batch.schema.names[:-1], "slot"])
 
-    packed = packed.select("task", "n", "doc_id", "piece", "length", "offset", "sequence_id")
+    packed = packed.select("task", "chunk", "at", "doc_id", "piece", "length", "offset", "sequence_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1])
     packed = materialise(packed.mapInArrow(slots, f"{schema}, slot long"), "sequence-slots")
     packed.select("slot", "offset", "doc_id", "piece", "length").write.parquet(f"{path}/index")
 
     kind = packed.schema["doc_id"].dataType.simpleString()
-    to_place = packed.groupBy(F.col("task").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("n", "slot", "offset"))).alias("places"))
+    placing = packed.select(F.col("task").alias("slice"), F.col("chunk").alias("first"), "at", "slot", "offset").repartition(buckets, "slice")
+    places = placing.groupBy("slice", "first").agg(F.sort_array(F.collect_list(F.struct("at", "slot", "offset"))).alias("places"))
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for i in range(batch.num_rows):
-                first, ids = batch.column("first")[i].as_py(), batch.column("ids")[i].as_py()
+                ids, mine = batch.column("ids")[i].as_py(), batch.column("places")[i].values
                 lengths = batch.column("length")[i].values.to_numpy()
-                mine = batch.column("places")[i].values.slice(first, len(lengths))
                 ends = np.cumsum(lengths) * width
                 slot, offset = mine.field("slot").to_numpy(), mine.field("offset").to_numpy()
                 order = np.lexsort((offset, slot))
@@ -183,21 +205,21 @@ def _write_shards(
         if pieces:
             yield from out()
 
-    placed_ids = made.select("slice", "first", "length", "ids").join(to_place, "slice").select("first", "length", "ids", "places")
-    (
+    placed_ids = made.select("slice", "first", "length", "ids").join(places, ["slice", "first"]).select("length", "ids", "places")
+    shards = (
         placed_ids.mapInArrow(to_shards, "shard int, slot array<bigint>, offset array<bigint>, length array<bigint>, ids binary")
         .repartitionById(max(1, -(-total // shard_rows)), F.col("shard"))
         .sortWithinPartitions("shard")
         .mapInArrow(records, "shard int, record binary")
         .select("shard", F.col("record").cast("string").alias("value"))
-        .write.partitionBy("shard").option("compression", "none").option("lineSep", END.decode()).text(f"{path}/shards")
     )
+    with _joined_in_buckets(spark):
+        shards.write.partitionBy("shard").option("compression", "none").option("lineSep", END.decode()).text(f"{path}/shards")
     manifest = {
         "sequences": total, "shard_rows": shard_rows, "stride": struct.calcsize(HEADER) + capacity * width + len(END), "header": struct.calcsize(HEADER), "id_bytes": width,
         "capacity": capacity, "pad_id": pad_id, "key": key, "id_type": kind,
     }
     spark.range(1).coalesce(1).select(F.lit(json.dumps(manifest)).alias("value")).write.text(f"{path}/manifest")
-    spark.sql(f"DROP TABLE {name}")
     return total
 
 
@@ -205,26 +227,69 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first().value)
 
 
+def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str] | None:
+    """The file system in which a task can open ``uri`` at any byte, and the path there; None for
+    stores that only Spark reads."""
+    try:
+        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path):
+            return store, path
+    except (pa.ArrowException, OSError):
+        return None
+
+
 def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> DataFrame:
     """(slot, length, tokens) of the sequences from slot ``first`` on, in their order within each
-    shard; ``tokens`` are the bytes of the ids without padding. Only the shards asked for are
-    opened, by records of fixed length, so a reader that stopped goes on at any slot."""
+    shard; ``tokens`` are the bytes of the ids without padding. A reader that stopped goes on at any
+    slot: only the shards asked for are opened, and of these the bytes of the records asked for are
+    read, BLOCK records at once, by (file, first byte, records). In a store that only Spark reads
+    its binary files come whole (a shard has a bounded size) and the records are cut from them."""
     m = read_manifest(spark, path)
     last = m["sequences"] if count is None else min(m["sequences"], first + count)
-    shards = range(first // m["shard_rows"], -(-last // m["shard_rows"])) if last > first else range(0)
     schema = "slot long, length int, tokens binary"
-    if not shards:
+    if last <= first:
         return spark.createDataFrame([], schema)
-    whole = len(shards) * m["shard_rows"] >= m["sequences"]
-    files = f"{path}/shards/shard=*/*" if whole else ",".join(f"{path}/shards/shard={k}/*" for k in shards)
-    header, width = m["header"], m["id_bytes"]
+    rows, stride, width = m["shard_rows"], m["stride"], m["id_bytes"]
+    record = np.dtype([("slot", "<i8"), ("length", "<i4"), ("ids", np.uint8, (m["capacity"] * width,)), ("end", np.uint8)])
+    files = spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("shard").between(first // rows, (last - 1) // rows))
+    base = F.col("shard").cast("long") * rows
+    start, stop = F.greatest(F.lit(first), base) - base, F.least(F.lit(last), base + rows) - base
+    seeks = _store(files.select("path").first().path) is not None
+    if seeks:
+        each = files.select("path", F.explode(F.sequence(start, stop - 1, F.lit(BLOCK).cast("long"))).alias("at"), stop.alias("stop"))
+        asked = each.select("path", "at", F.least(F.lit(BLOCK).cast("long"), F.col("stop") - F.col("at")).alias("n"))
+    else:
+        asked = files.select("path", F.lit(0).cast("long").alias("at"), (stop - start).alias("n"), F.substring("content", (start * stride + 1).cast("int"), ((stop - start) * stride).cast("int")).alias("content"))
+
+    def parsed(data: bytes) -> pa.RecordBatch:
+        found = np.frombuffer(data, record)
+        used = np.arange(record["ids"].shape[0]) < found["length"][:, None] * width
+        ends = np.concatenate([[0], np.cumsum(found["length"] * width)]).astype(np.int32)
+        tokens = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(found["ids"][used].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(found["slot"].copy()), pa.array(found["length"].copy()), tokens], ["slot", "length", "tokens"])
 
-    def parsed(record: bytes) -> tuple[int, int, bytearray]:
-        slot, used = struct.unpack_from(HEADER, record)
-        return slot, used, bytearray(record[header : header + used * width])
-
-    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(files, m["stride"]).map(parsed), schema)
-    return rows if whole and not first else rows.filter((F.col("slot") >= first) & (F.col("slot") < last))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                uri, at, n = (batch.column(c)[i].as_py() for c in ("path", "at", "n"))
+                if not seeks:
+                    content = batch.column("content")[i].as_buffer()
+                    yield from (parsed(content.slice(k * stride, min(BLOCK, n - k) * stride)) for k in range(0, n, BLOCK))
+                    continue
+                if uri != now:
+                    if opened is not None:
+                        opened.close()
+                    store, inner = pyarrow.fs.FileSystem.from_uri(uri)
+                    now, opened = uri, store.open_input_file(inner)
+                data = opened.read_at(n * stride, at * stride)
+                if len(data) != n * stride:
+                    raise ValueError(f"{uri} ends before record {at + n}")
+                yield parsed(data)
+        if opened is not None:
+            opened.close()
+
+    return asked.mapInArrow(run, schema)
 
 
 def shard_digests(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, shard_rows: int = 1 << 15, **options) -> DataFrame:
