@@ -1,6 +1,9 @@
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidemark.llm import digest
 
@@ -71,9 +74,6 @@ def test_edits_follow_the_ids_whatever_the_parts(odd_docs, some_docs, no_docs):
         check_edits(odd_docs, parts)
     assert len(seen) == 1
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.3
-    by_text = {}
-    for r in got:
-        by_text.setdefault(r.fingerprint, r)
     assert digest.edit_digests(no_docs, 4).count() == 0
     same = digest.digests(odd_docs, digest.class_ranks(odd_docs)).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
@@ -81,3 +81,74 @@ def test_edits_follow_the_ids_whatever_the_parts(odd_docs, some_docs, no_docs):
     for r in same:
         if r.doc_id not in (None, 30):
             assert prints.setdefault(texts[r.doc_id] or "", r.fingerprint) == r.fingerprint
+
+
+# --- the whole query, window by window
+HIGH = 4096 * 64 * 6
+
+
+def plain_classes(text):
+    out = []
+    for i in range(len(text) - 63):
+        spent = sum(round(4096 * c * math.log2(c)) for c in Counter(text[i : i + 64]).values())
+        out.append((HIGH - spent) * 1000 // HIGH)
+    return out
+
+
+def plain_filters(text, classes, rank):
+    """The digest as a list of sets of bits."""
+    from xxhash import xxh64_intdigest
+
+    if not text:
+        return []
+    if len(text) < 64:
+        chosen = [0]
+    elif len(text) < 127:
+        chosen = [min(range(len(classes)), key=lambda i: (rank[classes[i]], i))]
+    else:
+        order = [(rank[c], i) for i, c in enumerate(classes)]
+        times = Counter(min(order[g : g + 64])[1] for g in range(len(order) - 63))
+        enough = min(16, max(times.values()))
+        chosen = sorted(i for i, n in times.items() if n >= enough)
+    hashes = list(dict.fromkeys(xxh64_intdigest(text[i : i + 64]) for i in chosen))
+    return [{h >> 11 * k & 2047 for h in hashes[a : a + 160] for k in range(5)} for a in range(0, len(hashes), 160)]
+
+
+def plain_hex(filters):
+    return "".join(f"{sum(1 << 2047 - b for b in bits):0512x}" for bits in filters)
+
+
+def plain_likeness(a, b):
+    def one_way(x, y):
+        best = 0.0
+        for f in x:
+            best += max((len(f & g) - len(f) * len(g) / 2048) / max(min(len(f), len(g)) - len(f) * len(g) / 2048, 1e-9) for g in y)
+        return min(1.0, max(0.0, best / len(x)))
+
+    if not a or not b:
+        return float(not a and not b)
+    if len(a) == len(b) > 1:
+        return (one_way(a, b) + one_way(b, a)) / 2
+    return one_way(a, b) if len(a) <= len(b) else one_way(b, a)
+
+
+@pytest.mark.parametrize("name", ["some_docs", "odd_docs"])
+def test_the_query_is_that_of_plain_loops(name, request):
+    docs = request.getfixturevalue(name)
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, r[1] or "")))
+    texts = [(t or "").encode() for _, t in rows]
+    classes = {t: plain_classes(t) for t in set(texts)}
+    counts = Counter(c for t in texts for c in classes[t])
+    rank = {c: i for i, c in enumerate(sorted(range(1001), key=lambda c: (counts[c], c)))}
+    filters = {t: plain_filters(t, classes[t], rank) for t in classes}
+    want = []
+    for k, ((i, text), raw) in enumerate(zip(rows, texts)):
+        following = texts[(k + 1) % len(texts)]
+        whole, half = text or "", len(text or "") // 2
+        edited = (whole[: len(whole) - half] + following.decode()[:half]).encode()
+        changed = plain_filters(edited, plain_classes(edited), rank)
+        want.append((str(i), plain_hex(filters[raw]), plain_hex(changed), plain_likeness(filters[raw], changed), plain_likeness(filters[raw], filters[following])))
+    got = sorted((str(r.doc_id), r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in digest.edit_digests(docs, 3).collect())
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3:] for x in got], [x[3:] for x in want])
