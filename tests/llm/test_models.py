@@ -319,6 +319,16 @@ def test_languages_are_those_of_plain_loops(name, request):
     assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-6)
 
 
+def test_white_space_at_the_ends_is_no_word(spark):
+    rows = [(1, "der Hund", "de"), (2, "the dog", "en"), (3, "  the dog\n", "en"), (4, "", "de"), (5, None, "de"), (6, " ", "de")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    bare = langid.fit(docs.filter("doc_id < 4").withColumn("text", F.trim(F.regexp_replace("text", "\n", ""))), MODEL)
+    model = langid.fit(docs, MODEL)
+    assert np.allclose(model.logp, bare.logp)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert got[2] == got[3] and got[3][0] == "en" and all(got[i] == ("und", 0.0) for i in (4, 5, 6))
+
+
 def test_held_out_accuracy(some_docs):
     rows = langid.identify(some_docs, MODEL).join(some_docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(rows) > 40 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97

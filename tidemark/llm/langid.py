@@ -265,9 +265,10 @@ def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[bytes], lang:
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(word numbers, the distinct words, words in each row) of the lower-cased texts; a word
     starts with the space mark of sentencepiece."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(batch.column("text"), "")))
+    text = pc.utf8_trim_whitespace(pc.utf8_lower(batch.column("text")))  # no empty words at the ends
+    lists = pc.utf8_split_whitespace(pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text))
     flat = lists.flatten().dictionary_encode()
-    counts = np.diff(lists.offsets.to_numpy())
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     mark = SPACE.encode()
     return flat.indices.to_numpy(), [mark + w.encode() for w in flat.dictionary.to_pylist()], counts
 
