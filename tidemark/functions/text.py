@@ -16,6 +16,8 @@ from ..dimensions import CATEGORY_RULES, LANGUAGES, NOISE_WORDS
 
 #: White space as browsers define it; Java's \s knows ASCII alone.
 WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: The characters of WS.
+_BLANKS = " \t\n\v\f\r" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
 _CJK = "[\\u3400-\\u9fff\\u3040-\\u30ff]"
 
@@ -168,7 +170,7 @@ def search_text(*parts: Column) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def null_if_empty(text: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_ws
 from ..sources import markup
-from ..storage import materialise
 
 
 def type_histogram(nodes: DataFrame, kind: str = "type", order: str = "seq") -> DataFrame:
@@ -54,8 +53,8 @@ def probe_pages(pages: DataFrame, default_city: str | None = None) -> DataFrame:
     The gate is the first that a page does not pass: unreadable (a status that is no success), empty,
     no markup, no event nodes, no usable listing (none with a title and a start), no coordinates
     (its listings are on no map), else ok. Nothing can be concluded of an unreadable or empty page."""
-    found = materialise(markup.nodes(pages.select("url", "html")), "probe-nodes")
-    listings = materialise(markup.normalize_nodes(found, "probe", default_city, keep=["page_url"]), "probe-listings")
+    found = markup.nodes(pages.select("url", "html"))
+    listings = markup.normalize_nodes(found, "probe", default_city, keep=["page_url"])
     of_nodes = found.groupBy("page_url").agg(F.count("*").alias("nodes"), F.count_if("is_event").alias("events"))
     has = lambda c: F.count_if(F.col(c).isNotNull())
     of_listings = listings.groupBy("page_url").agg(

@@ -21,10 +21,6 @@ def in_order(pages: DataFrame) -> DataFrame:
 
 
 SCRIPT = "(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
-#: Levels of nesting that are declared ahead; deeper ones are followed while there are any.
-LEVELS = 3
-
-
 def _get(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "variant")
 
@@ -33,15 +29,21 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _spread(level: DataFrame, value: Column) -> DataFrame:
-    """A row for each element of an array value."""
-    found = level.withColumn("__v", value)
-    udtf = found.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-    kept = [c for c in level.columns if c not in ("node", "path", "json_path", "step")]
-    return udtf.select(
-        *kept, F.col("value").alias("node"), F.concat("path", F.array(F.col("pos"))).alias("path"),
-        F.concat("json_path", "step", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("json_path"),
-    )
+def _children(level: DataFrame) -> DataFrame:
+    """A row for each element of a level's arrays and @graph arrays, with the element's own text.
+    The text is cut once for all elements of an array, not looked up in the page for each."""
+    values = F.coalesce(*[F.try_variant_get("node", p, "array<variant>") for p in ("$", "$['@graph']")])
+    text = F.when(F.col("is_object"), F.get_json_object("raw", "$['@graph']")).otherwise(F.col("raw"))
+    pairs = F.arrays_zip(values.alias("node"), F.from_json(text, "array<string>").alias("raw"))
+    found = level.select("page_seq", "page_url", "block", "path", F.posexplode(pairs).alias("pos", "e"))
+    return found.select("page_seq", "page_url", "block", F.concat("path", F.array("pos")).alias("path"), "e.node", "e.raw")
+
+
+def _containers(rows: DataFrame) -> DataFrame:
+    """Objects and arrays of a level, written once: (page_seq, page_url, block, path, node, raw, is_object)."""
+    held = lambda kind: F.try_variant_get("node", "$", kind).isNotNull()
+    rows = rows.withColumn("is_object", held("map<string,variant>"))
+    return materialise(rows.filter(F.col("is_object") | held("array<variant>")), "markup-level")
 
 
 def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -49,35 +51,25 @@ def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     out of arrays and @graph however deep; broken blocks are skipped. Values of other properties
     are not walked. ``raw`` is the object written anew, its properties in the order of the page,
     without blanks between and without needless escapes, at any depth: a change of those alone
-    is no change of the object. ``seq`` follows the order of the pages (see ``in_order``)."""
+    is no change of the object. ``seq`` follows the order of the pages (see ``in_order``). Each
+    block is parsed once, and each level of nesting written once."""
     blocks = pages.select("*", F.monotonically_increasing_id().alias("page_seq")).select(
         "page_seq", F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SCRIPT), F.lit(1))).alias("block", "body")
     )
-    parsed = blocks.select(
-        "page_seq", "page_url", "block", "body", F.try_parse_json(trim_ws(F.col("body"))).alias("node"), F.array().cast("array<int>").alias("path"), F.lit("$").alias("json_path"),
-    )
-    level, found, depth = parsed.filter(F.col("node").isNotNull()), None, 0
-    while depth < LEVELS or not level.isEmpty():
-        level, depth = level if depth < LEVELS else materialise(level, "markup-level"), depth + 1
-        kind = _kind(F.col("node"))
-        here = level.filter(kind.startswith("OBJECT"))
-        found = here if found is None else found.unionByName(here)
-        graph = F.when(kind.startswith("ARRAY"), F.col("node")).when(
-            kind.startswith("OBJECT") & _kind(_get(F.col("node"), "$['@graph']")).startswith("ARRAY"), _get(F.col("node"), "$['@graph']")
-        )
-        step = F.when(kind.startswith("ARRAY"), F.lit("")).otherwise(F.lit("['@graph']"))
-        level = _spread(level.withColumn("step", step).withColumn("__g", graph).filter(F.col("__g").isNotNull()), F.col("__g")).drop("__g")
+    body = trim_ws(F.col("body"))
+    level = _containers(blocks.select("page_seq", "page_url", "block", F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("node"), F.get_json_object(body, "$").alias("raw")))
+    found = level.filter("is_object")
+    while not level.isEmpty():
+        level = _containers(_children(level))
+        found = found.unionByName(level.filter("is_object"))
     type_ = _get(F.col("node"), "$['@type']")
     as_text = F.try_variant_get(type_, "$", "string")
     many = F.try_variant_get(type_, "$", "array<string>")
     is_event = F.when(_kind(type_) == "STRING", as_text.rlike("(?i)Event$")).when(
         _kind(type_).startswith("ARRAY"), F.exists(many, lambda t: t.rlike("(?i)Event$"))
     )
-    raw = F.call_function("get_json_object", trim_ws(F.col("body")), F.col("json_path"))
     seq = F.struct("page_seq", "block", "path")
-    return found.select(
-        seq.alias("seq"), "page_url", "block", "path", "node", raw.alias("raw"), as_text.alias("type"), F.coalesce(is_event, F.lit(False)).alias("is_event")
-    )
+    return found.select(seq.alias("seq"), "page_url", "block", "path", "node", "raw", as_text.alias("type"), F.coalesce(is_event, F.lit(False)).alias("is_event"))
 
 
 def normalize_nodes(found: DataFrame, slug: str = "markup", default_city: str | None = None, keep: list[str] | None = None) -> DataFrame:
