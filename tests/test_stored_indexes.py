@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import within_box, within_radius
 from tidemark.operators import block
 from tidemark.operators.title_index import TitleIndex
-from tidemark.plans import zones
+from tidemark.plans import search_index, zones
 from tidemark.plans.search_index import SearchIndex, event_text, literal_parts
 
 WORDS = ["red", "blue", "ring", "rings", "bolt", "gear", "night", "the", "großer", "x", "harbour", "market", "日本祭り", "choir"]
@@ -98,6 +98,17 @@ def test_candidates_are_few(searched):
     assert literal_parts("a%bc_d\\%e") == ["a", "bc", "d%e"] and literal_parts("%_") == []
 
 
+def test_a_gram_of_all_texts_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "SHARE", 100)
+    none = F.lit(None).cast("string")
+    events = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("same").alias("title"), none.alias("title_zh"), none.alias("summary"), none.alias("summary_zh"))
+    index = SearchIndex(spark, str(tmp_path), 2)
+    index.build(events)
+    held = spark.read.parquet(f"{tmp_path}/grams").filter("g = 'sam'").groupBy(F.input_file_name()).count().collect()
+    assert len(held) > 2 and sum(r["count"] for r in held) == 100
+    assert index.search(events, "SAME").count() == 100
+
+
 # --- zones
 @pytest.fixture(scope="module")
 def zoned(spark, tmp_path_factory):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import search_text
 
 GRAM = 3
+#: Characters of all texts for which every bucket gets one more task.
+SHARE = 1 << 24
 
 
 def event_text() -> Column:
@@ -53,7 +55,13 @@ class SearchIndex:
         self._write(events, "append")
 
     def _write(self, events: DataFrame, mode: str) -> None:
-        held = self._postings(events.select("id", event_text().alias("text"))).repartition(F.col("bucket")).sortWithinPartitions("bucket", "g", "id")
+        """A bucket is dealt out by id over tasks, as many as the characters take: a gram that all
+        texts have would bring a row for each event to the one task of its bucket."""
+        rows = events.select("id", event_text().alias("text"))
+        parts = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARE
+        task = (F.col("bucket") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))).cast("int")
+        few = rows.repartition(4 * parts, "id")  # what a task makes of its rows stays small too
+        held = self._postings(few).repartitionById(self.buckets * parts, task).sortWithinPartitions("bucket", "g", "id")
         held.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/grams")
 
     def candidates(self, q: str) -> DataFrame | None:
