@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .dimensions import CATEGORIES, CATEGORY_LABELS, CATEGORY_RULES, CITIES, CITY_LABELS, NOISE_WORDS
 from .functions import geo, localtime, text
-from .operators import block, mapgrid, match, merge, report
+from .operators import block, mapgrid, match, merge, nearby, report
 from .operators.resolve import resolve
 from .operators.title_index import TitleIndex
 from .plans import driver_tables as tables
@@ -482,9 +482,8 @@ def title_index_probe(spark, sf_dir):
 @query(f"""WITH {_LISTINGS} SELECT left_id, right_id, CAST(place AS INTEGER) AS place FROM (SELECT left_id, right_id,
     row_number() OVER (PARTITION BY left_id ORDER BY same_print DESC, minutes, right_id) AS place FROM v) WHERE place <= 25""")
 def shortlist_top25(spark, sf_dir):
-    rows = tables.listings(spark, sf_dir)
-    pairs = block.candidate_pairs(rows, rows, ["id"]).filter("l_id < r_id")
-    return block.shortlist(pairs, "l_id", "r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "place")
+    found = nearby.nearest_likes(tables.listings(spark, sf_dir))
+    return found.select(F.col("l_key").alias("left_id"), F.col("r_key").alias("right_id"), "place")
 
 
 @query(f"""WITH RECURSIVE {_LISTINGS}, e AS MATERIALIZED (SELECT CAST(left_id AS BIGINT) AS a, CAST(right_id AS BIGINT) AS b FROM v UNION ALL SELECT CAST(right_id AS BIGINT), CAST(left_id AS BIGINT) FROM v),
