@@ -215,3 +215,64 @@ def test_similarity_is_exact(spark):
         rows += [(500 + 2 * k, " ".join(long)), (501 + 2 * k, " ".join(long[:204])), (700 + 2 * k, " ".join(less)), (701 + 2 * k, " ".join(less[:203]))]
         want |= {500 + 2 * k: 500 + 2 * k, 501 + 2 * k: 500 + 2 * k, 700 + 2 * k: 700 + 2 * k, 701 + 2 * k: 701 + 2 * k}
     assert {r.doc_id: r.component_id for r in simhash.like_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_cluster_pairs_lose_none(spark):
+    """Of edited sets, few and many edits, from few values and from many, short and long, all that are alike are
+    found by what they differ in from any pivot."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for similarity in (0.8, 0.55):
+        members, sets = [], {}
+        for cluster in range(12):
+            base, values = rng.choice(10_000, 40, replace=False), (30, 300, 1 << 30)[cluster % 3]
+            for _ in range(60):
+                own = set(base[rng.random(40) < 1 - 0.3 * rng.random()].tolist()) | set((20_000 + rng.integers(0, values, rng.integers(0, 14))).tolist())
+                i = len(sets)
+                sets[i] = own
+                members.append((i, i, int(rng.integers(0, 9)), cluster, 1000 + i))
+        pairs, links = simhash.cluster_pairs(
+            spark.createDataFrame(members, "id long, root long, weight long, cluster long, node long"),
+            spark.createDataFrame([(1000 + i, sorted(x)) for i, x in sets.items()], "node long, set array<int>"), similarity,
+        )
+        alike = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9
+        every = [(m[0], n[0]) for m, n in combinations(members, 2) if m[3] == n[3]]
+        pairs, links = [(r.a, r.b) for r in pairs.collect()], [(r.a, r.b) for r in links.collect()]
+        assert all(alike(*p) for p in links) and len(set(pairs)) == len(pairs)
+
+        def roots(found):
+            parent = list(range(len(sets)))
+            for a, b in found:
+                while parent[a] != a:
+                    a = parent[a]
+                while parent[b] != b:
+                    b = parent[b]
+                parent[max(a, b)] = min(a, b)
+            for i in range(len(parent)):
+                parent[i] = parent[parent[i]]
+            return parent
+
+        assert roots(links + [p for p in pairs if alike(*p)]) == roots([p for p in every if alike(*p)])
+
+
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    """Texts edited from one, most of them not alike to 0.8 but in one block with many others: what is
+    compared is a small multiple of the texts, and the groups are those of all pairs."""
+    import numpy as np
+
+    rng, compared, verified = np.random.default_rng(8), [], simhash._verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    form = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(templated(rng, form, 150, int(rng.integers(1, 10))))) for i in range(600)]
+    component = {r.doc_id: r.component_id for r in simhash.like_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {}
+    for i, n in enumerate(grouped(rows, 0.8 - 1e-9)):
+        least.setdefault(n, []).append(i)
+    assert component == {i: min(x) for x in least.values() for i in x}
+    assert sum(compared) < 50 * len(rows), compared

@@ -214,6 +214,8 @@ def _node(hashes: np.ndarray) -> int:
 
 
 STARS = 3
+#: Members of a block beyond which they are not compared each with each (see ``dense_pairs``).
+DENSE = 8
 #: Bits of the sketch that goes with each band: a long and half of one.
 SKETCH = 96
 
@@ -260,15 +262,85 @@ def first_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy(F.col("x.root").alias("root")).agg(F.min(pair).alias("p")).select("p.a", "p.b").distinct()
 
 
-def block_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all pairs that share a block, but those already in one component (root).
+def block_pairs(keyed: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """((a, b), links): all pairs that share a block, but those already in one component (root), and
+    those of the members of dense blocks that can be alike at all; links found on the way, if any.
     Blocks of one component alone, or of one member, are left out before: they meet nobody."""
     block = Window.partitionBy("k")
-    mixed = keyed.withColumn("low", F.min("root").over(block)).withColumn("high", F.max("root").over(block)).filter("low < high")
-    mixed = materialise(mixed.drop("low", "high"), "like-mixed")
-    found = mixed.alias("x").join(mixed.alias("y"), F.col("x.k") == F.col("y.k"))
+    mixed = keyed.select("*", F.min("root").over(block).alias("low"), F.max("root").over(block).alias("high"), F.count("*").over(block).alias("n"))
+    mixed = materialise(mixed.filter("low < high").drop("low", "high"), "like-mixed")
+    small, dense = mixed.filter(F.col("n") <= DENSE).drop("n"), mixed.filter(F.col("n") > DENSE)
+    found = small.alias("x").join(small.alias("y"), F.col("x.k") == F.col("y.k"))
     found = found.filter("x.id < y.id and x.root <> y.root").filter(_near_bits("x", "y", similarity))
-    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if dense.isEmpty():
+        return pairs.distinct(), None
+    more, links = dense_pairs(dense, classes, sets, similarity)
+    return pairs.union(more).distinct(), links
+
+
+def dense_pairs(dense: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b), links) of the blocks in ``dense`` (k, id, root, s, t, n: the block's members).
+
+    The member of most and largest blocks is the hub of each; what is near a hub by its sketch is in one
+    cluster with it. Pairs inside a cluster come from ``cluster_pairs``; a member of a block that is not in
+    the hub's cluster (a stranger, by chance) is compared with all of the block."""
+    members = dense.groupBy("id").agg(F.first("root").alias("root"), F.sum("n").alias("weight"))
+    members = materialise(members, "like-members")
+    dense = materialise(dense.join(members.select("id", "weight"), "id"), "like-dense")
+    hubs = dense.groupBy("k").agg(F.max_by(F.struct("id", "s", "t"), F.struct("weight", "id")).alias("hub")).select("k", "hub.*")
+    hubs = materialise(hubs, "like-hubs")
+    reached = dense.alias("x").join(hubs.alias("y"), F.col("x.k") == F.col("y.k")).filter("x.id <> y.id").filter(_near_bits("x", "y", similarity))
+    clusters = connected_components(reached.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    of = lambda rows: rows.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    known = materialise(of(dense).join(of(hubs).select("k", F.col("cluster").alias("main")), "k"), "like-dense")
+    others = known.filter("cluster <> main").alias("x").join(known.alias("y"), F.col("x.k") == F.col("y.k"))
+    others = others.filter("x.cluster <> y.cluster and x.root <> y.root and (y.cluster = y.main or x.id < y.id)").filter(_near_bits("x", "y", similarity))
+    pairs, links = cluster_pairs(members.join(clusters, "id").join(classes.select("id", "node"), "id"), sets, similarity)
+    return others.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).union(pairs), links
+
+
+def cluster_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b), links) of ``members`` (id, root, weight, cluster, node): every pair of a cluster that may be
+    alike is among the pairs, in one component already, or joined by the links; none is lost.
+
+    A cluster's pivot is its member of most weight. A member is held by what its set and the pivot's differ
+    in. Two sets of m and n hashes are alike if they differ in at most (1 - s) / (1 + s) * (m + n) of them.
+    What is so near the pivot is linked to it. Any other (far) differs from each set alike in less than both
+    differ from the pivot together, so the two differ from the pivot in common hashes, at least
+
+    * (d + e - (1 - s) / (1 + s) * (m + n)) / 2 of them, with d and e what they differ in from the pivot.
+
+    So of the hashes by which one of them differs, rarest in the cluster first, all but so many less one are
+    a prefix in which the first common one lies. In a text filled in or edited on its own most of those are
+    nobody else's. The prefixes are cut for any partner in the join, for the very partner in its condition."""
+    spread = (1 - similarity) / (1 + similarity)
+    members = materialise(members, "like-members")
+    made = _sets_of(members.select("node"), sets)
+    top = F.max_by(F.struct("id", "node"), F.struct("weight", "id")).alias("top")
+    pivots = members.groupBy("cluster").agg(top).select("cluster", F.col("top.id").alias("pivot"), F.col("top.node").alias("node"))
+    pivots = materialise(pivots.join(made, "node").select("cluster", "pivot", F.col("set").alias("core")), "like-pivots")
+    told = members.join(made, "node").join(pivots, "cluster").select(
+        "id", "root", "cluster", "pivot", F.size("set").alias("size"), F.size("core").alias("core"),
+        F.concat(F.array_except("set", "core"), F.array_except("core", "set")).alias("differ"),
+    )
+    told = told.withColumn("d", F.size("differ")).withColumn("far", ~_alike((F.col("size") + F.col("core") - F.col("d")) / 2, F.col("size") + F.col("core"), similarity))
+    # how many hashes are shared at least: with a far one, of a near one; with one as far or farther, of a far one
+    near_shares = F.floor((F.col("d") + spread * (F.col("core") - F.col("size"))) / 2 + 1e-9) + 1
+    far_shares = F.ceil(F.col("d") - spread * (1 + 1 / similarity) / 2 * F.col("size") - 1e-6)
+    told = told.withColumn("prefix", F.col("d") + 1 - F.greatest(F.lit(1), F.when(F.col("far"), far_shares).otherwise(near_shares)))
+    told = materialise(told, "like-told")
+    parts = told.select("id", "root", "cluster", "size", "d", "far", "prefix", F.explode("differ").alias("h"))
+    shared = materialise(parts.groupBy("cluster", "h").agg(F.count("*").alias("n")).filter("n > 1"), "like-shared")
+    ranked = parts.join(shared, ["cluster", "h"], "left")
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "h")))
+    ranked = materialise(ranked.filter("n > 1 and (far or place <= prefix)"), "like-ranked")
+    met = ranked.filter("far").alias("x").join(ranked.filter("place <= prefix").alias("y"), ["cluster", "h"])
+    met = met.filter("x.root <> y.root and (not y.far or x.d > y.d or x.d = y.d and x.id > y.id)")
+    shares = (F.col("x.d") + F.col("y.d") - spread * (F.col("x.size") + F.col("y.size"))) / 2
+    met = met.filter(F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) + 1 >= shares - 1e-6)
+    links = told.filter("not far and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), links
 
 
 def _with_prints(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -287,17 +359,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
         return kept(_counted(materialise(_with_prints(pairs, classes, similarity), "like-pairs"), sets, similarity), "like-links")
 
 
-def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, set), once each, of ``nodes`` (node) and a few others."""
     node, size = F.col("node"), (1 << NEEDED_BITS) - 1
     word = F.shiftright(node.bitwiseAND(F.lit(size)), 6)
-    bits = pairs.select(F.explode(F.array("na", "nb")).alias("node")).groupBy(word.alias("w"))
-    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m"))
+    bits = nodes.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m"))
     made = sets.join(F.broadcast(bits), word == F.col("w")).filter("shiftright(m, cast(node & 63 as int)) & 1 = 1")
-    made = materialise(made.groupBy("node").agg(F.first("set").alias("set")), "like-sets")
+    return materialise(made.groupBy("node").agg(F.first("set").alias("set")), "like-sets")
+
+
+def _alike(common: Column, sizes: Column, similarity: float) -> Column:
+    """Whether two sets with so many common members, and so many each together, have that Jaccard similarity."""
+    return common >= similarity * (sizes - common) - 1e-9
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    made = _sets_of(pairs.select(F.explode(F.array("na", "nb")).alias("node")), sets)
     side = lambda s: made.select(F.col("node").alias("n" + s), F.col("set").alias("s" + s))
     common = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(side("a"), "na").join(side("b"), "nb").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), common.alias("common"))
-    return met.filter(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b")
+    return met.filter(_alike(F.col("common"), F.col("n"), similarity)).select("a", "b")
 
 
 def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
@@ -312,10 +393,12 @@ def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     ``band_plan``), and pairs more alike meet more surely. Sets of at most SHORT shingles meet by
     their smallest hashes instead, which loses none.
 
-    All members of a block are compared with each other. So that a group of n copies does not
-    give n * n pairs, components grow first: STARS times each component's closest meeting with the
+    No pair of a block is left out. So that a group of n copies does not give n * n pairs,
+    components grow first: STARS times each component's closest meeting with the
     first of a block (in a quarter of the bands, dealt out over the times) is verified, and what is
-    linked then is not compared again: its ends are in one component.
+    linked then is not compared again: its ends are in one component. Members of blocks of more than
+    DENSE are told by what they differ in from one of them, so that of a large group alike, but not
+    alike enough, only those meet that share differences (``cluster_pairs``; it loses no pair).
 
     Sets are held as 32-bit hashes: two sets of 400 have a chance of one in 25,000 to seem to share
     a shingle more than they do.
@@ -343,9 +426,13 @@ def like_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         links = None
         known = _rooted(classes, None)
         for bands in [*np.array_split(plan[: -(-len(plan) // 4)], STARS), None]:
-            pairs = block_pairs(_block_keys(known, plan), similarity) if bands is None else first_pairs(_block_keys(known, bands), similarity)
-            more = _verified(pairs, classes, sets, similarity)
-            links = more if links is None else links.union(more)
+            if bands is None:
+                pairs, sure = block_pairs(_block_keys(known, plan), classes, sets, similarity)
+            else:
+                pairs, sure = first_pairs(_block_keys(known, bands), similarity), None
+            for more in (_verified(pairs, classes, sets, similarity), sure):
+                if more is not None:
+                    links = more if links is None else links.union(more)
             roots = connected_components(links)
             known = _rooted(classes, roots)
         names = named(classes.select(F.col("id").alias("node"), "least"), roots).withColumnRenamed("node", "id")
