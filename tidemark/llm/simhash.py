@@ -67,7 +67,8 @@ def links(fps: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFrame:
     Each fingerprint goes out once for each mask; the self-join on the masked value keeps
     the pairs that pass the distance check. With 8 blocks and 2 bits a key fixes 48 of the 64 bits, so
     a key has few fingerprints even in a large group of near copies (equal fingerprints
-    were made one row before).
+    were made one row before). Spark sizes an exploded table by what it was made of, so it
+    would send one of 28 times that to all tasks: the join is told to sort and merge.
     """
     masks = [_signed(m) for m in block_masks(max_bits, blocks)]
     keyed = fps.select(
@@ -78,7 +79,7 @@ def links(fps: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFrame:
     ).select("fp", F.col("b.m").alias("m"), F.col("b.k").alias("k"))
     other = keyed.select(F.col("fp").alias("b"), "m", "k")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return keyed.withColumnRenamed("fp", "a").join(other, ["m", "k"]).filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
+    return keyed.withColumnRenamed("fp", "a").hint("merge").join(other, ["m", "k"]).filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
 
 
 def near_duplicates(
